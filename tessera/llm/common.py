@@ -86,13 +86,13 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         start = stop
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words_of(data: np.ndarray, offsets: np.ndarray, is_space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word of every text, and for each text the index of its first word (len + 1 numbers).
 
     A word never crosses the border of two texts.
     """
     n = len(data)
-    inside = ~IS_SPACE[data]
+    inside = ~is_space[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     borders = offsets[:-1][offsets[:-1] < n]
@@ -118,7 +118,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, is_space: np.ndarray = IS_SPACE) -> np.ndarray:
     """A 64-bit hash of each word's bytes: a sum of byte times a random odd number by place, then mixed.
 
     Places past the table of numbers take it again with a factor of their own, so words of any length count whole.
@@ -135,5 +135,5 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if len(lengths) and lengths.max() > size:
         terms = terms * (np.uint64(2) * (place // size).astype(np.uint64) + np.uint64(1))
     terms = (data.astype(np.uint64) + np.uint64(1)) * terms
-    terms[IS_SPACE[data]] = 0
+    terms[is_space[data]] = 0
     return mix(np.add.reduceat(terms, starts) + lengths.astype(np.uint64))

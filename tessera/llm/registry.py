@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality, simhash, suffix_dedup, topk, urls
+from tessera.llm import lm, mixing, quality, simhash, suffix_dedup, topk, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ SELECT * FROM r WHERE rank <= 5
 """
 
 
+def op3_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
@@ -41,14 +45,22 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_hashed_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
+def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_norm_bucketed_topk, op4_simhash_near_dedup, op5_tokeniser_fertility, op6_suffix_dedup, op10_url_vocabulary]
+    found = [op2_norm_bucketed_topk, op3_hierarchical_mixing, op4_simhash_near_dedup, op5_tokeniser_fertility, op6_suffix_dedup, op7_hashed_maxent_lm, op9_counterfactual_toxicity, op10_url_vocabulary]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_norm_bucketed_topk": OP2_SQL, "op10_url_vocabulary": urls.verdict_sql()}
+    return {"op2_norm_bucketed_topk": OP2_SQL, "op3_hierarchical_mixing": mixing.mixed_sql(), "op10_url_vocabulary": urls.verdict_sql()}

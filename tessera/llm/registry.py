@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import lm, mixing, quality, simhash, suffix_dedup, topk, toxicity, urls
+from tessera.llm import licenses, lm, mixing, quality, simhash, suffix_dedup, topk, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op7_hashed_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents"))
+
+
 def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,9 +62,9 @@ def op10_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_norm_bucketed_topk, op3_hierarchical_mixing, op4_simhash_near_dedup, op5_tokeniser_fertility, op6_suffix_dedup, op7_hashed_maxent_lm, op9_counterfactual_toxicity, op10_url_vocabulary]
+    found = [op2_norm_bucketed_topk, op3_hierarchical_mixing, op4_simhash_near_dedup, op5_tokeniser_fertility, op6_suffix_dedup, op7_hashed_maxent_lm, op8_license_scan, op9_counterfactual_toxicity, op10_url_vocabulary]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_norm_bucketed_topk": OP2_SQL, "op3_hierarchical_mixing": mixing.mixed_sql(), "op10_url_vocabulary": urls.verdict_sql()}
+    return {"op2_norm_bucketed_topk": OP2_SQL, "op3_hierarchical_mixing": mixing.mixed_sql(), "op8_license_scan": licenses.scanned_sql(), "op10_url_vocabulary": urls.verdict_sql()}

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import licenses, lm, mixing, quality, simhash, suffix_dedup, topk, toxicity, urls
+from tessera.llm import licenses, lm, mixing, quality, sentencepieces, simhash, suffix_dedup, topk, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.round_trips(table(spark, sf_dir, "documents"))
+
+
 def op2_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -62,7 +66,7 @@ def op10_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_norm_bucketed_topk, op3_hierarchical_mixing, op4_simhash_near_dedup, op5_tokeniser_fertility, op6_suffix_dedup, op7_hashed_maxent_lm, op8_license_scan, op9_counterfactual_toxicity, op10_url_vocabulary]
+    found = [op1_sentencepiece_dropout, op2_norm_bucketed_topk, op3_hierarchical_mixing, op4_simhash_near_dedup, op5_tokeniser_fertility, op6_suffix_dedup, op7_hashed_maxent_lm, op8_license_scan, op9_counterfactual_toxicity, op10_url_vocabulary]
     return {f.__name__: f for f in found}
 
 

@@ -186,6 +186,19 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 MEASURES = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy")
 
 
+def judgements(batches: Iterator[pa.RecordBatch], vocabularies: str) -> Iterator[tuple[pa.RecordBatch, dict[str, np.ndarray], np.ndarray, np.ndarray]]:
+    """Cuts batches with text and lang, and adds the measures of each part, who fails the base rules and who is kept."""
+    tokeniser = None
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            tokeniser = tokeniser or Tokeniser(vocabularies)
+            data, offsets = string_bytes(batch.column("text"))
+            found = measure(data, offsets, tokeniser)
+            failed = (found["n_words"] < LEAST_WORDS) | (100 * found["n_repeat_words"] > REPEAT_PERCENT * found["n_words"])
+            plain = per_text(data < 128, offsets) / np.maximum(np.diff(offsets), 1)
+            yield batch, found, failed, ~failed & verdicts(found, batch.column("lang").to_pylist(), plain)
+
+
 def judged(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabularies: str = VOCABULARIES) -> DataFrame:
     """One row per row of documents: doc_id, lang, the counts, the measures, base_failed and kept.
 
@@ -196,17 +209,9 @@ def judged(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = "id long, lang string, " + ", ".join([*(f"{c} long" for c in COUNTS), *(f"{c} double" for c in MEASURES), "base_failed boolean", "kept boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokeniser = None
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                tokeniser = tokeniser or Tokeniser(vocabularies)
-                data, offsets = string_bytes(batch.column("text"))
-                found = measure(data, offsets, tokeniser)
-                failed = (found["n_words"] < LEAST_WORDS) | (100 * found["n_repeat_words"] > REPEAT_PERCENT * found["n_words"])
-                plain = per_text(data < 128, offsets) / np.maximum(np.diff(offsets), 1)
-                kept = ~failed & verdicts(found, batch.column("lang").to_pylist(), plain)
-                columns = [pa.array(found[c].astype(np.int64 if c in COUNTS else np.float64)) for c in names]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), *columns, pa.array(failed), pa.array(kept)], ["id", "lang", *names, "base_failed", "kept"])
+        for batch, found, failed, kept in judgements(batches, vocabularies):
+            columns = [pa.array(found[c].astype(np.int64 if c in COUNTS else np.float64)) for c in names]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), *columns, pa.array(failed), pa.array(kept)], ["id", "lang", *names, "base_failed", "kept"])
 
     lang = F.col(lang_col).cast("string") if lang_col in documents.columns else F.lit(None).cast("string")
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
@@ -214,6 +219,10 @@ def judged(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def kept_documents(documents: DataFrame, vocabularies: str = VOCABULARIES) -> DataFrame:
-    """The documents that the rules keep, with all columns; documents with a null id are never rejected by id and stay."""
-    rejected = judged(documents, vocabularies=vocabularies).where("not kept").select("doc_id").distinct()
-    return documents.join(rejected, "doc_id", "left_anti")
+    """The rows of documents that the rules keep, with all columns. Each row is judged by itself, whatever its id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, _, kept in judgements(batches, vocabularies):
+            yield batch.filter(pa.array(kept))
+
+    return documents.mapInArrow(run, documents.schema)

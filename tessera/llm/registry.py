@@ -65,8 +65,14 @@ def op10_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sentencepiece_dropout, op2_norm_bucketed_topk, op3_hierarchical_mixing, op4_simhash_near_dedup, op5_tokeniser_fertility, op6_suffix_dedup, op7_hashed_maxent_lm, op8_license_scan, op9_counterfactual_toxicity, op10_url_vocabulary]
+    found = [op1_sentencepiece_dropout, op2_norm_bucketed_topk, op3_hierarchical_mixing, op4_simhash_near_dedup, op5_tokeniser_fertility, op6_suffix_dedup, op7_hashed_maxent_lm, op8_license_scan, op9_counterfactual_toxicity, op10_url_vocabulary, pipeline]
     return {f.__name__: f for f in found}
 
 

@@ -1,19 +1,21 @@
 """Removal of byte strings that an earlier document already holds, by blockwise suffix sorting.
 
 Every byte covered by a `length`-byte string that also starts in a document with a smaller id goes. Texts are
-dealt out by id into batches of a few MB. One plan, five steps; the exchange of the texts is reused by all:
+dealt out by id into batches of a few MB. One plan, six steps; the exchange of the texts is made once and reused:
 
 1. Cover sample. Positions p with p mod v in a difference cover D are sampled. For any two places i, j there
    is a shift d < v for which i + d and j + d are both sampled, so two equal strings of `length` bytes hold equal
-   sampled strings of length - v + 1 bytes. A batch sends the sorted hashes of its sampled strings, as 2-byte steps.
+   sampled strings of length - v + 1 bytes. A batch sends the sorted hashes of its sampled strings, as packed steps.
 2. Cover ranks. A hash range at a time, the sample is merged; a sampled string has a rank of its own, or shares it
    with another document. The long tie of a suffix can only be open if its cover sample shares a rank.
-3. Buckets. Only suffixes with an open tie go on. A suffix's bucket is the smallest hash among the strings of
-   length - v + 1 bytes in its head, so runs of neighbouring suffixes share a bucket and their text travels once.
-   Runs that are equal within a batch are settled there, and one of them goes on.
-4. Blockwise sort. Each bucket's suffixes are sorted by their bytes, one block of buckets at a time; the smallest id
-   among equal heads decides. This is exact: hashes choose what is compared, bytes decide.
-5. The batch cuts the covered bytes out of its texts.
+3. Runs. A suffix's bucket is the smallest hash among the 16-byte strings in its head, so neighbouring suffixes share
+   buckets in runs. Of each run with an open tie, the batch sends bucket, a hash of its text, id and place; runs that are equal
+   within a batch are settled there, and one of them goes on.
+4. Equal runs. Of runs with equal text in one bucket, all but that of the smallest id are covered. Where a bucket has
+   one text only, nothing is left to compare; of the others, the batches send each different text once.
+5. Blockwise sort. Such a bucket's suffixes are sorted by their bytes, one block of buckets at a time; the smallest id
+   among equal heads decides.
+6. The batch cuts the covered bytes out of its texts.
 
 No task holds more than a batch, one hash range of the sample or one range of buckets, and all three counts grow with the
 input. A string that very many documents share reaches its bucket at most once from each batch.
@@ -32,6 +34,12 @@ BATCH_MB = 2.5  # of stored input; about 4 MB of text
 BLOCK = 1 << 18  # suffixes that are sorted at once
 
 
+def gram(length: int) -> int:
+    """Bytes whose hashes choose a bucket: few give long runs, many give small buckets."""
+    return 16 if length >= 32 else 8
+
+
+
 def difference_cover(v: int) -> np.ndarray:
     """The residues of the smallest difference cover modulo v in lexicographic order: all differences occur."""
     size = 1
@@ -70,14 +78,23 @@ def hashes_at(data: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted distinct numbers as steps of 2, 4 or 8 bytes; the first byte says which."""
+    """Sorted distinct numbers as steps: 16 bits each, a bit for each that is larger, and the rest of those."""
     steps = np.diff(values, prepend=np.uint64(0))
-    width = 2 if not len(steps) or steps.max() < 1 << 16 else 4 if steps.max() < 1 << 32 else 8
-    return bytes([width]) + steps.astype(f"<u{width}").tobytes()
+    high = steps >> np.uint64(16)
+    large = high > 0
+    rest = high[large]
+    width = 1 if not len(rest) or rest.max() < 1 << 8 else 4 if rest.max() < 1 << 32 else 8
+    head = np.array([width, len(steps)], dtype="<u4").tobytes()
+    return head + (steps & np.uint64(0xFFFF)).astype("<u2").tobytes() + np.packbits(large).tobytes() + rest.astype(f"<u{width}").tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(blob, dtype=f"<u{blob[0]}", offset=1).astype(np.uint64), dtype=np.uint64)
+    width, n = np.frombuffer(blob, "<u4", 2).tolist()
+    steps = np.frombuffer(blob, "<u2", n, 8).astype(np.uint64)
+    at = 8 + 2 * n
+    large = np.unpackbits(np.frombuffer(blob, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
+    steps[large] += np.frombuffer(blob, f"<u{width}", -1, at + (n + 7) // 8).astype(np.uint64) << np.uint64(16)
+    return np.cumsum(steps, dtype=np.uint64)
 
 
 class Batch:
@@ -201,59 +218,171 @@ def open_suffixes(batch: Batch, flags: pa.Table, bits: int, buckets: int) -> np.
 
 
 def runs_of(batch: Batch, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of neighbouring suffixes of one text that share a bucket: first place, number of suffixes, bucket hash."""
-    n = len(batch.data)
-    wanted = np.zeros(n + 1, dtype=np.int32)
-    gap = np.flatnonzero(np.diff(suffixes) > 1)
-    np.add.at(wanted, suffixes[np.append(0, gap + 1)], 1)
-    np.add.at(wanted, suffixes[np.append(gap, len(suffixes) - 1)] + batch.v, -1)
-    places = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
+    """All runs of neighbouring suffixes of one text that share a bucket and hold one of the given: place, size, bucket.
+
+    A run is whole even if some of its suffixes aren't given, so equal passages have equal runs but at their ends.
+    """
+    n, length, width = len(batch.data), batch.length, gram(batch.length)
     values = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
-    places = places[places + batch.size <= n]
-    values[places] = hashes_at(batch.data, places, batch.size)
-    keys = sliding_minimum(values, batch.v)[suffixes]
-    text = batch.text_of(suffixes)
-    new = np.ones(len(suffixes), dtype=bool)
-    new[1:] = (np.diff(suffixes) != 1) | (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+    if n >= width:
+        values[: n - width + 1] = hashes_at(batch.data, np.arange(n - width + 1), width)
+    keys = sliding_minimum(values, length - width + 1)
+    at = np.arange(n, dtype=np.int32) - np.repeat(batch.starts, batch.sizes).astype(np.int32)
+    valid = at <= np.repeat(batch.sizes - length, batch.sizes)
+    new = valid.copy()
+    new[1:] &= ~valid[:-1] | (at[1:] == 0) | (keys[1:] != keys[:-1])
     first = np.flatnonzero(new)
-    return suffixes[first], np.diff(np.append(first, len(suffixes))), keys[first]
+    given = np.zeros(n + 1, dtype=np.int64)
+    given[suffixes + 1] = 1
+    given = np.cumsum(given)
+    stop = np.append(first[1:], n)
+    # the last run of a text ends where no string of the text starts any more
+    text = batch.text_of(first)
+    stop = np.minimum(stop, batch.starts[text] + batch.sizes[text] - length + 1)
+    held = given[stop] > given[first]
+    return first[held], (stop - first)[held], keys[first[held]]
+
+
+def text_hashes(batch: Batch, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the text of each run: its bytes from place `at`, size + length - 1 of them."""
+    total = sizes + (batch.length - 1)
+    out = np.zeros(len(at), dtype=np.uint64)
+    last = at + total - 8
+    # words of 8 bytes every 8 bytes, the last one overlapping; runs that have ended keep their hash
+    words = np.ndarray((len(batch.data) - 7,), dtype="<u8", buffer=batch.data, strides=(1,))
+    live, step = np.arange(len(at)), 0
+    while len(live):
+        x = out[live] ^ words[np.minimum(at[live] + step, last[live])]
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        out[live] = x ^ (x >> np.uint64(29))
+        step += 8
+        live = live[step < total[live]]
+    return mix(out ^ mix(total.astype(np.uint64)))
+
+
+def pieces(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of each run of equal numbers."""
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
+    return [(int(bucket[s]), s, e) for s, e in zip(cuts, cuts[1:], strict=False)]
+
 
+def spans_of(at: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Places and ends of what runs cover, joined where they touch; at rises."""
+    if not len(at):
+        return np.zeros((0, 2), dtype="<i4")
+    ends = np.maximum.accumulate(at + sizes + (length - 1))
+    new = np.append(True, at[1:] > ends[:-1])
+    return np.stack([at[new], ends[np.append(new[1:], True)]], axis=1).astype("<i4")
 
-RUNS = "bucket int, b int, keys binary, ids binary, at binary, n binary, text binary, gone binary"
 
+def table_of(rows: list[dict], binary: tuple[str, ...]) -> pa.Table:
+    return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("b", pa.int32()), *((x, pa.binary()) for x in binary)]))
 
-def bucket_runs(length: int, bits: int, buckets: int):
-    """Step 3: one row for each bucket range that the batch has a run in. gone: spans that are settled here."""
+
+RUNS = ("keys", "marks", "ids", "at", "n", "gone")
+
+
+def send_runs(length: int, bits: int, buckets: int):
+    """Step 3: one row for each bucket range that the batch has an open run in. gone: spans that are settled here."""
 
     def run(rows: pa.Table, flags: pa.Table) -> pa.Table:
-        schema = pa.schema([("bucket", pa.int32()), ("b", pa.int32()), *((x, pa.binary()) for x in ("keys", "ids", "at", "n", "text", "gone"))])
-        if not rows.num_rows:
-            return schema.empty_table()
-        batch = Batch(rows, length)
-        suffixes = open_suffixes(batch, flags, bits, buckets)
+        batch = Batch(rows, length) if rows.num_rows else None
+        suffixes = open_suffixes(batch, flags, bits, buckets) if batch else ()
         if not len(suffixes):
-            return schema.empty_table()
-        at, counts, keys = runs_of(batch, suffixes)
+            return table_of([], RUNS)
+        at, sizes, keys = runs_of(batch, suffixes)
+        marks = text_hashes(batch, at, sizes)
         ids = batch.ids[batch.text_of(at)]
-        raw = batch.data.tobytes()
-        smallest: dict[bytes, int] = {}
-        texts = [raw[a : a + m] for a, m in zip(at.tolist(), (counts + (length - 1)).tolist(), strict=True)]
-        settled = np.zeros(len(at), dtype=bool)
-        # texts are in the order of their ids, so the first document with a string has the smallest id
-        for i, (text, owner) in enumerate(zip(texts, ids.tolist(), strict=True)):
-            settled[i] = smallest.setdefault(text, owner) < owner
-        gone = np.stack([at[settled], at[settled] + counts[settled] + (length - 1)], axis=1).astype("<i4").tobytes()
+        # equal runs of the batch, those of the smallest id first: places rise with ids
+        order = np.lexsort((at, marks, keys))
+        new = np.append(True, (keys[order][1:] != keys[order][:-1]) | (marks[order][1:] != marks[order][:-1]))
+        lowest = np.empty(len(at), dtype=np.int64)
+        lowest[order] = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        settled = ids > lowest
         left = np.flatnonzero(~settled)
         bucket = (keys[left] % np.uint64(buckets)).astype(np.int32)
-        left, bucket = left[np.argsort(bucket, kind="stable")], np.sort(bucket, kind="stable")
+        by = np.lexsort((keys[left], bucket))
+        left, bucket = left[by], bucket[by]
+        b = rows.column("b")[0].as_py()
+        out = [{"bucket": k, "b": b, "keys": keys[own].astype("<u8").tobytes(), "marks": marks[own].astype("<u8").tobytes(), "ids": ids[own].astype("<i8").tobytes(), "at": at[own].astype("<i4").tobytes(), "n": sizes[own].astype("<i4").tobytes(), "gone": b""} for k, s, e in pieces(bucket) for own in [left[s:e]]]
+        gone = spans_of(at[settled], sizes[settled], length)
+        if len(gone):
+            out.append({"bucket": b % buckets, "b": b} | dict.fromkeys(RUNS, b"") | {"gone": gone.tobytes()})
+        return table_of(out, RUNS)
+
+    return run
+
+
+WANTED = ("keys", "at", "n", "gone")
+
+
+def equal_runs(length: int):
+    """Step 4: for each batch the spans that equal runs of smaller ids cover, and the runs whose text is wanted."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        read = lambda name, kind: [np.frombuffer(x, dtype=kind) for x in rows.column(name).to_pylist()]
+        batches = rows.column("b").to_pylist()
+        keys, marks, ids = read("keys", "<u8"), read("marks", "<u8"), read("ids", "<i8")
+        owner = np.repeat(np.arange(len(batches)), [len(x) for x in keys])
+        keys, marks, ids, at, sizes = (np.concatenate(x) for x in (keys, marks, ids, read("at", "<i4"), read("n", "<i4")))
+        order = np.lexsort((ids, marks, keys))
+        k, m = keys[order], marks[order]
+        new_key = np.append(True, k[1:] != k[:-1])[: len(k)]
+        new = new_key | np.append(True, m[1:] != m[:-1])[: len(m)]
+        first_id = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+        covered_here = ids[order] > first_id
+        number = np.cumsum(new_key) - 1
+        texts = np.bincount(number, new, number[-1] + 1 if len(number) else 0)
+        # one row of each different text, if its bucket has several
+        wanted = new & (texts[number] > 1) if len(number) else new
+        out = []
+        gone_rows, want_rows = order[covered_here], order[wanted]
+        for i, (b, settled) in enumerate(zip(batches, read("gone", "<i4"), strict=True)):
+            out.append({"b": b, "i": i, "gone": [settled.reshape(-1, 2)]})
+        for rows_of, name in ((gone_rows, "gone"), (want_rows, "want")):
+            by = np.lexsort((at[rows_of], owner[rows_of]))
+            for i, s, e in pieces(owner[rows_of][by]):
+                own = rows_of[by[s:e]]
+                if name == "gone":
+                    out[i]["gone"].append(spans_of(at[own].astype(np.int64), sizes[own].astype(np.int64), length))
+                else:
+                    out[i]["want"] = own
+        made = []
+        for x in out:
+            want = x.get("want", np.zeros(0, dtype=np.int64))
+            made.append({"bucket": 0, "b": x["b"], "keys": keys[want].astype("<u8").tobytes(), "at": at[want].astype("<i4").tobytes(), "n": sizes[want].astype("<i4").tobytes(), "gone": np.concatenate(x["gone"]).astype("<i4").tobytes()})
+        return table_of([x for x in made if x["keys"] or x["gone"]], WANTED).drop_columns(["bucket"])
+
+    return run
+
+
+TEXTS = ("keys", "ids", "at", "n", "text", "gone")
+
+
+def send_texts(length: int, buckets: int):
+    """One row for each bucket range that wants a run's text of the batch; spans that are settled go along."""
+
+    def run(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not rows.num_rows or not wanted.num_rows:
+            return table_of([], TEXTS)
+        read = lambda name, kind: np.frombuffer(b"".join(wanted.column(name).to_pylist()), dtype=kind)
+        keys, at, sizes, gone = read("keys", "<u8"), read("at", "<i4").astype(np.int64), read("n", "<i4").astype(np.int64), read("gone", "<i4").reshape(-1, 2)
         b, out = rows.column("b")[0].as_py(), []
-        cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket)).tolist()
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            own = left[s:e]
-            out.append({"bucket": int(bucket[s]), "b": b, "keys": keys[own].astype("<u8").tobytes(), "ids": ids[own].astype("<i8").tobytes(), "at": at[own].astype("<i4").tobytes(), "n": counts[own].astype("<i4").tobytes(), "text": b"".join([texts[i] for i in own.tolist()]), "gone": b""})
+        if len(keys):
+            batch = Batch(rows, length)
+            raw, ids = batch.data.tobytes(), batch.ids[batch.text_of(at)]
+            bucket = (keys % np.uint64(buckets)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            for k, s, e in pieces(bucket[by]):
+                own = by[s:e]
+                text = b"".join([raw[a : a + m] for a, m in zip(at[own].tolist(), (sizes[own] + (length - 1)).tolist(), strict=True)])
+                out.append({"bucket": k, "b": b, "keys": keys[own].tobytes(), "ids": ids[own].astype("<i8").tobytes(), "at": at[own].astype("<i4").tobytes(), "n": sizes[own].astype("<i4").tobytes(), "text": text, "gone": b""})
         if len(gone):
-            out.append({"bucket": b % buckets, "b": b, "keys": b"", "ids": b"", "at": b"", "n": b"", "text": b"", "gone": gone})
-        return pa.Table.from_pylist(out, schema)
+            gone = gone[np.argsort(gone[:, 0], kind="stable")].astype(np.int64)
+            gone = spans_of(gone[:, 0], gone[:, 1] - gone[:, 0], 1)
+            out.append({"bucket": b % buckets, "b": b} | dict.fromkeys(TEXTS, b"") | {"gone": gone.tobytes()})
+        return table_of(out, TEXTS)
 
     return run
 
@@ -277,7 +406,7 @@ def covered(data: np.ndarray, places: np.ndarray, owners: np.ndarray, length: in
 
 
 def sorted_buckets(length: int):
-    """Step 4: spans of each batch that the suffixes of one range of buckets show to be covered."""
+    """Step 5: spans of each batch that the suffixes of one range of buckets show to be covered."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
@@ -292,6 +421,8 @@ def sorted_buckets(length: int):
         keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
         ids, at = np.concatenate(read("ids", "<i8")), np.concatenate(read("at", "<i4")).astype(np.int64)
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        if not len(keys):
+            return span_rows(spans)
         ends = np.cumsum(counts + (length - 1))
         begin = ends - counts - (length - 1)
         order = np.argsort(keys, kind="stable")
@@ -315,14 +446,18 @@ def sorted_buckets(length: int):
                 for s, e in zip(edges, edges[1:], strict=False):
                     spans.setdefault(batches[batch[cut][by[s]]], []).append(found[by[s:e]])
             start = stop
-        blobs = [np.concatenate(x).astype("<i4").tobytes() for x in spans.values()]
-        return pa.table({"b": pa.array(list(spans), pa.int32()), "spans": pa.array(blobs, pa.binary())})
+        return span_rows(spans)
 
     return run
 
 
+def span_rows(spans: dict[int, list[np.ndarray]]) -> pa.Table:
+    blobs = [np.concatenate(x).astype("<i4").tobytes() for x in spans.values()]
+    return pa.table({"b": pa.array(list(spans), pa.int32()), "spans": pa.array(blobs, pa.binary())})
+
+
 def cut_texts(length: int):
-    """Step 5: the texts of a batch without the covered bytes."""
+    """Step 6: the texts of a batch without the covered bytes."""
 
     def run(rows: pa.Table, spans: pa.Table) -> pa.Table:
         batch = Batch(rows, length) if rows.num_rows else None
@@ -377,8 +512,11 @@ def remove_repeats(documents: DataFrame, length: int = 50, id_col: str = "doc_id
     fields = ", ".join([f"id long{''.join(f', c{i} {documents.schema[c].dataType.simpleString()}' for i, c in enumerate(others))}", "n_bytes long", "n_removed long", "n_spans long", "kept binary"])
     blobs = texts.groupBy("b").applyInArrow(sample_blobs(length, bits, n), "bucket int, b int, blob binary")
     ranks = blobs.groupBy("bucket").applyInArrow(shared_ranks, "b int, bucket int, flags binary")
-    runs = texts.groupBy("b").cogroup(ranks.groupBy("b")).applyInArrow(bucket_runs(length, bits, n), RUNS)
-    spans = runs.groupBy("bucket").applyInArrow(sorted_buckets(length), "b int, spans binary")
+    binary = lambda names: ", ".join(f"{x} binary" for x in names)
+    runs = texts.groupBy("b").cogroup(ranks.groupBy("b")).applyInArrow(send_runs(length, bits, n), f"bucket int, b int, {binary(RUNS)}")
+    wanted = runs.groupBy("bucket").applyInArrow(equal_runs(length), f"b int, {binary(WANTED)}")
+    sent = texts.groupBy("b").cogroup(wanted.groupBy("b")).applyInArrow(send_texts(length, n), f"bucket int, b int, {binary(TEXTS)}")
+    spans = sent.groupBy("bucket").applyInArrow(sorted_buckets(length), "b int, spans binary")
     done = texts.groupBy("b").cogroup(spans.groupBy("b")).applyInArrow(cut_texts(length), fields)
     whole = rows.where("id is null").select("id", *[f"c{i}" for i in range(len(others))], F.length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").alias("kept"))
     out = done.unionByName(whole)

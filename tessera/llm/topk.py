@@ -92,6 +92,11 @@ class Bucket:
         return best(self.ids[left], products(self.rows[left], query, exact), k)
 
 
+def unpacked(ids: bytes, rows: bytes, dim: int) -> Bucket:
+    numbers = np.frombuffer(ids, "<i8")
+    return Bucket(numbers, np.frombuffer(rows, "<f8").reshape(len(numbers), dim))
+
+
 def pack_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (dim, id, vector) of one range of lengths as rows (part, dim, ids, rows) of at most BUCKET_ROWS vectors."""
     part = TaskContext.get().partitionId()
@@ -109,7 +114,7 @@ def first_scores(ids: bytes, rows: bytes, dim: int, k: int):
     """Packs queries into blocks, each with its k-th best score among the given vectors, or the lowest long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longest = Bucket(np.frombuffer(ids, "<i8"), np.frombuffer(rows, "<f8").reshape(-1, dim)) if ids else None
+        longest = unpacked(ids, rows, dim) if ids else None
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for d in np.unique(dims).tolist():
@@ -136,9 +141,9 @@ def search_buckets(k: int):
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
-                bucket = Bucket(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["rows"], "<f8").reshape(-1, dim))
+                bucket = unpacked(row["ids"], row["rows"], dim)
                 queries, marks = np.frombuffer(row["queries"], "<i8"), np.frombuffer(row["marks"], "<i8")
-                vectors, to_beat = np.frombuffer(row["vectors"], "<f8").reshape(-1, dim), np.frombuffer(row["to_beat"], "<f8")
+                vectors, to_beat = np.frombuffer(row["vectors"], "<f8").reshape(len(queries), dim), np.frombuffer(row["to_beat"], "<f8")
                 found = [bucket.search(q, v, t, k) for q, v, t in zip(queries.tolist(), vectors, to_beat.tolist(), strict=True)]
                 sizes = [len(x) for x, _ in found]
                 out = (np.repeat(queries, sizes), np.repeat(marks, sizes), np.concatenate([x for x, _ in found]), np.concatenate([s for _, s in found]))

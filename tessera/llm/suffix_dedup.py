@@ -334,8 +334,8 @@ def equal_runs(length: int):
         covered_here = ids[order] > first_id
         number = np.cumsum(new_key) - 1
         texts = np.bincount(number, new, number[-1] + 1 if len(number) else 0)
-        # one row of each different text, if its bucket has several
-        wanted = new & (texts[number] > 1) if len(number) else new
+        # each different text of a bucket that has several: where it stands in the document of the smallest id
+        wanted = ~covered_here & (texts[number] > 1) if len(number) else new
         out = []
         gone_rows, want_rows = order[covered_here], order[wanted]
         for i, (b, settled) in enumerate(zip(batches, read("gone", "<i4"), strict=True)):

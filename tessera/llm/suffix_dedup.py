@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import mix, string_bytes
 
-BATCH_MB = 2.5  # of stored input; about 4 MB of text
+BATCH_MB = 1.5  # of stored input; about 2.5 MB of text
 BLOCK = 1 << 18  # suffixes that are sorted at once
 
 
@@ -511,12 +511,12 @@ def remove_repeats(documents: DataFrame, length: int = 50, id_col: str = "doc_id
     texts = rows.where("id is not null").repartition(n, "b")
     fields = ", ".join([f"id long{''.join(f', c{i} {documents.schema[c].dataType.simpleString()}' for i, c in enumerate(others))}", "n_bytes long", "n_removed long", "n_spans long", "kept binary"])
     blobs = texts.groupBy("b").applyInArrow(sample_blobs(length, bits, n), "bucket int, b int, blob binary")
-    ranks = blobs.groupBy("bucket").applyInArrow(shared_ranks, "b int, bucket int, flags binary")
+    ranks = blobs.repartition(n, "bucket").groupBy("bucket").applyInArrow(shared_ranks, "b int, bucket int, flags binary")
     binary = lambda names: ", ".join(f"{x} binary" for x in names)
     runs = texts.groupBy("b").cogroup(ranks.groupBy("b")).applyInArrow(send_runs(length, bits, n), f"bucket int, b int, {binary(RUNS)}")
-    wanted = runs.groupBy("bucket").applyInArrow(equal_runs(length), f"b int, {binary(WANTED)}")
+    wanted = runs.repartition(n, "bucket").groupBy("bucket").applyInArrow(equal_runs(length), f"b int, {binary(WANTED)}")
     sent = texts.groupBy("b").cogroup(wanted.groupBy("b")).applyInArrow(send_texts(length, n), f"bucket int, b int, {binary(TEXTS)}")
-    spans = sent.groupBy("bucket").applyInArrow(sorted_buckets(length), "b int, spans binary")
+    spans = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(sorted_buckets(length), "b int, spans binary")
     done = texts.groupBy("b").cogroup(spans.groupBy("b")).applyInArrow(cut_texts(length), fields)
     whole = rows.where("id is null").select("id", *[f"c{i}" for i in range(len(others))], F.length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").alias("kept"))
     out = done.unionByName(whole)

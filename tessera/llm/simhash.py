@@ -212,12 +212,15 @@ def near_duplicates(documents: DataFrame, width: int = 5, radius: int = 4, id_co
     Extra columns are ignored, whatever their names.
     """
     marks = materialise(fingerprints(documents, width, id_col, text_col), "simhash")
-    smallest = marks.groupBy("fp").agg(F.min("id").alias("low"))
+    smallest = marks.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("rows"))
     roots = materialise(components(links(smallest.select("fp"), radius)), "simhash-components")
     of_root = roots.join(smallest, roots.node == smallest.fp).groupBy("root").agg(F.min("low").alias("low"))
     linked = roots.join(of_root, "root").select(F.col("node").alias("fp"), F.col("low").alias("far"))
-    groups = smallest.join(linked, "fp", "left").select("fp", F.coalesce("far", "low").alias("component_id"))
-    return marks.join(groups, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # rows alone with their fingerprint and without a link are their own group; as a table of its own, the rest leaves the
+    # last join two plain shuffles, so a fingerprint that very many rows share can be split
+    groups = smallest.join(linked, "fp", "left").where("rows > 1 or far is not null").select("fp", F.coalesce("far", "low").alias("group"))
+    groups = materialise(groups, "simhash-groups")
+    return marks.join(groups, "fp", "left").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("group", "id").alias("component_id"))
 
 
 def one_of_each_group(documents: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:

@@ -16,8 +16,21 @@ from tessera.functions.mapping import bin_index, sign_of
 DIGITS = 10  # mappings that agree to so many places merge
 
 
+def _inside(df: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str]]:
+    """df with its keys under names that clash with nothing in here, and those names."""
+    names = [f"key{i}__" for i in range(len(keys))]
+    return df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], "*"), names
+
+
+def _outside(df: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
+    return df.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], *[c for c in df.columns if c not in names])
+
+
 def bins_of(df: DataFrame, value: Column | str, keys: list[str], accuracy: float = 0.01, rule: str = "ceil", weight: Column | str | None = None) -> DataFrame:
-    """keys, sign, i, c: counts of values, or sums of their weights, by bin. Null values and weights that aren't positive don't count."""
+    """keys, sign, i, c: counts of values, or sums of their weights, by bin. Null values and weights that aren't positive don't count.
+
+    Keys can't be called sign, i or c here; build() takes any.
+    """
     value = (F.col(value) if isinstance(value, str) else value).cast("double")
     rows = df.select(*keys, value.alias("v__"), (F.lit(1.0) if weight is None else (F.col(weight) if isinstance(weight, str) else weight).cast("double")).alias("w__"))
     rows = rows.where("v__ is not null and w__ > 0")
@@ -38,7 +51,8 @@ def build(df: DataFrame, value: Column | str, keys: list[str] | None = None, acc
     A group whose values are all null has no row; without keys there is always one row, an empty sketch for no values.
     """
     keys = list(keys or [])
-    return gathered(bins_of(df, value, keys, accuracy, rule, weight), keys, accuracy, column)
+    df, names = _inside(df, keys)
+    return _outside(gathered(bins_of(df, value, names, accuracy, rule, weight), names, accuracy, column), names, keys)
 
 
 def to_long(df: DataFrame, sketch: str, keys: list[str]) -> DataFrame:
@@ -68,7 +82,8 @@ def merged(df: DataFrame, sketch: str = "sketch", keys: list[str] | None = None,
     Unusable blobs (null, no bytes, not a sketch) are skipped; a group of nothing else has a null sketch. With several mappings in a
     group the finest one is kept, by (gamma, offset), and sketches of others are dropped. Without keys there is always one row.
     """
-    keys = list(keys or [])
+    outer = list(keys or [])
+    df, keys = _inside(df, outer)
     rows = to_long(df, sketch, keys)
     g, o = F.round("gamma", DIGITS).alias("g"), F.round("index_offset", DIGITS).alias("o")
     bins = rows.groupBy(*keys, g, o, "sign", "i").agg(
@@ -86,7 +101,7 @@ def merged(df: DataFrame, sketch: str = "sketch", keys: list[str] | None = None,
     gamma, offset = F.array_min(F.transform("k__", lambda x: x["gamma"])), F.array_min(F.transform("k__", lambda x: x["index_offset"]))
     fields = {"gamma": gamma, "index_offset": offset, "zero_count": own["c"], "pos": of(1), "neg": of(-1), "n": own["n"], "total": own["total"], "low": own["low"], "high": own["high"]}
     whole = F.when(F.col("g__").isNotNull(), F.struct(*[c.alias(k) for k, c in fields.items()]))
-    return groups.select(*keys, whole.alias(column), (F.col("all__") - F.coalesce(own["sketches"], F.lit(0))).alias("dropped"))
+    return _outside(groups.select(*keys, whole.alias(column), (F.col("all__") - F.coalesce(own["sketches"], F.lit(0))).alias("dropped")), keys, outer)
 
 
 def group_merge(df: DataFrame, keys: list[str] | None = None, sketch: str = "sketch") -> DataFrame:

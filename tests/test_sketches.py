@@ -130,3 +130,47 @@ def test_build_plan_prunes_and_pushes(spark, tmp_path):
     df = merging.build(spark.read.parquet(str(tmp_path / "t")).where("id >= 10"), "v", ["k"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "unused" not in plan and "GreaterThanOrEqual(id,10)" in plan and "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_aggregate_over_a_window(spark):
+    sql.register(spark, "x_")
+    values = spark.createDataFrame([(i, float(i)) for i in range(1, 7)], "i long, v double")
+    own = merging.build(values, "v", ["i"], column="s").select("i", blob.from_struct("s").alias("sketch"))
+    own.createOrReplaceTempView("window_sketches")
+    rows = spark.sql("SELECT i, x_agg(sketch) OVER (ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM window_sketches").collect()
+    assert {r["i"]: decode(bytes(r["s"])).count for r in rows} == {1: 1, 2: 2, 3: 3, 4: 3, 5: 3, 6: 3}
+
+
+def test_a_chain_of_calls_is_one_python_stage(spark):
+    sql.register(spark, "x_")
+    plan = spark.sql("SELECT x_count(x_add(sketch, 1)) AS n FROM x_create()")
+    assert plan.first()["n"] == 1
+    assert plan._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
+def test_randomised_signed_quantiles(spark):
+    """Fractional ranks on the negative side, where one cumulative sum over all bins would differ."""
+    rng = random.Random(8)
+    groups = {str(i): [rng.choice([rng.gauss(-2, 2), 0.0, rng.gauss(1, 1)]) for _ in range(rng.randint(2, 15))] for i in range(60)}
+    qs = [rng.random() for _ in range(12)]
+    s = merging.build(frame(spark, groups), "v", ["k"]).withColumn("q", F.explode(F.array(*map(F.lit, qs))))
+    got = {(r["k"], r["q"]): r["x"] for r in s.select("k", "q", native.quantile(F.col("sketch"), F.col("q")).alias("x")).collect()}
+    for k, values in groups.items():
+        want = decode(encode(folded(values)))
+        for q in qs:
+            assert got[k, q] == pytest.approx(want.quantile(q), rel=1e-12)
+
+
+def test_rollup_levels(spark):
+    values = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 2.0), ("b", "x", 3.0)], "k string, l string, v double")
+    own = merging.build(values, "v", ["k", "l"], column="s").select("k", "l", blob.from_struct("s").alias("sketch"))
+    rows = merging.rolled_up(own, ["k", "l"]).select("k", "l", "level", native.count(F.col("sketch")).alias("n")).collect()
+    assert sorted((r["level"], r["n"]) for r in rows) == [(0, 1), (0, 1), (0, 1), (1, 1), (1, 2), (2, 3)]
+
+
+def test_keys_of_any_name(spark):
+    values = spark.createDataFrame([(1, 2, 3, 4, 5, 1.0), (1, 2, 3, 4, 5, 2.0)], "i int, c int, sign int, n int, sketch int, `v x` double")
+    own = merging.build(values, F.col("`v x`"), ["i", "c", "sign", "n", "sketch"], column="out")
+    assert own.columns == ["i", "c", "sign", "n", "sketch", "out"] and own.select(native.count(F.col("out"))).first()[0] == 2
+    again = merging.merged(own, "out", ["i", "c", "sign", "n"], "sum")
+    assert again.columns == ["i", "c", "sign", "n", "sum", "dropped"] and again.first()["sum"]["n"] == 2

@@ -50,12 +50,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def partitions_for(df: DataFrame, mb: int = 16) -> int:
-    """Shuffle partitions for df: the session's number, or more if a partition would exceed mb of stored input."""
+def partitions_for(df: DataFrame, times: int = 1, mb: int = 64) -> int:
+    """Shuffle partitions for df with each row `times` times: the session's number, or more if one would exceed mb of stored input."""
     stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     # an unknown size is reported as a huge number; the session's own setting holds then
     stored = stored if stored < 1 << 60 else 0
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored // (mb << 20)))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-stored * times // (mb << 20)))
 
 
 def text_or_empty(col: str) -> Column:

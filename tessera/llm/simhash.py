@@ -163,14 +163,12 @@ def _search(radius: int, most: int | None):
 
 def links(distinct: DataFrame, radius: int, bucket_rows: int = 1 << 16) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints (column fp, distinct) that chains of steps within radius connect."""
-    spark = distinct.sparkSession
     rows, out = distinct.select(F.lit(0).cast("long").alias("key"), "fp"), None
     for level in range(LEVELS):
         masks = covering_masks(radius, seed=level + 1)
         tables = F.explode(F.array([F.xxhash64("key", F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)]))
         keyed = rows.select(tables.alias("key"), "fp")
-        n = partitions_for(distinct) if level == 0 else int(spark.conf.get("spark.sql.shuffle.partitions"))
-        dealt = keyed.repartition(n, "key").sortWithinPartitions("key")
+        dealt = keyed.repartition(partitions_for(rows, len(masks)), "key").sortWithinPartitions("key")
         last = level == LEVELS - 1
         found = materialise(dealt.mapInArrow(_search(radius, None if last else bucket_rows), "a long, b long, key long"), "simhash-links")
         own = found.where("key is null").select("a", "b")

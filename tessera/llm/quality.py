@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import os
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -52,7 +53,7 @@ BANDS = {
 SCRIPT_BANDS = {"latin": Band(1.5, 7.0, 1.3, 7.5, 0.20, 2.5, 14.0), "other": Band(0.3, 7.0, 0.2, 7.5, 0.95, 2.0, 15.0)}
 #: Measures of fewer tokens say too little; such texts are only held against the base rules.
 LEAST_TOKENS = 60
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 
 class Tokeniser:
@@ -68,13 +69,13 @@ class Tokeniser:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         # a word has no white space, so one pattern for a leading space and the rest is enough
         self.ranks = tiktoken.Encoding("words", pat_str=r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+", mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[bytes, tuple[np.ndarray, int]] = {}
+        self.known: dict[bytes, tuple[bytes, int]] = {}
 
-    def of(self, words: list[bytes]) -> list[tuple[np.ndarray, int]]:
-        """For each word its piece ids, and the number of its byte-level tokens."""
+    def of(self, words: list[bytes]) -> list[tuple[bytes, int]]:
+        """For each word its piece ids, as 4-byte numbers, and the number of its byte-level tokens."""
         missing = [w for w in words if w not in self.known]
         texts = [w.decode("utf-8", "replace") for w in missing]
-        new = dict(zip(missing, zip([np.array(x, dtype=np.int32) for x in self.pieces.encode(texts, num_threads=1)], [len(self.ranks.encode_ordinary(" " + x)) for x in texts], strict=True), strict=True))
+        new = dict(zip(missing, zip([struct.pack(f"<{len(x)}i", *x) for x in self.pieces.encode(texts, num_threads=1)], [len(self.ranks.encode_ordinary(" " + x)) for x in texts], strict=True), strict=True))
         out = [self.known.get(w) or new[w] for w in words]
         if len(self.known) < CACHE_WORDS:
             self.known.update(new)
@@ -151,8 +152,8 @@ def measure(data: np.ndarray, offsets: np.ndarray, tokeniser: Tokeniser) -> dict
     if not found:
         zero = np.zeros(n_texts)
         return out | {"n_tokens": np.zeros(n_texts, np.int64), "chars_per_piece": zero, "chars_per_byte_token": zero, "fallback_share": zero, "entropy": zero}
-    counts = np.array([len(x) for x, _ in found])
-    flat = np.concatenate([x for x, _ in found])
+    counts = np.array([len(x) // 4 for x, _ in found])
+    flat = np.frombuffer(b"".join([x for x, _ in found]), dtype="<i4")
     flat_start = np.cumsum(counts) - counts
     fallback = np.add.reduceat(np.append(tokeniser.is_byte[flat], False), flat_start, dtype=np.int64) * (counts > 0)
     tokens, byte_tokens = np.bincount(owner, counts[inverse], n_texts), np.bincount(owner, np.array([n for _, n in found])[inverse], n_texts)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, quality, sentencepieces, simhash, suffix_dedup
+from tessera.llm import mixing, near_copies, quality, sentencepieces, suffix_dedup
 from tessera.llm.common import materialise
 
-#: Near copies: 64-bit SimHashes of five-word shingles that differ in at most 6 bits. By the SimHash estimate, six bits
-#: are a Jaccard similarity of 0.92; pairs of 0.8 and more are found as far as their fingerprints are that near.
-WIDTH, RADIUS = 5, 6
+#: Near copies: five-word shingles with a Jaccard similarity of 80 % or more. Candidates are SimHashes that differ in at most 6 of
+#: 64 bits, and MinHash bands for the pairs whose SimHashes lie further apart.
+WIDTH, RADIUS, PERCENT = 5, 6, 80
 REPEAT_BYTES = 50
 
 
@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group of near copies."""
-    return simhash.one_of_each_group(docs, WIDTH, RADIUS)
+    return near_copies.one_of_each_group(docs, WIDTH, RADIUS, PERCENT)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

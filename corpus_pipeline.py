@@ -34,8 +34,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the SentencePiece ids of each text, with merge-dropout."""
-    return sentencepieces.encoded(docs)
+    """doc_id and the SentencePiece ids of each text, with merge-dropout that differs between copies."""
+    return sentencepieces.encoded(docs, by_copy=True)
 
 
 STAGES = [("quality", quality_rules), ("near_dedup", near_dedup), ("suffix_dedup", suffix_array_dedup), ("mixing", source_mixing), ("encoding", encoding)]

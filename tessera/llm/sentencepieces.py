@@ -2,13 +2,13 @@
 
 The vocabulary is a BPE model with byte fallback, read from a file. Merges are taken from an agenda, the best score first, the
 leftmost among equals. With dropout, a candidate merge is skipped if a keyed hash says so: the key is made of the seed, the
-chunk's text and its lane, the hash takes the place and size of both parts. So a text's pieces vary with the
+chunk's text and its occurrence (the text's id, its copy number and the place), the hash takes the place and size of both parts. So a text's pieces vary with the
 seed and from one occurrence of a word to the next, but are the same on every run; whatever is skipped, pieces spell the text,
 and decoding gives it back byte by byte. Without dropout the pieces are those of the SentencePiece library.
 
 No piece holds a space mark after another character, so texts are cut into chunks, a run of spaces and what follows,
-that are merged alone. Each occurrence of a chunk gets one of LANES lanes by its text's id and its place; workers
-remember the pieces of chunks they have seen, up to a bound. New chunks of a batch are merged together in arrays, one step of
+that are merged alone. Workers remember, up to a bound, the pieces of chunks without dropout and the merges that lead to
+them: an occurrence that skips none of these has these pieces. The others are merged together in arrays, one step of
 every chunk's agenda at a time; long ones alone, with a heap.
 """
 
@@ -23,14 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import mix, slices
 
 VOCABULARIES = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
-SEED, DROPOUT, LANES = 23, 0.1, 4
+SEED, DROPOUT = 23, 0.1
+LANES = 4  # occurrences that the tests try; nothing is cut to so many
 CACHE_CHUNKS = 400_000  # in a worker
 LONG = 48  # characters from which a chunk has a heap of its own
 MARK = "▁"  # fixed value: how a space is written in a piece
@@ -62,8 +63,7 @@ class Codec:
             raise ValueError("a piece of this model spans a space inside; chunks can't be merged alone")
         lines = not any("\n" in p for p in self.table)
         self.chunks = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if lines else rf"{MARK}*[^{MARK}]+|{MARK}+").findall
-        self.known: list[dict[str, bytes]] = [{} for _ in range(LANES)]
-        self.size = 0
+        self.known: dict[str, tuple[bytes, bytes]] = {}  # pieces without dropout, and the codes of the merges that lead to them
         self._tabulate()
 
     def _tabulate(self) -> None:
@@ -85,7 +85,7 @@ class Codec:
     def _slot(self, pairs: np.ndarray) -> np.ndarray:
         return (mix(pairs.astype(np.uint64)) >> np.uint64(42)).astype(np.int64)
 
-    def candidates(self, keys: np.ndarray, at: np.ndarray, sizes: np.ndarray, symbols: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def candidates(self, keys: np.ndarray | None, at: np.ndarray, sizes: np.ndarray, symbols: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The agenda's order (or one past all) and the symbol of merging the parts left and right."""
         pairs = symbols[left] * self.symbols + symbols[right]
         order, merged = np.full(len(left), NEVER), np.zeros(len(left), dtype=np.int64)
@@ -93,33 +93,43 @@ class Codec:
         found = np.minimum(np.searchsorted(self.pairs, pairs[some]), len(self.pairs) - 1)
         hit = self.pairs[found] == pairs[some]
         some, found = some[hit], found[hit]
-        if self.limit:
-            x = keys[left[some]] ^ (at[left[some]].astype(np.uint64) * np.uint64(PLACE) + sizes[left[some]].astype(np.uint64) * np.uint64(LEFT) + sizes[right[some]].astype(np.uint64) * np.uint64(RIGHT))
-            stay = mix(x) >= np.uint64(min(self.limit, M64))
+        if keys is not None:
+            stay = ~self.skips(keys[left[some]], merge_codes(at[left[some]], sizes[left[some]], sizes[right[some]]))
             some, found = some[stay], found[stay]
         order[some], merged[some] = self.orders[found], self.merged[found]
         return order, merged
 
-    def merge_many(self, chunks: list[str], lanes: list[int]) -> list[bytes]:
+    def skips(self, keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        return mix(keys ^ codes) < np.uint64(min(self.limit, M64))
+
+    def keys_of(self, chunks: list[str], occurrences: np.ndarray) -> np.ndarray:
+        """The keys of occurrences of chunks."""
+        return mix(np.array([xxhash.xxh64_intdigest(c, self.seed) for c in chunks], dtype=np.uint64) + occurrences)
+
+    def merge_many(self, chunks: list[str], occurrences: list[int]) -> list[bytes]:
         """The ids of each chunk, as merge() gives them."""
+        return self._merged(chunks, self.keys_of(chunks, np.array(occurrences, dtype=np.uint64)) if self.limit else None)[0]
+
+    def _merged(self, chunks: list[str], key: np.ndarray | None) -> tuple[list[bytes], list[bytes]]:
+        """The ids of each chunk under its key, or without dropout; and, without, the codes of the merges of chunks that aren't long."""
         lengths = np.array([len(c) for c in chunks])
-        out: list[bytes] = [b""] * len(chunks)
-        for i in np.flatnonzero(lengths >= LONG).tolist():
-            out[i] = self.merge(chunks[i], lanes[i])
+        out, codes = [b""] * len(chunks), [b""] * len(chunks)
+        alone = range(len(chunks)) if not len(self.pairs) else np.flatnonzero(lengths >= LONG).tolist()
+        for i in alone:
+            out[i] = self._merge(chunks[i], None if key is None else int(key[i]))
         short = np.flatnonzero(lengths < LONG)
         if not len(short) or not len(self.pairs):
-            return out if not len(short) else [x or self.merge(c, lane) for x, c, lane in zip(out, chunks, lanes, strict=True)]
+            return out, codes
         picked = [chunks[i] for i in short.tolist()]
         points = np.frombuffer("".join(picked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         chunk = np.repeat(np.arange(len(short)), lengths[short])
-        key = np.array([xxhash.xxh64_intdigest(c, self.seed * LANES + lanes[i]) for c, i in zip(picked, short.tolist(), strict=True)], dtype=np.uint64) if self.limit else np.zeros(len(short), np.uint64)
         at = np.arange(len(points)) - np.repeat(np.cumsum(lengths[short]) - lengths[short], lengths[short])
         # one row for each part: chunk, key, place, size, symbol, code point, agenda order and symbol of merging with the next
-        keys, sizes, symbols = key[chunk], np.ones(len(points), dtype=np.int64), self.symbol_of[points]
+        keys, sizes, symbols = None if key is None else key[short][chunk], np.ones(len(points), dtype=np.int64), self.symbol_of[points]
         order, merged = np.full(len(points), NEVER), np.zeros(len(points), dtype=np.int64)
         left = np.flatnonzero(chunk[1:] == chunk[:-1])
         order[left], merged[left] = self.candidates(keys, at, sizes, symbols, left, left + 1)
-        done = []
+        done, made = [], []
         while len(chunk):
             first = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
             count = np.diff(np.append(first, len(chunk)))
@@ -128,10 +138,13 @@ class Codec:
             stays = np.repeat(live, count)
             done.append(np.stack([x[~stays] for x in (chunk, symbols, points)]))
             i = best[live] % len(chunk)
+            if keys is None:
+                made.append((chunk[i], merge_codes(at[i], sizes[i], sizes[i + 1])))
             symbols[i], sizes[i] = merged[i], sizes[i] + sizes[i + 1]
             stays[i + 1] = False
             place = np.cumsum(stays) - 1
-            chunk, keys, at, sizes, symbols, points, order, merged = (x[stays] for x in (chunk, keys, at, sizes, symbols, points, order, merged))
+            keys = None if keys is None else keys[stays]
+            chunk, at, sizes, symbols, points, order, merged = (x[stays] for x in (chunk, at, sizes, symbols, points, order, merged))
             i = place[i]
             again = np.concatenate([i, i[i > 0] - 1])
             order[again] = NEVER
@@ -154,7 +167,13 @@ class Codec:
         for i, end in zip(short.tolist(), ends, strict=True):
             out[i] = raw[start:end]
             start = end
-        return out
+        if made:
+            of = np.concatenate([x for x, _ in made])
+            raw = np.concatenate([x for _, x in made])[np.argsort(of, kind="stable")].tobytes()
+            ends = (np.cumsum(np.bincount(of, minlength=len(short))) * 8).tolist()
+            for i, start, end in zip(short.tolist(), [0, *ends], ends, strict=False):
+                codes[i] = raw[start:end]
+        return out, codes
 
     def skipped(self, key: int, at: int, left: int, right: int) -> bool:
         x = (key ^ (at * PLACE + left * LEFT + right * RIGHT)) & M64
@@ -162,8 +181,11 @@ class Codec:
         x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & M64
         return x ^ (x >> 32) < self.limit
 
-    def merge(self, chunk: str, lane: int) -> bytes:
-        """The ids of one chunk, as 4-byte numbers."""
+    def merge(self, chunk: str, occurrence: int) -> bytes:
+        """The ids of one occurrence of a chunk, as 4-byte numbers."""
+        return self._merge(chunk, int(self.keys_of([chunk], np.array([occurrence], dtype=np.uint64))[0]) if self.limit else None)
+
+    def _merge(self, chunk: str, key: int | None) -> bytes:
         parts, table = list(chunk), self.table
         n = len(parts)
         following, preceding = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -172,12 +194,11 @@ class Codec:
             if found := table.get(parts[i] + parts[i + 1]):
                 agenda.append((found[0], i, i + 1, parts[i] + parts[i + 1]))
         heapq.heapify(agenda)
-        key = xxhash.xxh64_intdigest(chunk, self.seed * LANES + lane) if self.limit else 0
         while agenda:
             _, i, j, merged = heapq.heappop(agenda)
             if not parts[i] or following[i] != j or j >= n or len(parts[i]) + len(parts[j]) != len(merged):
                 continue  # one of the two has merged with another part meanwhile
-            if self.limit and self.skipped(key, i, len(parts[i]), len(parts[j])):
+            if key is not None and self.skipped(key, i, len(parts[i]), len(parts[j])):
                 continue
             parts[i], parts[j] = merged, ""
             after = following[i] = following[j]
@@ -197,43 +218,55 @@ class Codec:
                     ids.extend(self.byte_ids[b] for b in part.encode())
         return np.array(ids, dtype="<i4").tobytes()
 
-    def cut(self, text: str, key: int) -> tuple[list[str], bytes]:
-        """The chunks of a text and their lanes. A space mark that the text itself holds is a chunk of its own, None."""
+    def cut(self, text: str) -> list[str | None]:
+        """The chunks of a text. A space mark that the text itself holds is a chunk of its own, None."""
         chunks: list = []
-        for i, part in enumerate(text.split(MARK)):
+        for i, part in enumerate(text.split(MARK) if text else ()):
             chunks += [None] if i else []
             chunks += self.chunks((MARK if not i else "") + part.replace(" ", MARK))
-        if not self.limit:
-            return chunks, bytes(len(chunks))
-        return chunks, (mix(np.arange(len(chunks), dtype=np.uint64) + np.uint64(key & M64)) % np.uint64(LANES)).astype(np.uint8).tobytes()
+        return chunks
+
+    def plain(self, chunks: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Pieces and merge codes without dropout."""
+        mark = np.array([self.byte_ids[b] for b in MARK.encode()], dtype="<i4").tobytes()
+        new: dict[str | None, tuple[bytes, bytes]] = {None: (mark, b"")}
+        missing = [c for c in chunks if c is not None and c not in self.known]
+        for at in range(0, len(missing), 1 << 16):  # bounds the arrays
+            part = missing[at : at + (1 << 16)]
+            new.update(zip(part, zip(*self._merged(part, None), strict=True), strict=True))
+        out = [self.known.get(c) or new[c] for c in chunks]
+        if len(self.known) < CACHE_CHUNKS:
+            self.known.update((c, new[c]) for c in missing)
+        return out
 
     def encode_many(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
         """The ids of each text. A space mark that a text itself holds is spelled in bytes, so it isn't taken for a space."""
-        mark = np.array([self.byte_ids[b] for b in MARK.encode()], dtype="<i4").tobytes()
-        found, missing = [], {}
-        for n, (text, key) in enumerate(zip(texts, keys, strict=True)):
-            chunks, lanes = self.cut(text, key) if text else ([], b"")
-            known = self.known
-            ids = [known[lane].get(c) for c, lane in zip(chunks, lanes, strict=True)]
-            if None in ids:
-                for i, x in enumerate(ids):
-                    if x is None:
-                        if chunks[i] is None:
-                            ids[i] = mark
-                        else:
-                            missing.setdefault((chunks[i], lanes[i]), []).append((n, i))
-            found.append(ids)
-        if missing:
-            wanted = list(missing)
-            for at in range(0, len(wanted), 1 << 16):  # bounds the arrays
-                part = wanted[at : at + (1 << 16)]
-                for (chunk, lane), ids in zip(part, self.merge_many([c for c, _ in part], [k for _, k in part]), strict=True):
-                    for n, i in missing[chunk, lane]:
-                        found[n][i] = ids
-                    if self.size < CACHE_CHUNKS:
-                        self.known[lane][chunk] = ids
-                        self.size += 1
-        return [np.frombuffer(b"".join(x), dtype="<i4") for x in found]
+        cuts = [self.cut(t) for t in texts]
+        number: dict[str | None, int] = {}
+        which = np.array([number.setdefault(c, len(number)) for chunks in cuts for c in chunks], dtype=np.int64)
+        distinct = list(number)
+        known = self.plain(distinct)
+        found = [known[i][0] for i in which.tolist()]
+        if self.limit and distinct:
+            occurrences = np.concatenate([mix(np.arange(len(c), dtype=np.uint64) + np.uint64(k & M64)) for c, k in zip(cuts, keys, strict=True)])
+            own = np.array([xxhash.xxh64_intdigest(c or "", self.seed) for c in distinct], dtype=np.uint64)
+            codes = np.frombuffer(b"".join([x for _, x in known]), dtype=np.uint64)
+            counts = np.array([len(x) // 8 for _, x in known])
+            begins = np.cumsum(counts) - counts
+            long = np.array([c is not None and (len(c) >= LONG or not len(self.pairs)) for c in distinct])
+            for at in range(0, len(which), 1 << 16):  # bounds the arrays
+                kind = which[at : at + (1 << 16)]
+                key, n = mix(own[kind] + occurrences[at : at + (1 << 16)]), counts[kind]
+                owner = np.repeat(np.arange(len(kind)), n)
+                code = codes[np.arange(len(owner)) + np.repeat(begins[kind] - (np.cumsum(n) - n), n)]
+                other = long[kind]
+                other[owner[self.skips(key[owner], code)]] = True
+                other = np.flatnonzero(other)
+                ids, _ = self._merged([distinct[k] for k in kind[other].tolist()], key[other])
+                for i, x in zip((other + at).tolist(), ids, strict=True):
+                    found[i] = x
+        ends = np.cumsum([len(c) for c in cuts]).tolist()
+        return [np.frombuffer(b"".join(found[a:b]), dtype="<i4") for a, b in zip([0, *ends], ends, strict=False)]
 
     def encode(self, text: str, key: int = 0) -> np.ndarray:
         return self.encode_many([text], [key])[0]
@@ -242,6 +275,11 @@ class Codec:
         return b"".join(map(self.spelled.__getitem__, ids.tolist())).decode("utf-8", "replace")[1:]
 
 
+def merge_codes(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """What the keyed hash takes of a merge: the place and the sizes of both parts."""
+    return at.astype(np.uint64) * np.uint64(PLACE) + left.astype(np.uint64) * np.uint64(LEFT) + right.astype(np.uint64) * np.uint64(RIGHT)
+
+
 _codecs: dict[tuple, Codec] = {}
 
 
@@ -254,14 +292,19 @@ def codec(vocabularies: str, dropout: float, seed: int) -> Codec:
     return _codecs[wanted]
 
 
-def text_keys(ids: pa.Array) -> list[int]:
-    return mix(ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).tolist()
+def text_keys(ids: pa.Array, copies: pa.Array | None = None) -> list[int]:
+    """One for each text id and number of its copy."""
+    keys = ids.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    if copies is not None:
+        keys = keys + copies.to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(RIGHT)
+    return mix(keys).tolist()
 
 
-def encoded(documents: DataFrame, dropout: float = DROPOUT, seed: int = SEED, vocabularies: str = VOCABULARIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(documents: DataFrame, dropout: float = DROPOUT, seed: int = SEED, vocabularies: str = VOCABULARIES, id_col: str = "doc_id", text_col: str = "text", by_copy: bool = False) -> DataFrame:
     """One row per row of documents: doc_id and ids, the pieces of the whole text (array of int).
 
-    A null or empty text has no pieces. A null id is a key like any other; repeated rows have the same pieces. An empty
+    A null or empty text has no pieces. A null id is a key like any other; repeated rows have the same pieces, or with
+    by_copy each its own, by the row's number among the rows of its id and text. An empty
     table gives no rows; extra columns are ignored, whatever their names.
     """
 
@@ -269,12 +312,14 @@ def encoded(documents: DataFrame, dropout: float = DROPOUT, seed: int = SEED, vo
         own = codec(vocabularies, dropout, seed)
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = own.encode_many([x or "" for x in batch.column("text").to_pylist()], text_keys(batch.column("id")))
+                found = own.encode_many([x or "" for x in batch.column("text").to_pylist()], text_keys(batch.column("id"), batch.column("copy")))
                 offsets = np.append(0, np.cumsum([len(x) for x in found])).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), ids], ["doc_id", "ids"])
 
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    copies = Window.partitionBy("id", F.xxhash64("text")).orderBy("text")
+    rows = rows.withColumn("copy", F.row_number().over(copies) - 1 if by_copy else F.lit(0))
     return rows.mapInArrow(run, "doc_id long, ids array<int>")
 
 

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ IS_SPACE[list(SPACES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+BATCH_BYTES, _BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 #: A Java regex for one word: a maximal run without the separators above.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -28,15 +31,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's checkpoint folder.
 
-    Where the cluster names none (a local test), a temporary folder of this machine is set.
+    Where a local session names none (a test), a temporary folder of this machine is set; a cluster has to name one.
     """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext._jsc.isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
 
 
+def hold_batches(spark: SparkSession) -> None:
+    """Holds the Arrow batches of the session to BATCH_BYTES, so that Python workers see long texts a few at a time."""
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_BYTES))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: cuts the lineage, survives lost executors.
 
@@ -107,6 +119,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_space: np.ndarray = IS_SP
 
 
 _MULTIPLIERS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
+_LETTERS = np.random.Generator(np.random.PCG64(20240301)).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -119,21 +132,31 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, is_space: np.ndarray = IS_SPACE) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a sum of byte times a random odd number by place, then mixed.
+    """A 64-bit hash of each word's bytes: a sum of the byte's random number times one of its place, then mixed.
 
-    Places past the table of numbers take it again with a factor of their own, so words of any length count whole.
+    Every place has a random odd number of its own, those past a table by a hash of the place.
     """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    place = np.arange(len(data), dtype=np.int64)
     lengths = ends - starts
     owner = np.zeros(len(data), dtype=np.int64)
     owner[starts[0] :] = np.repeat(starts, np.diff(np.append(starts, len(data))))
-    place -= owner
+    place = np.arange(len(data), dtype=np.int64) - owner
     size = len(_MULTIPLIERS)
     terms = _MULTIPLIERS[place % size]
-    if len(lengths) and lengths.max() > size:
-        terms = terms * (np.uint64(2) * (place // size).astype(np.uint64) + np.uint64(1))
-    terms = (data.astype(np.uint64) + np.uint64(1)) * terms
+    if lengths.max() > size:
+        far = np.flatnonzero(place >= size)
+        terms[far] = mix(place[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    terms *= _LETTERS[data]
     terms[is_space[data]] = 0
     return mix(np.add.reduceat(terms, starts) + lengths.astype(np.uint64))
+
+
+def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The number of every word of a string column, by content; the index of each text's first word (len + 1 numbers); the distinct words."""
+    lists = pc.ascii_split_whitespace(column.fill_null("").cast(pa.large_string()))
+    words = lists.flatten()
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    found = words.filter(pa.array(real)).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(real))[offsets], found.dictionary

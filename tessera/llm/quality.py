@@ -15,10 +15,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import IS_SPACE, _MULTIPLIERS, mix, slices, string_bytes, word_hashes, words_of
+from tessera.llm.common import IS_SPACE, hold_batches, mix, slices, string_bytes, word_codes
 
 VOCABULARIES = "/opt/tokenizers"
 PIECES = "piece_bpe_32k.model"
@@ -82,16 +83,6 @@ class Tokeniser:
         return out
 
 
-def unit_hashes(data: np.ndarray, starts: np.ndarray, skip: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes from each start to the next, without those that skip marks at the end of a unit."""
-    place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, np.diff(np.append(starts, len(data))))
-    size = len(_MULTIPLIERS)
-    terms = _MULTIPLIERS[place % size] * (np.uint64(2) * (place // size).astype(np.uint64) + np.uint64(1))
-    terms *= data.astype(np.uint64) + np.uint64(1)
-    terms[skip] = 0
-    return mix(np.add.reduceat(terms, starts))
-
-
 def repeats(keys: np.ndarray) -> np.ndarray:
     """Which of the keys, in order, equal an earlier one."""
     order = np.argsort(keys, kind="stable")
@@ -105,50 +96,53 @@ def per_text(flags: np.ndarray, borders: np.ndarray) -> np.ndarray:
     return np.diff(np.append(0, np.cumsum(flags, dtype=np.int64))[borders])
 
 
-def measure(data: np.ndarray, offsets: np.ndarray, tokeniser: Tokeniser) -> dict[str, np.ndarray]:
-    """All counts and measures of the texts."""
-    n_texts = len(offsets) - 1
-    text_number = np.arange(n_texts)
-    salt = mix(text_number.astype(np.uint64) + np.uint64(1))
-    starts, ends, first = words_of(data, offsets)
+def repeated_windows(codes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Where the windows of REPEAT_WINDOW words start that occur twice or more in their text."""
+    windows = len(codes) - REPEAT_WINDOW + 1
+    if windows < 1:
+        return np.zeros(0, np.int64)
+    inside = np.flatnonzero(owner[:windows] == owner[REPEAT_WINDOW - 1 :])
+    key = mix(owner[inside].astype(np.uint64))
+    for i in range(REPEAT_WINDOW):
+        key = mix(key + codes[inside + i].astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    a, b = inside[order[1:][same]], inside[order[:-1][same]]
+    if any((codes[a + i] != codes[b + i]).any() for i in range(REPEAT_WINDOW)) or (owner[a] != owner[b]).any():
+        every = np.column_stack([owner[inside], *(codes[inside + i] for i in range(REPEAT_WINDOW))])  # a hash collided
+        _, number, times = np.unique(every, axis=0, return_inverse=True, return_counts=True)
+        return inside[times[number.ravel()] > 1]
+    return np.unique(np.concatenate([a, b]))
+
+
+def duplicate_lines(column: pa.Array) -> np.ndarray:
+    """For each text the lines with a word that equal an earlier line of it."""
+    lists = pc.split_pattern(column.fill_null("").cast(pa.large_string()), "\n")
+    owner = np.repeat(np.arange(len(column)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    found = lists.flatten().dictionary_encode()
+    worded = pc.binary_length(pc.ascii_trim_whitespace(found.dictionary)).to_numpy(zero_copy_only=False) > 0
+    codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    held = worded[codes]
+    again = repeats(owner[held] * np.int64(len(worded)) + codes[held])
+    return np.bincount(owner[held][again], minlength=len(column))
+
+
+def measure(column: pa.Array, tokeniser: Tokeniser) -> dict[str, np.ndarray]:
+    """All counts and measures of the texts. Words and lines are told apart by content."""
+    n_texts = len(column)
+    data, offsets = string_bytes(column)
+    codes, first, distinct = word_codes(column)
     n_words = np.diff(first)
-    owner = np.repeat(text_number, n_words)
+    owner = np.repeat(np.arange(n_texts), n_words)
     space = IS_SPACE[data]
     out = {"n_words": n_words, "word_chars": per_text(~space & ((data & 0xC0) != 0x80), offsets), "n_symbols": per_text(np.isin(data, np.frombuffer(SYMBOLS, np.uint8)), offsets)}
-
-    # lines: a unit starts at a text's first byte and after each line feed, and its own line feed doesn't count
-    feed = data == 10
-    begins = np.zeros(len(data) + 1, dtype=bool)
-    begins[1:] = feed
-    begins[offsets[:-1]] = True
-    lines = np.flatnonzero(begins[:-1])
-    duplicate = np.zeros(0, dtype=bool)
-    line_text = np.searchsorted(offsets, lines, side="right") - 1
-    if len(lines):
-        worded = np.add.reduceat(~space, lines, dtype=np.int64) > 0
-        keys = unit_hashes(data, lines, feed) + salt[line_text]
-        duplicate = np.zeros(len(lines), dtype=bool)
-        duplicate[worded] = repeats(keys[worded])
-    out["n_dup_lines"] = np.bincount(line_text[duplicate], minlength=n_texts)
-
-    hashes = word_hashes(data, starts, ends)
-    covered = np.zeros(len(hashes) + 1, dtype=np.int32)
-    if len(hashes) >= REPEAT_WINDOW:
-        windows = len(hashes) - REPEAT_WINDOW + 1
-        key = np.zeros(windows, dtype=np.uint64)
-        for i in range(REPEAT_WINDOW):
-            key = mix(key + hashes[i : windows + i])
-        inside = np.flatnonzero(owner[:windows] == owner[REPEAT_WINDOW - 1 :])
-        key = key[inside] + salt[owner[inside]]
-        again = repeats(key)
-        both = again | repeats(key[::-1])[::-1]
-        np.add.at(covered, inside[both], 1)
-        np.add.at(covered, inside[both] + REPEAT_WINDOW, -1)
+    out["n_dup_lines"] = duplicate_lines(column)
+    windows = repeated_windows(codes, owner)
+    covered = np.zeros(len(codes) + 1, dtype=np.int32)
+    np.add.at(covered, windows, 1)
+    np.add.at(covered, windows + REPEAT_WINDOW, -1)
     out["n_repeat_words"] = per_text(np.cumsum(covered[:-1]) > 0, first)
-
-    _, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-    raw = data.tobytes()
-    found = tokeniser.of([raw[a:b] for a, b in zip(starts[sample].tolist(), ends[sample].tolist(), strict=True)])
+    found, inverse = tokeniser.of(distinct.cast(pa.large_binary()).to_pylist()), codes
     if not found:
         zero = np.zeros(n_texts)
         return out | {"n_tokens": np.zeros(n_texts, np.int64), "chars_per_piece": zero, "chars_per_byte_token": zero, "fallback_share": zero, "entropy": zero}
@@ -194,7 +188,7 @@ def judgements(batches: Iterator[pa.RecordBatch], vocabularies: str) -> Iterator
         for batch in slices(whole, "text"):
             tokeniser = tokeniser or Tokeniser(vocabularies)
             data, offsets = string_bytes(batch.column("text"))
-            found = measure(data, offsets, tokeniser)
+            found = measure(batch.column("text"), tokeniser)
             failed = (found["n_words"] < LEAST_WORDS) | (100 * found["n_repeat_words"] > REPEAT_PERCENT * found["n_words"])
             plain = per_text(data < 128, offsets) / np.maximum(np.diff(offsets), 1)
             yield batch, found, failed, ~failed & verdicts(found, batch.column("lang").to_pylist(), plain)

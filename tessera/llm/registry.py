@@ -49,6 +49,21 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS p FROM d)),
+m AS (SELECT s, min(doc_id) AS low FROM s GROUP BY s HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT s.doc_id, s.p FROM s JOIN m ON s.s = m.s WHERE m.low < s.doc_id),
+n AS (SELECT *, CAST(p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p), -51) + 50 AS INT) AS fresh FROM c),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM n),
+g AS (SELECT doc_id, run, min(p) AS a, max(p) + 50 AS e FROM r GROUP BY ALL),
+k AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM g),
+j AS (SELECT k.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(h), 2 * max(e) + 1) AS kept, sum(e - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans FROM k JOIN d ON k.doc_id = d.doc_id GROUP BY k.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN j ON d.doc_id = j.doc_id
+"""
+
+
 def op7_hashed_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
 
@@ -77,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_norm_bucketed_topk": OP2_SQL, "op3_hierarchical_mixing": mixing.mixed_sql(), "op8_license_scan": licenses.scanned_sql(), "op10_url_vocabulary": urls.verdict_sql()}
+    return {"op2_norm_bucketed_topk": OP2_SQL, "op3_hierarchical_mixing": mixing.mixed_sql(), "op6_suffix_dedup": OP6_SQL, "op8_license_scan": licenses.scanned_sql(), "op10_url_vocabulary": urls.verdict_sql()}

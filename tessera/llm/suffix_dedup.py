@@ -1,37 +1,47 @@
-"""Removal of byte strings that an earlier document already holds, by blockwise suffix sorting.
+"""Removal of byte strings that an earlier document already holds, by blockwise suffix sorting over a difference cover.
 
 Every byte covered by a `length`-byte string that also starts in a document with a smaller id goes. Texts are
-dealt out by id into batches of a few MB. One plan, six steps; the exchange of the texts is made once and reused:
+dealt out by id into batches of a few MB. One plan; the exchange of the texts is made once and reused:
 
 1. Cover sample. Positions p with p mod v in a difference cover D are sampled. For any two places i, j there
-   is a shift d < v for which i + d and j + d are both sampled, so two equal strings of `length` bytes hold equal
-   sampled strings of length - v + 1 bytes. A batch sends the sorted hashes of its sampled strings, as packed steps.
-2. Cover ranks. A hash range at a time, the sample is merged; a sampled string has a rank of its own, or shares it
-   with another document. The long tie of a suffix can only be open if its cover sample shares a rank.
+   is a shift d < v for which i + d and j + d are both sampled. A batch sends the sorted hashes of its sampled strings of
+   length - v + 1 bytes, as packed steps.
+2. Cover ranks. A hash range at a time, the sample is sorted. A string that two documents hold gets a rank, its place in
+   that order; a string of one document gets none. A suffix can only have an equal in another document if one of the
+   sampled strings in its head has a rank.
 3. Runs. A suffix's bucket is the smallest hash among the 16-byte strings in its head, so neighbouring suffixes share
-   buckets in runs. Of each run with an open tie, the batch sends bucket, a hash of its text, id and place; runs that are equal
+   buckets in runs. Of each run with a rank in it, the batch sends bucket, a hash of its text, id and place; runs that are equal
    within a batch are settled there, and one of them goes on.
-4. Equal runs. Of runs with equal text in one bucket, all but that of the smallest id are covered. Where a bucket has
-   one text only, nothing is left to compare; of the others, the batches send each different text once.
-5. Blockwise sort. Such a bucket's suffixes are sorted by their bytes, one block of buckets at a time; the smallest id
-   among equal heads decides.
+4. Equal runs meet by bucket and hash of the text: all but those of the smallest id are covered. The texts that are left are counted by
+   bucket, from sums of each task. A bucket of one text has nothing left to compare. One of over HOT texts, such as a passage
+   that very many documents hold between different texts, is split: its suffixes become buckets of their own, by all their bytes.
+5. Blockwise sort. A bucket's suffixes are sorted by their first v bytes, one block of buckets at a time. Longer ties are resolved by
+   the ranks: each suffix stands once for each of its sampled shifts d, with the rank there and the bytes that follow the sampled string, and equal suffixes
+   meet at the shift that the cover has for them. The smallest id among equal ones decides. Ties of ranks are verified by
+   bytes; if a hash has collided, the block is sorted by all bytes instead.
 6. The batch cuts the covered bytes out of its texts.
 
 No task holds more than a batch, one hash range of the sample or one range of buckets, and all three counts grow with the
-input. A string that very many documents share reaches its bucket at most once from each batch.
+text. A string that very many documents share reaches a task at most once from each batch. Inside a batch, work on places runs in
+slabs, so a very long text takes a few times its size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import mix, string_bytes
 
-BATCH_MB = 1.5  # of stored input; about 2.5 MB of text
-BLOCK = 1 << 18  # suffixes that are sorted at once
+BATCH_BYTES, LEAST_BYTES = 4 << 20, 1 << 17  # of text in a batch; batches are no smaller to have one for each shuffle partition
+BLOCK = 1 << 17  # suffixes that are sorted at once
+SLAB = 1 << 18  # places that are worked on at once
+HOT = 256  # different texts from which a bucket is split
 
 
 def gram(length: int) -> int:
@@ -39,7 +49,6 @@ def gram(length: int) -> int:
     return 16 if length >= 32 else 8
 
 
-
 def difference_cover(v: int) -> np.ndarray:
     """The residues of the smallest difference cover modulo v in lexicographic order: all differences occur."""
     size = 1
@@ -97,6 +106,11 @@ def unpack(blob: bytes) -> np.ndarray:
     return np.cumsum(steps, dtype=np.uint64)
 
 
+def words_from(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
+    """The 8 bytes from every place on, as numbers."""
+    return np.ndarray((max(0, len(data) - 7),), dtype=kind, buffer=data, strides=(1,))
+
+
 class Batch:
     """The texts of one batch in a fixed order, end to end."""
 
@@ -115,15 +129,24 @@ class Batch:
         self.size = length - self.v + 1
         self.starts, self.sizes = self.offsets[:-1], np.diff(self.offsets)
 
+    def slabs(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, place in the text, bytes from there to the text's end) of every slab."""
+        for s in range(0, len(self.data), SLAB):
+            e = min(len(self.data), s + SLAB)
+            counts = np.diff(np.clip(self.offsets, s, e))
+            place = np.arange(s, e)
+            yield s, e, (place - np.repeat(self.starts, counts)).astype(np.int32), (np.repeat(self.offsets[1:], counts) - place).astype(np.int32)
+
     def sample(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sampled places, the order that sorts them by hash, and the sorted hashes."""
-        n = len(self.data)
-        at = np.arange(n, dtype=np.int32) - np.repeat(self.starts, self.sizes).astype(np.int32)
-        chosen = np.isin(np.arange(self.v), difference_cover(self.v))[at % self.v]
-        chosen &= at <= np.repeat(self.sizes - self.length, self.sizes) + (self.v - 1)  # the last string of a text can start v - 1 before
-        chosen &= np.repeat(self.sizes >= self.length, self.sizes)
-        places = np.flatnonzero(chosen)
-        hashes = hashes_at(self.data, places, self.size) >> np.uint64(64 - bits)
+        cover = np.isin(np.arange(self.v), difference_cover(self.v))
+        places = [np.zeros(0, np.int64)]
+        for s, _, at, left in self.slabs():
+            places.append(np.flatnonzero(cover[at % self.v] & (left >= self.size) & (at + left >= self.length)) + s)
+        places = np.concatenate(places)
+        hashes = np.empty(len(places), dtype=np.uint64)
+        for s in range(0, len(places), SLAB):
+            hashes[s : s + SLAB] = hashes_at(self.data, places[s : s + SLAB], self.size) >> np.uint64(64 - bits)
         order = np.argsort(hashes, kind="stable")
         return places, order, hashes[order]
 
@@ -146,38 +169,45 @@ def heads(hashes: np.ndarray) -> np.ndarray:
 
 def bucket_starts(hashes: np.ndarray, buckets: int, bits: int) -> np.ndarray:
     """Where the hashes of each of the equal hash ranges begin, and the end."""
-    return np.searchsorted(hashes, np.array([(i << bits) // buckets for i in range(buckets)] + [1 << bits], dtype=object).astype(np.uint64))
+    return np.append(np.searchsorted(hashes, np.array([(i << bits) // buckets for i in range(buckets)], dtype=np.uint64)), len(hashes))
 
 
 def sample_blobs(length: int, bits: int, buckets: int):
-    """Step 1: one row for each hash range that the batch has a sampled string in."""
+    """Step 1: one row for each hash range that the batch has a sampled string in. several: a bit for each, set if two documents hold it."""
 
     def run(rows: pa.Table) -> pa.Table:
         batch = Batch(rows, length)
-        _, _, hashes = batch.sample(bits)
-        hashes = hashes[heads(hashes)]
+        places, order, hashes = batch.sample(bits)
+        begin = np.flatnonzero(heads(hashes))
+        owners = batch.ids[batch.text_of(places[order])]
+        several = np.minimum.reduceat(owners, begin) != np.maximum.reduceat(owners, begin) if len(begin) else np.zeros(0, bool)
+        hashes = hashes[begin]
         cuts = bucket_starts(hashes, buckets, bits).tolist()
         full = [i for i in range(buckets) if cuts[i] < cuts[i + 1]]
-        blobs = [pack(hashes[cuts[i] : cuts[i + 1]]) for i in full]
+        part = lambda f, x: pa.array([f(x[cuts[i] : cuts[i + 1]]) for i in full], pa.binary())
         b = rows.column("b")[0].as_py()
-        return pa.table({"bucket": pa.array(full, pa.int32()), "b": pa.array([b] * len(full), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        return pa.table({"bucket": pa.array(full, pa.int32()), "b": pa.array([b] * len(full), pa.int32()), "blob": part(pack, hashes), "several": part(lambda x: np.packbits(x).tobytes(), several)})
 
     return run
 
 
 def shared_ranks(rows: pa.Table) -> pa.Table:
-    """Step 2: for each batch of one hash range, a bit for each of its hashes: set if another batch has it too."""
+    """Step 2: for each batch of one hash range, a bit for each of its hashes, set if two documents hold it, and the ranks of those."""
     parts = [unpack(x) for x in rows.column("blob").to_pylist()]
+    several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(rows.column("several").to_pylist(), parts, strict=True)]
     hashes = np.concatenate(parts)
     order = np.argsort(hashes, kind="stable")
     first = heads(hashes[order])
-    shared = ~first
-    shared[:-1] |= ~first[1:]
-    bits = np.zeros(len(hashes), dtype=bool)
-    bits[order] = shared
-    ends = np.cumsum([len(x) for x in parts])
-    flags = [np.packbits(bits[e - len(x) : e]).tobytes() for x, e in zip(parts, ends.tolist(), strict=True)]
-    return pa.table({"b": rows.column("b"), "bucket": rows.column("bucket"), "flags": pa.array(flags, pa.binary())})
+    shared = np.concatenate(several)[order]
+    shared |= ~first
+    number = np.cumsum(first) - 1
+    shared = np.bincount(number, shared) > 0  # of each different hash
+    rank = np.cumsum(shared) - 1
+    bits, ranks = np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=np.uint64)
+    bits[order], ranks[order] = shared[number], rank[number]
+    ends = np.cumsum([len(x) for x in parts]).tolist()
+    out = [(bits[e - len(x) : e], ranks[e - len(x) : e]) for x, e in zip(parts, ends, strict=True)]
+    return pa.table({"b": rows.column("b"), "bucket": rows.column("bucket"), "flags": pa.array([np.packbits(f).tobytes() for f, _ in out], pa.binary()), "ranks": pa.array([pack(r[f]) for f, r in out], pa.binary())})
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -190,57 +220,56 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def open_suffixes(batch: Batch, flags: pa.Table, bits: int, buckets: int) -> np.ndarray:
-    """The places whose tie is open: a sampled string within v - 1 bytes after it is in another document too."""
+def sample_ranks(batch: Batch, told: pa.Table, bits: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sampled places that have a rank, rising, and their ranks, from 1."""
     places, order, hashes = batch.sample(bits)
     first = heads(hashes)
     distinct = hashes[first]
     cuts = bucket_starts(distinct, buckets, bits)
-    shared = np.zeros(len(distinct), dtype=bool)
-    for bucket, blob in zip(flags.column("bucket").to_pylist(), flags.column("flags").to_pylist(), strict=True):
+    ranks = np.zeros(len(distinct), dtype=np.uint64)
+    for bucket, flags, own in zip(*(told.column(c).to_pylist() for c in ("bucket", "flags", "ranks")), strict=True):
         a, e = cuts[bucket], cuts[bucket + 1]
-        shared[a:e] = np.unpackbits(np.frombuffer(blob, np.uint8), count=e - a).astype(bool)
-    # or two documents of this batch have it
-    run = np.cumsum(first) - 1
-    owners = batch.ids[batch.text_of(places[order])]
-    begin = np.flatnonzero(first)
-    if len(begin):
-        shared |= np.minimum.reduceat(owners, begin) != np.maximum.reduceat(owners, begin)
-    found = places[order[shared[run]]] if len(run) else places
-    text = batch.text_of(found)
-    low = np.maximum(found - batch.v + 1, batch.starts[text])
-    high = np.minimum(found, batch.starts[text] + batch.sizes[text] - batch.length)
-    low, high = low[low <= high], high[low <= high]
-    level = np.zeros(len(batch.data) + 1, dtype=np.int32)
-    np.add.at(level, low, 1)
-    np.add.at(level, high + 1, -1)
-    return np.flatnonzero(np.cumsum(level[:-1]) > 0)
-
-
-def runs_of(batch: Batch, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All runs of neighbouring suffixes of one text that share a bucket and hold one of the given: place, size, bucket.
-
-    A run is whole even if some of its suffixes aren't given, so equal passages have equal runs but at their ends.
+        shared = np.unpackbits(np.frombuffer(flags, np.uint8), count=e - a).astype(bool)
+        ranks[a:e][shared] = unpack(own) * np.uint64(buckets) + np.uint64(bucket + 1)
+    out = np.zeros(len(places), dtype=np.uint64)
+    if len(places):
+        out[order] = ranks[np.cumsum(first) - 1]
+    return places[out > 0], out[out > 0]
+
+
+def runs_of(batch: Batch, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All runs of neighbouring suffixes of one text that share a bucket, if one of them has a ranked place in its head: place, size, bucket.
+
+    A run is whole even if some of its suffixes have none, so equal passages have equal runs but at their ends.
     """
     n, length, width = len(batch.data), batch.length, gram(batch.length)
-    values = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
-    if n >= width:
-        values[: n - width + 1] = hashes_at(batch.data, np.arange(n - width + 1), width)
-    keys = sliding_minimum(values, length - width + 1)
-    at = np.arange(n, dtype=np.int32) - np.repeat(batch.starts, batch.sizes).astype(np.int32)
-    valid = at <= np.repeat(batch.sizes - length, batch.sizes)
-    new = valid.copy()
-    new[1:] &= ~valid[:-1] | (at[1:] == 0) | (keys[1:] != keys[:-1])
-    first = np.flatnonzero(new)
-    given = np.zeros(n + 1, dtype=np.int64)
-    given[suffixes + 1] = 1
-    given = np.cumsum(given)
-    stop = np.append(first[1:], n)
+    words, reach = words_from(batch.data), length - width
+    firsts, keys, key, at_end = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], None, True
+    for s, e, at, left in batch.slabs():
+        stop = min(e + reach, n - width + 1)
+        if stop <= s:
+            break
+        values = np.full(e + reach - s, np.iinfo(np.uint64).max, dtype=np.uint64)
+        out = np.full(stop - s, width, dtype=np.uint64)
+        for x in range(0, width, 8):
+            out = (out ^ words[s + x : stop + x]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        values[: stop - s] = mix(out)
+        own = sliding_minimum(values, reach + 1)[: e - s]
+        valid = left >= length
+        new = valid & (at == 0)
+        new[1:] |= valid[1:] & (~valid[:-1] | (own[1:] != own[:-1]))
+        new[0] |= valid[0] and (at_end or own[0] != key)
+        firsts.append(np.flatnonzero(new) + s)
+        keys.append(own[new])
+        key, at_end = own[-1], not valid[-1]
+    first, keys = np.concatenate(firsts), np.concatenate(keys)
+    if not len(first):
+        return first, first, keys
     # the last run of a text ends where no string of the text starts any more
-    text = batch.text_of(first)
-    stop = np.minimum(stop, batch.starts[text] + batch.sizes[text] - length + 1)
-    held = given[stop] > given[first]
-    return first[held], (stop - first)[held], keys[first[held]]
+    stop = np.minimum(np.append(first[1:], n), batch.offsets[batch.text_of(first) + 1] - length + 1)
+    held = np.searchsorted(ranked, stop + (batch.v - 1)) > np.searchsorted(ranked, first)
+    return first[held], (stop - first)[held], keys[held]
 
 
 def text_hashes(batch: Batch, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -249,7 +278,7 @@ def text_hashes(batch: Batch, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     out = np.zeros(len(at), dtype=np.uint64)
     last = at + total - 8
     # words of 8 bytes every 8 bytes, the last one overlapping; runs that have ended keep their hash
-    words = np.ndarray((len(batch.data) - 7,), dtype="<u8", buffer=batch.data, strides=(1,))
+    words = words_from(batch.data)
     live, step = np.arange(len(at)), 0
     while len(live):
         x = out[live] ^ words[np.minimum(at[live] + step, last[live])]
@@ -283,25 +312,20 @@ RUNS = ("keys", "marks", "ids", "at", "n", "gone")
 
 
 def send_runs(length: int, bits: int, buckets: int):
-    """Step 3: one row for each bucket range that the batch has an open run in. gone: spans that are settled here."""
+    """Step 3: one row for each range of buckets and marks that the batch has a run with a rank in. gone: spans that are settled here."""
 
-    def run(rows: pa.Table, flags: pa.Table) -> pa.Table:
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
         batch = Batch(rows, length) if rows.num_rows else None
-        suffixes = open_suffixes(batch, flags, bits, buckets) if batch else ()
-        if not len(suffixes):
+        ranked = sample_ranks(batch, told, bits, buckets)[0] if batch else ()
+        if not len(ranked):
             return table_of([], RUNS)
-        at, sizes, keys = runs_of(batch, suffixes)
+        at, sizes, keys = runs_of(batch, ranked)
         marks = text_hashes(batch, at, sizes)
         ids = batch.ids[batch.text_of(at)]
-        # equal runs of the batch, those of the smallest id first: places rise with ids
-        order = np.lexsort((at, marks, keys))
-        new = np.append(True, (keys[order][1:] != keys[order][:-1]) | (marks[order][1:] != marks[order][:-1]))
-        lowest = np.empty(len(at), dtype=np.int64)
-        lowest[order] = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-        settled = ids > lowest
+        settled = ids > lowest_of(ids, at, marks, keys)
         left = np.flatnonzero(~settled)
-        bucket = (keys[left] % np.uint64(buckets)).astype(np.int32)
-        by = np.lexsort((keys[left], bucket))
+        bucket = (mix(keys[left] ^ marks[left]) % np.uint64(buckets)).astype(np.int32)
+        by = np.argsort(bucket, kind="stable")
         left, bucket = left[by], bucket[by]
         b = rows.column("b")[0].as_py()
         out = [{"bucket": k, "b": b, "keys": keys[own].astype("<u8").tobytes(), "marks": marks[own].astype("<u8").tobytes(), "ids": ids[own].astype("<i8").tobytes(), "at": at[own].astype("<i4").tobytes(), "n": sizes[own].astype("<i4").tobytes(), "gone": b""} for k, s, e in pieces(bucket) for own in [left[s:e]]]
@@ -313,71 +337,150 @@ def send_runs(length: int, bits: int, buckets: int):
     return run
 
 
-WANTED = ("keys", "at", "n", "gone")
+def lowest_of(ids: np.ndarray, *same: np.ndarray) -> np.ndarray:
+    """For each row the smallest id among the rows that agree in the last two of `same`; the first one only orders them."""
+    order = np.lexsort((ids, *same[1:]))
+    new = np.zeros(len(ids), dtype=bool)
+    new[:1] = True
+    for x in same[1:]:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    out = np.empty(len(ids), dtype=np.int64)
+    out[order] = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))]
+    return out
 
 
-def equal_runs(length: int):
-    """Step 4: for each batch the spans that equal runs of smaller ids cover, and the runs whose text is wanted."""
+class Met:
+    """The runs that meet in one range of buckets and marks. covered: an equal run has a smaller id."""
 
-    def run(rows: pa.Table) -> pa.Table:
+    def __init__(self, rows: pa.Table):
         rows = rows.combine_chunks()
         read = lambda name, kind: [np.frombuffer(x, dtype=kind) for x in rows.column(name).to_pylist()]
-        batches = rows.column("b").to_pylist()
-        keys, marks, ids = read("keys", "<u8"), read("marks", "<u8"), read("ids", "<i8")
-        owner = np.repeat(np.arange(len(batches)), [len(x) for x in keys])
-        keys, marks, ids, at, sizes = (np.concatenate(x) for x in (keys, marks, ids, read("at", "<i4"), read("n", "<i4")))
-        order = np.lexsort((ids, marks, keys))
-        k, m = keys[order], marks[order]
-        new_key = np.append(True, k[1:] != k[:-1])[: len(k)]
-        new = new_key | np.append(True, m[1:] != m[:-1])[: len(m)]
-        first_id = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
-        covered_here = ids[order] > first_id
-        number = np.cumsum(new_key) - 1
-        texts = np.bincount(number, new, number[-1] + 1 if len(number) else 0)
-        # each different text of a bucket that has several: where it stands in the document of the smallest id
-        wanted = ~covered_here & (texts[number] > 1) if len(number) else new
-        out = []
-        gone_rows, want_rows = order[covered_here], order[wanted]
-        for i, (b, settled) in enumerate(zip(batches, read("gone", "<i4"), strict=True)):
-            out.append({"b": b, "i": i, "gone": [settled.reshape(-1, 2)]})
-        for rows_of, name in ((gone_rows, "gone"), (want_rows, "want")):
-            by = np.lexsort((at[rows_of], owner[rows_of]))
-            for i, s, e in pieces(owner[rows_of][by]):
+        self.batches, self.gone = rows.column("b").to_pylist(), read("gone", "<i4")
+        keys = read("keys", "<u8")
+        self.owner = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+        self.keys, self.marks, self.ids, self.at, self.sizes = (np.concatenate([np.zeros(0, x[0].dtype if x else "<u8"), *x]) for x in (keys, read("marks", "<u8"), read("ids", "<i8"), read("at", "<i4"), read("n", "<i4")))
+        lowest = lowest_of(self.ids, self.at, self.marks, self.keys)
+        self.covered = self.ids > lowest
+        left = np.flatnonzero(~self.covered)
+        order = left[np.lexsort((self.marks[left], self.keys[left]))]
+        k, m = self.keys[order], self.marks[order]
+        text = heads(m) | heads(k)
+        self.distinct, number = np.unique(k, return_inverse=True)
+        self.texts = np.minimum(np.bincount(number, text, len(self.distinct)), HOT + 1).astype(np.uint16)  # of each bucket, here
+
+
+def texts_here(buckets: int):
+    """Step 4, first half: how many different texts the task has of each bucket, one row for each range of buckets."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        met, out = Met(rows), []
+        at = rows.column("bucket")[0].as_py()
+        cuts = bucket_starts(met.distinct, buckets, 64).tolist()
+        for k in range(buckets):
+            if cuts[k] < cuts[k + 1]:
+                own = slice(cuts[k], cuts[k + 1])
+                out.append({"bucket": k, "b": at, "keys": pack(met.distinct[own]), "texts": met.texts[own].tobytes()})
+        return table_of(out, ("keys", "texts"))
+
+    return run
+
+
+def texts_in_all(rows: pa.Table) -> pa.Table:
+    """For each task of one range of buckets, 0, 1 or 2 for each of its buckets: one text, several, or so many that it is split."""
+    parts = [unpack(x) for x in rows.column("keys").to_pylist()]
+    counts = np.concatenate([np.frombuffer(x, np.uint16) for x in rows.column("texts").to_pylist()])
+    distinct, number = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.bincount(number, counts, len(distinct))
+    kind = ((total > 1).astype(np.uint8) + (total > HOT))[number]
+    ends = np.cumsum([len(x) for x in parts]).tolist()
+    return pa.table({"b": rows.column("b"), "bucket": rows.column("bucket"), "kinds": pa.array([kind[e - len(x) : e].tobytes() for x, e in zip(parts, ends, strict=True)], pa.binary())})
+
+
+WANTED = ("keys", "at", "n", "hot", "gone")
+
+
+def equal_runs(length: int, buckets: int):
+    """Step 4, second half: for each batch the spans that equal runs of smaller ids cover, and the runs whose text is wanted."""
+
+    def run(rows: pa.Table, told: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return table_of([], WANTED).drop_columns(["bucket"])
+        met = Met(rows)
+        cuts = bucket_starts(met.distinct, buckets, 64)
+        kinds = np.zeros(len(met.distinct), dtype=np.uint8)
+        for k, x in zip(told.column("bucket").to_pylist(), told.column("kinds").to_pylist(), strict=True):
+            kinds[cuts[k] : cuts[k + 1]] = np.frombuffer(x, np.uint8)
+        kind = np.zeros(len(met.keys), dtype=np.uint8)
+        left = ~met.covered
+        kind[left] = kinds[np.searchsorted(met.distinct, met.keys[left])]
+        out = [{"b": b, "gone": [x.reshape(-1, 2)]} for b, x in zip(met.batches, met.gone, strict=True)]
+        for rows_of, name in ((np.flatnonzero(met.covered), "gone"), (np.flatnonzero(kind > 0), "want")):
+            by = np.lexsort((met.at[rows_of], met.owner[rows_of]))
+            for i, s, e in pieces(met.owner[rows_of][by]):
                 own = rows_of[by[s:e]]
                 if name == "gone":
-                    out[i]["gone"].append(spans_of(at[own].astype(np.int64), sizes[own].astype(np.int64), length))
+                    out[i]["gone"].append(spans_of(met.at[own].astype(np.int64), met.sizes[own].astype(np.int64), length))
                 else:
                     out[i]["want"] = own
         made = []
         for x in out:
             want = x.get("want", np.zeros(0, dtype=np.int64))
-            made.append({"bucket": 0, "b": x["b"], "keys": keys[want].astype("<u8").tobytes(), "at": at[want].astype("<i4").tobytes(), "n": sizes[want].astype("<i4").tobytes(), "gone": np.concatenate(x["gone"]).astype("<i4").tobytes()})
+            made.append({"bucket": 0, "b": x["b"], "keys": met.keys[want].astype("<u8").tobytes(), "at": met.at[want].astype("<i4").tobytes(), "n": met.sizes[want].astype("<i4").tobytes(), "hot": (kind[want] > 1).astype(np.uint8).tobytes(), "gone": np.concatenate(x["gone"]).astype("<i4").tobytes()})
         return table_of([x for x in made if x["keys"] or x["gone"]], WANTED).drop_columns(["bucket"])
 
     return run
 
 
-TEXTS = ("keys", "ids", "at", "n", "text", "gone")
+TEXTS = ("keys", "ids", "at", "n", "residues", "text", "ranks", "gone")
 
 
-def send_texts(length: int, buckets: int):
-    """One row for each bucket range that wants a run's text of the batch; spans that are settled go along."""
+def each_suffix(at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of every suffix of the runs, and the number of its run."""
+    run = np.repeat(np.arange(len(at)), sizes)
+    return at[run] + np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes), run
 
-    def run(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+
+def split_runs(batch: Batch, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the suffixes of hot runs, the places that go on with buckets by all their bytes; and which ones equal suffixes of the batch settle."""
+    if not len(at):
+        return at, at.astype(np.uint64), at
+    places = np.unique(each_suffix(at, sizes)[0])
+    keys, second = hashes_at(batch.data, places, batch.length), text_hashes(batch, places, np.ones(len(places), dtype=np.int64))
+    ids = batch.ids[batch.text_of(places)]
+    settled = ids > lowest_of(ids, places, second, keys)
+    return places[~settled], keys[~settled], places[settled]
+
+
+def send_texts(length: int, bits: int, buckets: int):
+    """One row for each range of buckets that wants a run's text of the batch, with the ranks in it; spans that are settled go along."""
+
+    def run(rows: pa.Table, wanted: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows or not wanted.num_rows:
             return table_of([], TEXTS)
         read = lambda name, kind: np.frombuffer(b"".join(wanted.column(name).to_pylist()), dtype=kind)
-        keys, at, sizes, gone = read("keys", "<u8"), read("at", "<i4").astype(np.int64), read("n", "<i4").astype(np.int64), read("gone", "<i4").reshape(-1, 2)
+        keys, at, sizes, hot, gone = read("keys", "<u8"), read("at", "<i4").astype(np.int64), read("n", "<i4").astype(np.int64), read("hot", np.uint8) > 0, read("gone", "<i4").reshape(-1, 2)
         b, out = rows.column("b")[0].as_py(), []
         if len(keys):
             batch = Batch(rows, length)
-            raw, ids = batch.data.tobytes(), batch.ids[batch.text_of(at)]
+            ranked, ranks = sample_ranks(batch, told, bits, buckets)
+            singles, own_keys, settled = split_runs(batch, at[hot], sizes[hot])
+            gone = np.concatenate([gone, spans_of(settled, np.ones(len(settled), dtype=np.int64), length)])
+            keys, at, sizes = np.append(keys[~hot], own_keys), np.append(at[~hot], singles), np.append(sizes[~hot], np.ones(len(singles), dtype=np.int64))
+            raw, text = batch.data.tobytes(), batch.text_of(at)
+            ids, residues = batch.ids[text], ((at - batch.starts[text]) % batch.v).astype(np.uint8)
+            cover = np.isin(np.arange(batch.v), difference_cover(batch.v))
             bucket = (keys % np.uint64(buckets)).astype(np.int32)
             by = np.argsort(bucket, kind="stable")
             for k, s, e in pieces(bucket[by]):
                 own = by[s:e]
-                text = b"".join([raw[a : a + m] for a, m in zip(at[own].tolist(), (sizes[own] + (length - 1)).tolist(), strict=True)])
-                out.append({"bucket": k, "b": b, "keys": keys[own].tobytes(), "ids": ids[own].astype("<i8").tobytes(), "at": at[own].astype("<i4").tobytes(), "n": sizes[own].astype("<i4").tobytes(), "text": text, "gone": b""})
+                joined = b"".join([raw[a : a + m] for a, m in zip(at[own].tolist(), (sizes[own] + (length - 1)).tolist(), strict=True)])
+                # a rank or 0 for every sampled place in the runs
+                places, r = each_suffix(at[own], sizes[own] + (batch.v - 1))
+                places = places[cover[(residues[own][r].astype(np.int64) + places - at[own][r]) % batch.v]]
+                found = np.minimum(np.searchsorted(ranked, places), len(ranked) - 1)
+                numbers = np.where(ranked[found] == places, ranks[found], 0)
+                numbers = numbers.astype("<u4" if not len(numbers) or numbers.max() < 1 << 32 else "<u8")
+                out.append({"bucket": k, "b": b, "keys": keys[own].tobytes(), "ids": ids[own].astype("<i8").tobytes(), "at": at[own].astype("<i4").tobytes(), "n": sizes[own].astype("<i4").tobytes(), "residues": residues[own].tobytes(), "text": joined, "ranks": bytes([numbers.itemsize]) + numbers.tobytes(), "gone": b""})
         if len(gone):
             gone = gone[np.argsort(gone[:, 0], kind="stable")].astype(np.int64)
             gone = spans_of(gone[:, 0], gone[:, 1] - gone[:, 0], 1)
@@ -387,21 +490,62 @@ def send_texts(length: int, buckets: int):
     return run
 
 
-def covered(data: np.ndarray, places: np.ndarray, owners: np.ndarray, length: int) -> np.ndarray:
-    """Which of the suffixes at places have their first length bytes in common with one of a smaller owner."""
-    words = np.ndarray((len(data) - 7,), dtype=">u8", buffer=data, strides=(1,))
-    at = [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
-    keys = [words[places + x].astype(np.uint64) for x in at]
-    order = np.lexsort((owners, *reversed(keys)))
-    new = np.ones(len(order), dtype=bool)
-    same = np.ones(max(0, len(order) - 1), dtype=bool)
+def tied(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts by the keys, the first one first, and where a new value of them begins in that order."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), dtype=bool)
+    new[:1] = True
     for k in keys:
         k = k[order]
-        same &= k[1:] == k[:-1]
-    new[1:] = ~same
-    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    out = np.zeros(len(order), dtype=bool)
-    out[order] = owners[first] < owners[order]
+        new[1:] |= k[1:] != k[:-1]
+    return order, new
+
+
+def covered_by_bytes(data: np.ndarray, places: np.ndarray, owners: np.ndarray, length: int) -> np.ndarray:
+    """Which of the suffixes at places have their first length bytes in common with one of a smaller owner."""
+    words = words_from(data, ">u8")
+    order, new = tied([words[places + x].astype(np.uint64) for x in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]])
+    begin = np.flatnonzero(new)
+    lowest = np.empty(len(order), dtype=np.int64)
+    lowest[order] = np.repeat(np.minimum.reduceat(owners[order], begin), np.diff(np.append(begin, len(order)))) if len(order) else 0
+    return lowest < owners
+
+
+def covered(data: np.ndarray, places: np.ndarray, owners: np.ndarray, length: int, residues: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The same by the first v bytes and, where these tie, by ranks. residues: of the places; ranks: of every place of data, 0 for none."""
+    v = cover_period(length)
+    size, words = length - v + 1, words_from(data, ">u8")
+    order, new = tied([words[places + x].astype(np.uint64) for x in range(0, v, 8)])
+    out = np.zeros(len(places), dtype=bool)
+    begin = np.flatnonzero(new)
+    if not len(begin):
+        return out
+    sizes = np.diff(np.append(begin, len(order)))
+    owner = owners[order]
+    open_ = np.repeat(np.minimum.reduceat(owner, begin) != np.maximum.reduceat(owner, begin), sizes)
+    group, own = np.repeat(np.arange(len(begin)), sizes)[open_], order[open_]
+    # each suffix once for each sampled shift in its head
+    shifts = np.array([[d for d in range(v) if (r + d) % v in difference_cover(v)] for r in range(v)])
+    d = shifts[residues[own]]
+    rank = ranks[places[own][:, None] + d]
+    row, column = np.nonzero(rank)
+    rank, d, own, group = rank[row, column], d[row, column], own[row], group[row]
+    # the bytes after the sampled string
+    tail = np.zeros(len(own), dtype=np.uint64)
+    for x in range(length - 8 * -(-(v - 1) // 8), length, 8):
+        hidden = np.clip(np.arange(v) + size - x, 0, 8)
+        mask = np.array([(1 << (8 * (8 - h))) - 1 for h in hidden.tolist()], dtype=np.uint64)
+        tail = mix(tail ^ (words[places[own] + x].astype(np.uint64) & mask[d])) + np.uint64(x)
+    order, new = tied([group * v + d, rank, tail])
+    begin = np.flatnonzero(new)
+    if not len(begin):
+        return out
+    sizes, own = np.diff(np.append(begin, len(order))), own[order]
+    head = np.repeat(own[begin], sizes)
+    if any((words[places[own] + x] != words[places[head] + x]).any() for x in [*range(8, length - 7, 8), length - 8]):
+        return covered_by_bytes(data, places, owners, length)  # a hash collided
+    hit = np.repeat(np.minimum.reduceat(owners[own], begin), sizes) < owners[own]
+    out[own[hit]] = True
     return out
 
 
@@ -416,15 +560,24 @@ def sorted_buckets(length: int):
         for b, x in zip(batches, read("gone", "<i4"), strict=True):
             if len(x):
                 spans.setdefault(b, []).append(x.reshape(-1, 2))
-        keys, counts, texts = read("keys", "<u8"), read("n", "<i4"), rows.column("text").to_pylist()
+        keys, counts = read("keys", "<u8"), read("n", "<i4")
         owner = np.repeat(np.arange(len(batches)), [len(x) for x in keys])
-        keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-        ids, at = np.concatenate(read("ids", "<i8")), np.concatenate(read("at", "<i4")).astype(np.int64)
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        if not len(keys):
+        if not len(owner):
             return span_rows(spans)
+        keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+        ids, at, residues = np.concatenate(read("ids", "<i8")), np.concatenate(read("at", "<i4")).astype(np.int64), np.concatenate(read("residues", np.uint8)).astype(np.int64)
+        data = np.frombuffer(b"".join(rows.column("text").to_pylist()), dtype=np.uint8)
+        numbers = [np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.uint64) for x in rows.column("ranks").to_pylist() if x]
         ends = np.cumsum(counts + (length - 1))
         begin = ends - counts - (length - 1)
+        v = cover_period(length)
+        cover = np.isin(np.arange(v), difference_cover(v))
+        ranks, sent, done = np.zeros(len(data), dtype=np.uint64), np.concatenate(numbers), 0
+        for s in range(0, len(keys), 1 << 14):  # bounds the places worked on at once
+            places, r = each_suffix(begin[s : s + (1 << 14)], counts[s : s + (1 << 14)] + (v - 1))
+            places = places[cover[(residues[r + s] + places - begin[r + s]) % v]]
+            ranks[places] = sent[done : done + len(places)]
+            done += len(places)
         order = np.argsort(keys, kind="stable")
         done = np.cumsum(counts[order])
         new = np.append(np.flatnonzero(heads(keys[order])), len(order))  # where buckets begin
@@ -433,18 +586,18 @@ def sorted_buckets(length: int):
             base = done[start - 1] if start else 0
             stop = int(new[max(np.searchsorted(new, start, side="right"), np.searchsorted(new, np.searchsorted(done, base + BLOCK), side="right") - 1)])
             own = order[start:stop]
-            m = counts[own]
-            inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            hit = covered(data, np.repeat(begin[own], m) + inner, np.repeat(ids[own], m), length)
+            places, r = each_suffix(begin[own], counts[own])
+            r = own[r]
+            inner = places - begin[r]
+            hit = covered(data, places, ids[r], length, (residues[r] + inner) % v, ranks)
             if hit.any():
-                batch, place = np.repeat(owner[own], m)[hit], (np.repeat(at[own], m) + inner)[hit]
+                batch, place = owner[r][hit], (at[r] + inner)[hit]
                 cut = np.append(0, np.flatnonzero((np.diff(place) != 1) | (np.diff(batch) != 0)) + 1)
                 last = np.append(cut[1:] - 1, len(place) - 1)
                 found = np.stack([place[cut], place[last] + length], axis=1).astype("<i4")
                 by = np.argsort(batch[cut], kind="stable")
-                edges = np.append(np.flatnonzero(np.diff(batch[cut][by], prepend=-1)), len(by)).tolist()
-                for s, e in zip(edges, edges[1:], strict=False):
-                    spans.setdefault(batches[batch[cut][by[s]]], []).append(found[by[s:e]])
+                for b, s, e in pieces(batch[cut][by]):
+                    spans.setdefault(batches[b], []).append(found[by[s:e]])
             start = stop
         return span_rows(spans)
 
@@ -488,48 +641,62 @@ def cut_texts(length: int):
     return run
 
 
+def _cut(documents: DataFrame, length: int, id_col: str, text_col: str, others: list[str]) -> DataFrame:
+    """id, c0, c1 and so on (the other columns), n_bytes, n_removed, n_spans, kept; one row per row of documents."""
+    raw = F.coalesce(F.col(f"`{text_col}`").cast("binary"), F.lit(b""))
+    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]
+    rows = documents.select(F.col(f"`{id_col}`").cast("long").alias("id"), raw.alias("text"), *carried)
+    size = documents.select(F.sum(F.octet_length(raw))).first()[0] or 0
+    session = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(-(-size // BATCH_BYTES), min(session, -(-size // LEAST_BYTES)), 1)
+    # of a random string's hash, a chance of about 1 in 64 to meet another
+    bits = min(60, max(24, int(size).bit_length() + 5))
+    texts = rows.where("id is not null").withColumn("b", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(n)).cast("int")).repartition(n, "b")
+    binary = lambda names: ", ".join(f"{x} binary" for x in names)
+    by = lambda df, key: df.repartition(n, key).groupBy(key)
+    kinds = [f"c{i} {documents.select(f'`{c}`').schema[0].dataType.simpleString()}" for i, c in enumerate(others)]
+    fields = ", ".join(["id long", *kinds, "n_bytes long", "n_removed long", "n_spans long", "kept binary"])
+    blobs = texts.groupBy("b").applyInArrow(sample_blobs(length, bits, n), "bucket int, b int, blob binary, several binary")
+    ranks = by(blobs, "bucket").applyInArrow(shared_ranks, "b int, bucket int, flags binary, ranks binary").repartition(n, "b")
+    runs = texts.groupBy("b").cogroup(ranks.groupBy("b")).applyInArrow(send_runs(length, bits, n), f"bucket int, b int, {binary(RUNS)}").repartition(n, "bucket")
+    here = runs.groupBy("bucket").applyInArrow(texts_here(n), "bucket int, b int, keys binary, texts binary")
+    told = by(here, "bucket").applyInArrow(texts_in_all, "b int, bucket int, kinds binary")
+    wanted = runs.groupBy("bucket").cogroup(told.withColumnRenamed("bucket", "range").withColumnRenamed("b", "bucket").repartition(n, "bucket").groupBy("bucket"))
+    wanted = wanted.applyInArrow(lambda own, x: equal_runs(length, n)(own, x.rename_columns({"range": "bucket", "bucket": "b"})), f"b int, {binary(WANTED)}")
+    # what a batch is told about ranks and what is wanted of it come as rows of one table
+    asked = wanted.select("b", *WANTED, *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("flags", "binary"), ("ranks", "binary"))])
+    asked = asked.unionByName(ranks, allowMissingColumns=True).repartition(n, "b")
+    send = send_texts(length, bits, n)
+    sent = texts.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(lambda own, x: send(own, x.filter(pc.is_valid(x.column("keys"))), x.filter(pc.is_valid(x.column("flags")))), f"bucket int, b int, {binary(TEXTS)}")
+    spans = by(sent, "bucket").applyInArrow(sorted_buckets(length), "b int, spans binary")
+    done = texts.groupBy("b").cogroup(spans.repartition(n, "b").groupBy("b")).applyInArrow(cut_texts(length), fields)
+    zero = F.lit(0).cast("long")
+    whole = rows.where("id is null").select("id", *[f"c{i}" for i in range(len(others))], F.length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").alias("kept"))
+    return done.unionByName(whole)
+
+
 def remove_repeats(documents: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns but the text, then n_bytes, n_removed, n_spans (long) and kept (binary), one row per row of documents.
 
     A null text counts as empty. Rows with a null id lose nothing and take nothing from others; rows that
     repeat an id take nothing from each other. Texts shorter than length stay whole. An empty table gives no rows. Other columns
-    are carried along under their names, unless they are named like the four new ones: such columns are left out.
+    are carried along under their names, unless they are named like the four new ones, in any case: such columns are left out.
     """
     new = ("n_bytes", "n_removed", "n_spans", "kept")
-    others = [c for c in documents.columns if c not in (id_col, text_col, *new)]
-    stored = int(str(documents.select(id_col, text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    stored = stored if stored < 1 << 60 else 1 << 30
-    at_least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(at_least, int(stored / (BATCH_MB * (1 << 20))) + 1)
-    # of a random string's hash, a chance of about 1 in 64 to meet another
-    bits = min(60, max(24, int(stored).bit_length() + 6))
-    size = F.length(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
-    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]
-    rows = documents.select(
-        F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int").alias("b"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), *carried
-    )
-    texts = rows.where("id is not null").repartition(n, "b")
-    fields = ", ".join([f"id long{''.join(f', c{i} {documents.schema[c].dataType.simpleString()}' for i, c in enumerate(others))}", "n_bytes long", "n_removed long", "n_spans long", "kept binary"])
-    blobs = texts.groupBy("b").applyInArrow(sample_blobs(length, bits, n), "bucket int, b int, blob binary")
-    ranks = blobs.repartition(n, "bucket").groupBy("bucket").applyInArrow(shared_ranks, "b int, bucket int, flags binary")
-    binary = lambda names: ", ".join(f"{x} binary" for x in names)
-    runs = texts.groupBy("b").cogroup(ranks.groupBy("b")).applyInArrow(send_runs(length, bits, n), f"bucket int, b int, {binary(RUNS)}")
-    wanted = runs.repartition(n, "bucket").groupBy("bucket").applyInArrow(equal_runs(length), f"b int, {binary(WANTED)}")
-    sent = texts.groupBy("b").cogroup(wanted.groupBy("b")).applyInArrow(send_texts(length, n), f"bucket int, b int, {binary(TEXTS)}")
-    spans = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(sorted_buckets(length), "b int, spans binary")
-    done = texts.groupBy("b").cogroup(spans.groupBy("b")).applyInArrow(cut_texts(length), fields)
-    whole = rows.where("id is null").select("id", *[f"c{i}" for i in range(len(others))], F.length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("text").alias("kept"))
-    out = done.unionByName(whole)
+    others = [c for c in documents.columns if c not in (id_col, text_col) and c.lower() not in new]
+    out = _cut(documents, length, id_col, text_col, others)
     return out.select(F.col("id").alias(id_col), *[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], *new)
 
 
 def documents_without_repeats(documents: DataFrame, length: int = 50) -> DataFrame:
-    """documents with shortened texts and n_chars brought up to date; of a character that was cut into, no byte stays."""
-    out = remove_repeats(documents, length)
-    text = F.expr("try_validate_utf8(cast(kept as string))")
-    partial = r"[\x{FFFD}]+"
-    replaced = F.regexp_replace(F.expr("make_valid_utf8(cast(kept as string))"), partial, "")
-    out = out.withColumn("text", F.coalesce(text, replaced)).withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*documents.columns)
-
+    """documents with shortened texts and n_chars, if there is one, brought up to date; all other columns stay, whatever their names.
 
+    Of a character that was cut into, no byte stays. Null texts become empty ones. Null and repeated ids and empty tables as for remove_repeats().
+    """
+    others = [c for c in documents.columns if c not in ("doc_id", "text", "n_chars")]
+    out = _cut(documents, length, "doc_id", "text", others)
+    whole = F.expr("try_validate_utf8(cast(kept as string))")
+    partial = F.regexp_replace(F.expr("make_valid_utf8(cast(kept as string))"), r"[\x{FFFD}]+", "")
+    out = out.withColumn("text", F.coalesce(whole, partial))
+    made = {"doc_id": F.col("id"), "text": F.col("text"), "n_chars": F.length("text").cast("long")} | {c: F.col(f"c{i}") for i, c in enumerate(others)}
+    return out.select(*[made[c].alias(c) for c in documents.columns])

@@ -49,8 +49,13 @@ def shares(nodes: DataFrame, parent: tuple[str, ...], node: str, weights: Mappin
     rows = rows.withColumn("full", full)
     rows = rows.withColumn("left", F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(siblings))
     rows = rows.withColumn("open", F.sum(F.when(F.col("full"), 0).otherwise(F.col("w"))).over(siblings))
-    own = F.when(F.col("full"), F.col("cap")).when((F.col("w") > 0) & (F.col("open") > 0), F.expr(f"cast((cast(left as {big}) * w) div open as long)")).otherwise(0)
-    return rows.withColumn("budget", own).select(*parent, node, "budget")
+    is_open = ~F.col("full") & (F.col("w") > 0) & (F.col("open") > 0)
+    rows = rows.withColumn("floor", F.when(is_open, F.expr(f"cast((cast(left as {big}) * w) div open as long)")).otherwise(0))
+    rows = rows.withColumn("rest", F.when(is_open, F.expr(f"cast((cast(left as {big}) * w) % open as long)")).otherwise(-1))
+    # what rounding down leaves goes to the largest remainders, one token each
+    over = F.when(F.col("open") > 0, F.col("left") - F.sum("floor").over(siblings)).otherwise(0)
+    more = ((F.col("rest") >= 0) & (F.row_number().over(siblings.orderBy(F.desc("rest"), node)) <= over)).cast("long")
+    return rows.withColumn("budget", F.when(F.col("full"), F.col("cap")).otherwise(F.col("floor") + more)).select(*parent, node, "budget")
 
 
 def leaf_budgets(leaves: DataFrame, percent: int, max_epochs: int, weights: Mapping[str, Mapping[str, int]]) -> DataFrame:
@@ -72,20 +77,22 @@ def leaf_budgets(leaves: DataFrame, percent: int, max_epochs: int, weights: Mapp
 
 
 def order_key(seed: int) -> Column:
-    """Where a row stands in its leaf's last epoch."""
-    return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("epochs").cast("string"), F.col("doc_id").cast("string")))
+    """Where a row stands in its leaf's last epoch. mark: a hash of its text, so rows that share an id are spread too."""
+    return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("mark")))
 
 
-def mixed(documents: DataFrame, percent: int = PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domains: Mapping[str, str] = DOMAINS, weights: Mapping[str, Mapping[str, int]] = WEIGHTS) -> DataFrame:
-    """One row per row of documents: doc_id, domain, lang, source, tokens (words) and copies, how often the mixture has it.
+def leaf_rows(documents: DataFrame, domains: Mapping[str, str], *more: Column) -> DataFrame:
+    """doc_id, mark, domain, lang, source and more."""
+    source, text = F.coalesce(F.col("source").cast("string"), F.lit("")), text_or_empty("text")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(text).alias("mark"), lookup(source, domains, "other").alias("domain"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), source.alias("source"), *more)
 
-    The mixture has percent of all tokens, as far as the weights and max_epochs let it; shares round down. Nodes without a weight have
-    weight 1, sources without a domain are "other", a null language or source is a node named "". A null or empty text has no
-    tokens, and a leaf without tokens no copies. Rows with a null id stand first in the order together. Repeated rows count
-    each. An empty table gives no rows; extra columns are ignored, whatever their names.
-    """
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("tokens"))
-    rows = materialise(rows.withColumn("domain", lookup(F.col("source"), domains, "other")), "mixing-tokens")
+
+def word_count() -> Column:
+    return F.regexp_count(text_or_empty("text"), F.lit(WORD)).cast("long").alias("tokens")
+
+
+def prefix_ends(rows: DataFrame, percent: int, max_epochs: int, seed: int, weights: Mapping[str, Mapping[str, int]]) -> DataFrame:
+    """For each leaf: epochs, the slice in whose order the last epoch's prefix ends (start) and the tokens that it takes from there (rest)."""
     budgets = materialise(leaf_budgets(rows.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")), percent, max_epochs, weights).drop("tokens", "budget"), "mixing-budgets")
     state = budgets.withColumn("start", F.lit("")).select(*LEAF, "epochs", "rest", "start")
     keyed = rows.join(budgets.drop("rest"), list(LEAF)).withColumn("key", order_key(seed))
@@ -100,21 +107,40 @@ def mixed(documents: DataFrame, percent: int = PERCENT, max_epochs: int = MAX_EP
         state = materialise(
             state.join(crossed, list(LEAF), "left").select(*LEAF, "epochs", (F.col("rest") - F.coalesce("x.before", F.lit(0))).alias("rest"), F.when(F.col("x").isNotNull(), F.concat("start", "x.slice")).otherwise(F.lit("z")).alias("start")), "mixing-slices"
         )
-    length = LEVELS * DIGITS
-    placed = keyed.drop("epochs").join(state, list(LEAF)).withColumn("place", F.substring("key", 1, length))
+    return state
+
+
+def with_copies(rows: DataFrame, ends: DataFrame, seed: int) -> DataFrame:
+    """rows with copies: a row before the end's slice is in the prefix, one of the slice if its running sum of tokens fits."""
+    placed = rows.join(ends, list(LEAF)).withColumn("key", order_key(seed)).withColumn("place", F.substring("key", 1, LEVELS * DIGITS))
     sure = placed.where("place <> start").withColumn("more", (F.col("place") < F.col("start")).cast("int"))
     order = Window.partitionBy(*LEAF).orderBy("key", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     last = placed.where("place = start").withColumn("more", (F.sum("tokens").over(order) <= F.col("rest")).cast("int"))
-    every = sure.unionByName(last)
-    return every.select("doc_id", *LEAF, "tokens", (F.col("epochs") + F.col("more")).cast("int").alias("copies"))
+    return sure.unionByName(last).withColumn("copies", (F.col("epochs") + F.col("more")).cast("int"))
 
 
-def mixed_documents(documents: DataFrame, **parameters) -> DataFrame:
-    """The documents as often as the mixture has them, with all columns; rows with a null id stay once."""
-    plan = mixed(documents, **parameters).groupBy("doc_id").agg(F.max("copies").alias("n__copies"))
-    joined = documents.join(plan, "doc_id", "left").withColumn("n__copies", F.coalesce("n__copies", F.lit(1)))
-    times = F.explode(F.array_repeat(F.lit(1), F.col("n__copies")))
-    return joined.withColumn("n__copies", times).select(*documents.columns)
+def mixed(documents: DataFrame, percent: int = PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domains: Mapping[str, str] = DOMAINS, weights: Mapping[str, Mapping[str, int]] = WEIGHTS) -> DataFrame:
+    """One row per row of documents: doc_id, domain, lang, source, tokens (words) and copies, how often the mixture has it.
+
+    The mixture has percent of all tokens, as far as the weights and max_epochs let it; shares round to the largest remainders, ties to
+    the smaller name. Nodes without a weight have weight 1, sources without a domain are "other", a null language or source is a node named "".
+    A null or empty text has no tokens, and a leaf without tokens no copies. Rows with a null id are ordered by their text, repeated rows count
+    each and stand together. An empty table gives no rows; extra columns are ignored, whatever their names.
+    """
+    rows = materialise(leaf_rows(documents, domains, word_count()), "mixing-tokens")
+    return with_copies(rows, prefix_ends(rows, percent, max_epochs, seed, weights), seed).select("doc_id", *LEAF, "tokens", "copies")
+
+
+def mixed_documents(documents: DataFrame, percent: int = PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domains: Mapping[str, str] = DOMAINS, weights: Mapping[str, Mapping[str, int]] = WEIGHTS) -> DataFrame:
+    """The documents as often as mixed() says of each row, with all columns; texts aren't shuffled, but for those of the last slices.
+
+    Nulls, ties, repeated rows and empty tables as for mixed(); extra columns stay, whatever their names.
+    """
+    ends = prefix_ends(materialise(leaf_rows(documents, domains, word_count()), "mixing-tokens"), percent, max_epochs, seed, weights)
+    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(documents.columns)]).alias("whole")
+    rows = with_copies(leaf_rows(documents, domains, word_count(), whole), ends, seed)
+    times = rows.where("copies > 0").select("whole", F.explode(F.sequence(F.lit(1), "copies")))
+    return times.select(*[F.col(f"whole.c{i}").alias(c) for i, c in enumerate(documents.columns)])
 
 
 def mixed_sql(percent: int = PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domains: Mapping[str, str] = DOMAINS, weights: Mapping[str, Mapping[str, int]] = WEIGHTS) -> str:
@@ -133,15 +159,18 @@ o{i} AS (SELECT *, coalesce(sum(cap) OVER ({over} ORDER BY ratio, {node} ROWS BE
   sum(w) OVER ({over} ORDER BY ratio, {node} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS from_here FROM r{i}),
 f{i} AS (SELECT *, w > 0 AND cap::HUGEINT * from_here <= (budget - before)::HUGEINT * w AS isfull FROM o{i}),
 l{i} AS (SELECT *, budget - sum(CASE WHEN isfull THEN cap ELSE 0 END) OVER ({over}) AS lft, sum(CASE WHEN isfull THEN 0 ELSE w END) OVER ({over}) AS opn FROM f{i}),
-b{i} AS (SELECT {names}, CASE WHEN isfull THEN cap WHEN w > 0 AND opn > 0 THEN CAST(lft::HUGEINT * w // opn AS BIGINT) ELSE 0 END AS budget FROM l{i})""")
+z{i} AS (SELECT *, NOT isfull AND w > 0 AND opn > 0 AS isopen, CASE WHEN NOT isfull AND w > 0 AND opn > 0 THEN CAST(lft::HUGEINT * w // opn AS BIGINT) ELSE 0 END AS flr,
+  CASE WHEN NOT isfull AND w > 0 AND opn > 0 THEN CAST(lft::HUGEINT * w % opn AS BIGINT) ELSE -1 END AS rem FROM l{i}),
+x{i} AS (SELECT *, lft - sum(flr) OVER ({over}) AS ovr, row_number() OVER ({over} ORDER BY rem DESC, {node}) AS pos FROM z{i}),
+b{i} AS (SELECT {names}, CASE WHEN isfull THEN cap ELSE flr + CAST(isopen AND pos <= ovr AS BIGINT) END AS budget FROM x{i})""")
         parent = names
     return f"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-  CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents),
+  md5(coalesce(text, '')) AS mark, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens FROM documents),
 d AS (SELECT *, {case("source", domains, "other")} AS domain FROM t),
 leaves AS (SELECT domain, lang, source, sum(tokens)::BIGINT AS tokens FROM d GROUP BY ALL),{",".join(parts)},
 e AS (SELECT *, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs FROM leaves JOIN b2 USING (domain, lang, source)),
-k AS (SELECT d.*, e.epochs, e.budget - e.epochs * e.tokens AS rest, md5(concat_ws(':', '{seed}', e.epochs::VARCHAR, d.doc_id::VARCHAR)) AS key
+k AS (SELECT d.*, e.epochs, e.budget - e.epochs * e.tokens AS rest, md5(concat_ws(':', '{seed}', e.epochs::VARCHAR, coalesce(d.doc_id::VARCHAR, ''), mark)) AS key
   FROM d JOIN e USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, tokens,
   CAST(epochs + CAST(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, doc_id, tokens ROWS UNBOUNDED PRECEDING) <= rest AS INT) AS INT) AS copies FROM k"""

@@ -160,3 +160,19 @@ def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
     found = words.filter(pa.array(real)).dictionary_encode()
     return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.append(0, np.cumsum(real))[offsets], found.dictionary
+
+
+def block_pairs(rows: DataFrame, group: str, member: str, weight: Column, most: int) -> DataFrame:
+    """rows with pair: each group is cut into k blocks of about `most` weight, and a member stands once in each pair of blocks with its own.
+
+    Any two members of a group meet in some pair, and no pair has more than two blocks, however large the group is. Groups of one block have pair 0.
+    """
+    whole = rows.groupBy(group).agg(F.sum(weight).alias("weight__")).where(F.col("weight__") > most)
+    large = materialise(whole.select(F.col(group).alias("group__"), F.ceil(F.col("weight__") / most).cast("int").alias("k__")), "large-groups")
+    joined = rows.join(large, F.col(group) == F.col("group__"), "left")
+    k = F.coalesce("k__", F.lit(1))
+    own = F.pmod(F.xxhash64(F.col(member), F.lit(5)), k).cast("int")
+    other = F.explode(F.sequence(F.lit(0), k - 1))
+    out = joined.withColumn("own__", own).withColumn("other__", other)
+    pair = F.least("own__", "other__") * F.coalesce("k__", F.lit(1)) + F.greatest("own__", "other__")
+    return out.select(*rows.columns, pair.cast("long").alias("pair"), (F.col("k__").isNotNull()).alias("split"))

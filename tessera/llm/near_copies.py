@@ -3,8 +3,9 @@
 Candidates come from two sources: SimHashes within a radius (see simhash), and BANDS MinHash bands of ROWS values each, which
 reach the similarities whose SimHashes lie further apart: a pair of similarity s meets in no band with a chance of
 (1 - s^ROWS)^BANDS, 5 in 10^6 at 0.8. Candidates only form clusters; inside a cluster every link is a pair whose shingle sets
-(64-bit hashes) reach the limit. A cluster is searched breadth first, so its pairs are never rows, and a document's
-shingles travel once, and only if it has a candidate. Work runs on distinct shingle sets.
+(64-bit hashes) reach the limit. A cluster is searched breadth first, so its pairs are never rows; one whose shingles are over
+BLOCK_BYTES is cut into blocks, and each pair of blocks is searched by a task of its own. Work runs on distinct shingle sets,
+and only those with a candidate travel.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import simhash
-from tessera.llm.common import LOWER, materialise, mix, slices, string_bytes, word_hashes, words_of
+from tessera.llm.common import LOWER, block_pairs, hold_batches, materialise, mix, slices, string_bytes, word_hashes, words_of
 
 ROWS, BANDS = 6, 40
+BLOCK_BYTES = 4 << 20  # of shingles
 _FACTORS = np.random.Generator(np.random.PCG64(8)).integers(1, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -134,7 +136,8 @@ def candidate_clusters(marks: DataFrame, radius: int) -> DataFrame:
     distinct = marks.groupBy("key").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"))
     keyed = distinct.where("key <> 0").select("key", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("band", "low")
-    edges = keyed.join(shared, "band").select(F.col("key").alias("a"), F.col("low").alias("b"))
+    # as a table of its own it leaves the join two plain shuffles, so a band that very many sets share can be split
+    edges = keyed.join(materialise(shared, "near-bands"), "band").select(F.col("key").alias("a"), F.col("low").alias("b"))
     near = materialise(simhash.links(distinct.select("fp").distinct(), radius), "near-links")
     prints = distinct.select("key", "fp")
     low = prints.groupBy("fp").agg(F.min("key").alias("low"))
@@ -145,7 +148,11 @@ def candidate_clusters(marks: DataFrame, radius: int) -> DataFrame:
 
 
 def groups(documents: DataFrame, width: int, radius: int, percent: int) -> DataFrame:
-    """(doc_id, component_id) of every row of documents with an id: the smallest id of its group."""
+    """(doc_id, component_id) of every row of documents with an id: the smallest id of its group.
+
+    Null and empty texts are one group of sets without shingles. Repeated rows stay; an empty table gives no rows; extra columns are ignored.
+    """
+    hold_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
     marks = materialise(marks_of(rows, width), "near-marks")
     lowest = marks.groupBy("key").agg(F.min("id").alias("low"))
@@ -153,16 +160,25 @@ def groups(documents: DataFrame, width: int, radius: int, percent: int) -> DataF
     wanted = clusters.join(lowest, clusters.node == lowest.key).select("key", "root", "low")
     wanted = materialise(wanted, "near-wanted")
     sets = sets_of(rows.join(wanted.select(F.col("low").alias("id")).distinct(), "id"), width)
-    dealt = wanted.join(sets, "key").dropDuplicates(["key"]).select("root", "key", "low", "shingles")
+    dealt = materialise(wanted.join(sets, "key").dropDuplicates(["key"]).select("root", "key", "low", "shingles"), "near-sets")
+    paired = block_pairs(dealt, "root", "key", F.length("shingles") + 64, BLOCK_BYTES)
 
     def verified(cluster: pa.Table) -> pa.Table:
+        keys, low = cluster.column("key").to_numpy(), cluster.column("low").to_numpy()
         found = groups_within([np.frombuffer(x, "<u8") for x in cluster.column("shingles").to_pylist()], percent)
-        low = cluster.column("low").to_numpy()
         best = np.full(len(found), np.iinfo(np.int64).max)
         np.minimum.at(best, found, low)
-        return pa.table({"key": cluster.column("key"), "group": pa.array(best[found])})
-
-    far = materialise(dealt.groupBy("root").applyInArrow(verified, "key long, group long"), "near-groups")
+        return pa.table({"key": keys, "head": keys[found], "low": best[found], "split": cluster.column("split")})
+
+    found = materialise(paired.groupBy("root", "pair").applyInArrow(verified, "key long, head long, low long, split boolean"), "near-groups")
+    far = found.where("not split").select("key", F.col("low").alias("group"))
+    links = found.where("split and key <> head").select(F.col("key").alias("a"), F.col("head").alias("b"))
+    if not links.isEmpty():
+        # the pairs of blocks of a large cluster give links, not groups
+        roots = materialise(simhash.components(links), "near-roots")
+        least = found.where("split").groupBy("key").agg(F.min("low").alias("low"))
+        of_root = roots.join(least, roots.node == least.key).groupBy("root").agg(F.min("low").alias("group"))
+        far = far.union(roots.join(of_root, "root").select(F.col("node").alias("key"), "group"))
     # sets of one row without a candidate are their own group; a table of the rest leaves the last join one plain shuffle
     several = marks.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("rows")).join(far, "key", "left").where("rows > 1 or group is not null")
     several = materialise(several.select("key", F.coalesce("group", "low").alias("group")), "near-several")
@@ -170,6 +186,9 @@ def groups(documents: DataFrame, width: int, radius: int, percent: int) -> DataF
 
 
 def one_of_each_group(documents: DataFrame, width: int = 5, radius: int = 6, percent: int = 80) -> DataFrame:
-    """The documents that are the smallest id of their group, with all columns; rows with a null id all stay."""
+    """The documents that are the smallest id of their group, with all columns; rows with a null id all stay.
+
+    Rows that repeat an id stay or go together: they go if one of their texts is in a group of a smaller id. Cases as for groups().
+    """
     gone = groups(documents, width, radius, percent).where("doc_id <> component_id").select("doc_id").distinct()
     return documents.join(gone, "doc_id", "left_anti")

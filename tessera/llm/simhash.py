@@ -10,7 +10,8 @@ pair within the radius is missed, whatever the data.
 Work runs on distinct fingerprints, so exact copies cost one row. A table's bucket is searched breadth first
 inside one task and gives a spanning forest (fewer rows than the bucket has), never all its pairs. A bucket
 over `bucket_rows` goes on to the next level, where a further covering family splits it; a pair within the radius still
-meets at every level. Links then become components by alternating star contraction on DataFrames.
+meets at every level. After the last one, a bucket that is still larger is cut into blocks, and each pair of blocks is
+searched by a task of its own. Links then become components by alternating star contraction on DataFrames.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, partitions_for, slices, string_bytes
+from tessera.llm.common import block_pairs, hold_batches, materialise, partitions_for, slices, string_bytes
 
 SEED = 42  # fixed value: the seed of XXH64 over a shingle
 LEVELS = 3
@@ -61,6 +62,7 @@ def fingerprints(documents: DataFrame, width: int, id_col: str = "doc_id", text_
                 found = np.array([fingerprint(raw[a:b], width) for a, b in zip(at, at[1:], strict=False)], dtype=np.uint64)
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], ["id", "fp"])
 
+    hold_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, fp long")
 
@@ -164,33 +166,36 @@ def _search(radius: int, most: int | None):
 def links(distinct: DataFrame, radius: int, bucket_rows: int = 1 << 16) -> DataFrame:
     """(a, b): links that connect exactly the fingerprints (column fp, distinct) that chains of steps within radius connect."""
     rows, out = distinct.select(F.lit(0).cast("long").alias("key"), "fp"), None
+    hold_batches(distinct.sparkSession)
     for level in range(LEVELS):
         masks = covering_masks(radius, seed=level + 1)
         tables = F.explode(F.array([F.xxhash64("key", F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)]))
         keyed = rows.select(tables.alias("key"), "fp")
         dealt = keyed.repartition(partitions_for(rows, len(masks)), "key").sortWithinPartitions("key")
-        last = level == LEVELS - 1
-        found = materialise(dealt.mapInArrow(_search(radius, None if last else bucket_rows), "a long, b long, key long"), "simhash-links")
+        found = materialise(dealt.mapInArrow(_search(radius, bucket_rows), "a long, b long, key long"), "simhash-links")
         own = found.where("key is null").select("a", "b")
         out = own if out is None else out.union(own)
         rows = found.where("key is not null").select("key", F.col("b").alias("fp"))
-        if last or rows.isEmpty():
-            break
-    return out.distinct()
+        if rows.isEmpty():
+            return out.distinct()
+    pairs = block_pairs(rows, "key", "fp", F.lit(1), bucket_rows).select(F.xxhash64("key", "pair").alias("key"), "fp")
+    dealt = pairs.repartition(partitions_for(pairs), "key").sortWithinPartitions("key")
+    return out.union(dealt.mapInArrow(_search(radius, None), "a long, b long, key long").select("a", "b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): every node of the links (a, b) with the smallest node of its component.
 
     Alternating star contraction: a large star ties each node's larger neighbours to its smallest neighbour, a
-    small star its smaller ones; both use a grouped minimum and a join, so a hub with very many links is never
-    gathered in one task. Each round is a table in the shared folder; the driver sees a count and a checksum.
+    small star its smaller ones; both use a grouped minimum and a join. The minima are a table of their own, so that a
+    hub with very many links reaches the join by a plain shuffle, which Spark splits. Each round is a table in the shared folder; the
+    driver sees a count and a checksum.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     before = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        lowest = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low")), "components-low")
         large = both.join(lowest, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))

@@ -55,6 +55,16 @@ def test_near_dedup_keeps_one_of_each_exact_group(spark):
     assert near_copies.one_of_each_group(docs.where("false")).count() == 0
 
 
+def test_large_clusters_are_searched_by_pairs_of_blocks(spark, monkeypatch):
+    chain = [" ".join(rng.choices(WORDS, k=80))]
+    for _ in range(40):
+        chain.append(changed(chain[-1], 1))
+    docs = spark.createDataFrame([*enumerate([*chain, *(" ".join(rng.choices(WORDS, k=80)) for _ in range(10))])], "doc_id long, text string")
+    want = sorted(tuple(r) for r in near_copies.groups(docs, 5, 6, 80).collect())
+    monkeypatch.setattr(near_copies, "BLOCK_BYTES", 3000)
+    assert sorted(tuple(r) for r in near_copies.groups(docs, 5, 6, 80).collect()) == want and len({c for _, c in want}) < 20
+
+
 def test_near_simhashes_of_different_texts_stay(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprint", lambda text, width: 7)
     docs = spark.createDataFrame([(i, " ".join(rng.choices(WORDS, k=60))) for i in range(20)], "doc_id long, text string")

@@ -26,13 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, slices
+from tessera.llm.common import hold_batches, mix, slices
 
 VOCABULARIES = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
 SEED, DROPOUT = 23, 0.1
 LANES = 4  # occurrences that the tests try; nothing is cut to so many
-CACHE_CHUNKS = 400_000  # in a worker
+CACHE_BYTES = 24 << 20  # of remembered chunks, pieces and merges in a worker
 LONG = 48  # characters from which a chunk has a heap of its own
 MARK = "▁"  # fixed value: how a space is written in a piece
 M64 = (1 << 64) - 1
@@ -63,6 +63,7 @@ class Codec:
             raise ValueError("a piece of this model spans a space inside; chunks can't be merged alone")
         lines = not any("\n" in p for p in self.table)
         self.chunks = re.compile(rf"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if lines else rf"{MARK}*[^{MARK}]+|{MARK}+").findall
+        self.held = 0  # bytes in known
         self.known: dict[str, tuple[bytes, bytes]] = {}  # pieces without dropout, and the codes of the merges that lead to them
         self._tabulate()
 
@@ -235,8 +236,13 @@ class Codec:
             part = missing[at : at + (1 << 16)]
             new.update(zip(part, zip(*self._merged(part, None), strict=True), strict=True))
         out = [self.known.get(c) or new[c] for c in chunks]
-        if len(self.known) < CACHE_CHUNKS:
-            self.known.update((c, new[c]) for c in missing)
+        for c in missing:
+            size = 4 * len(c) + len(new[c][0]) + len(new[c][1]) + 150
+            if self.held + size > CACHE_BYTES:
+                break
+            if len(c) < LONG:
+                self.known[c] = new[c]
+                self.held += size
         return out
 
     def encode_many(self, texts: list[str], keys: list[int]) -> list[np.ndarray]:
@@ -317,6 +323,7 @@ def encoded(documents: DataFrame, dropout: float = DROPOUT, seed: int = SEED, vo
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("id"), ids], ["doc_id", "ids"])
 
+    hold_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     copies = Window.partitionBy("id", F.xxhash64("text")).orderBy("text")
     rows = rows.withColumn("copy", F.row_number().over(copies) - 1 if by_copy else F.lit(0))
@@ -356,5 +363,6 @@ def round_trips(documents: DataFrame, dropout: float = DROPOUT, seed: int = SEED
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_pieces", "ids_sha256", "lossless"])
 
+    hold_batches(documents.sparkSession)
     rows = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, ids_sha256 string, lossless boolean")

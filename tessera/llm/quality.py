@@ -2,7 +2,8 @@
 
 Public vocabularies, read from files, tokenise every word of a text. Three measures follow: characters per token (of
 each vocabulary), the share of byte-fallback tokens and the entropy of the tokens in bits. A text whose measures leave the
-bands of its language, or of its script where the language has none, is rejected. Distinct words of a batch are tokenised once.
+bands of its language, or of its script where the language has none, is rejected. Bands widen as texts get shorter, so they hold at
+any length. Distinct words of a batch are tokenised once.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from tessera.llm.common import IS_SPACE, hold_batches, mix, slices, string_bytes, word_codes
 
@@ -31,30 +33,28 @@ LEAST_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 10, 5, 20
 
 
 class Band(NamedTuple):
-    """Allowed characters per token in the two vocabularies, most byte fallback, least and most entropy in bits."""
+    """Ends for long texts: characters per token in the two vocabularies, share of byte fallback, entropy (see verdicts())."""
 
     pieces_low: float
     pieces_high: float
     bytes_low: float
     bytes_high: float
     fallback: float
-    entropy_low: float
-    entropy_high: float
+    entropy: float
 
 
-#: By language. The low ends lie below nearly all (999 of 1000) of the labelled good documents at sf0.1: a rejected
-#: clean document costs more than a poor one that passes.
+#: By language, fitted on labelled good documents: each end leaves out under one in a thousand of them.
 BANDS = {
-    "en": Band(1.40, 6.5, 2.03, 7.0, 0.10, 4.6, 13.0),
-    "de": Band(1.25, 6.5, 1.65, 6.5, 0.12, 4.6, 13.0),
-    "fr": Band(1.50, 6.5, 1.60, 6.5, 0.12, 4.4, 13.0),
-    "es": Band(1.60, 6.5, 1.58, 6.5, 0.12, 4.6, 13.0),
+    "en": Band(2.16, 2.24, 2.09, 2.28, 0.02, 1.108),
+    "de": Band(2.06, 2.26, 2.01, 2.07, 0.02, 1.087),
+    "fr": Band(1.99, 2.05, 1.86, 1.94, 0.02, 1.086),
+    "es": Band(1.95, 2.13, 1.78, 1.92, 0.02, 1.09),
 }
 #: By script, for other languages: mostly one-byte characters, or mostly longer ones.
-SCRIPT_BANDS = {"latin": Band(1.5, 7.0, 1.3, 7.5, 0.20, 2.5, 14.0), "other": Band(0.3, 7.0, 0.2, 7.5, 0.95, 2.0, 15.0)}
-#: Measures of fewer tokens say too little; such texts are only held against the base rules.
-LEAST_TOKENS = 60
-CACHE_WORDS = 100_000
+SCRIPT_BANDS = {"latin": Band(1.5, 7.0, 1.3, 7.5, 0.2, 1.0), "other": Band(0.3, 7.0, 0.2, 7.5, 0.95, 0.9)}
+#: How much wider a band is for a text of n tokens, divided by the root of n; and the fall of the entropy's share with log2 n.
+CHARS_WIDTH, FALLBACK_WIDTH, ENTROPY_WIDTH, ENTROPY_FALL = 5.0, 1.0, 0.2, 0.045
+CACHE_BYTES = 8 << 20  # of words that a worker remembers
 
 
 class Tokeniser:
@@ -71,6 +71,7 @@ class Tokeniser:
         # a word has no white space, so one pattern for a leading space and the rest is enough
         self.ranks = tiktoken.Encoding("words", pat_str=r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+", mergeable_ranks=ranks, special_tokens={})
         self.known: dict[bytes, tuple[bytes, int]] = {}
+        self.held = 0  # bytes of words in known
 
     def of(self, words: list[bytes]) -> list[tuple[bytes, int]]:
         """For each word its piece ids, as 4-byte numbers, and the number of its byte-level tokens."""
@@ -78,8 +79,10 @@ class Tokeniser:
         texts = [w.decode("utf-8", "replace") for w in missing]
         new = dict(zip(missing, zip([struct.pack(f"<{len(x)}i", *x) for x in self.pieces.encode(texts, num_threads=1)], [len(self.ranks.encode_ordinary(" " + x)) for x in texts], strict=True), strict=True))
         out = [self.known.get(w) or new[w] for w in words]
-        if len(self.known) < CACHE_WORDS:
+        if self.held < CACHE_BYTES:
+            new = {w: x for w, x in new.items() if len(w) < 100}
             self.known.update(new)
+            self.held += sum(map(len, new))
         return out
 
 
@@ -169,29 +172,30 @@ def measure(column: pa.Array, tokeniser: Tokeniser) -> dict[str, np.ndarray]:
 
 
 def verdicts(found: dict[str, np.ndarray], langs: list[str | None], ascii_share: np.ndarray) -> np.ndarray:
-    """Whether the measures of each text lie in its bands."""
-    bands = np.array([BANDS.get((x or "").lower()) or SCRIPT_BANDS["latin" if a >= 0.5 else "other"] for x, a in zip(langs, ascii_share.tolist(), strict=True)]).reshape(-1, 7).T
-    inside = (found["chars_per_piece"] >= bands[0]) & (found["chars_per_piece"] <= bands[1])
-    inside &= (found["chars_per_byte_token"] >= bands[2]) & (found["chars_per_byte_token"] <= bands[3])
-    inside &= (found["fallback_share"] <= bands[4]) & (found["entropy"] >= bands[5]) & (found["entropy"] <= bands[6])
-    return inside | (found["n_tokens"] < LEAST_TOKENS)
+    """Whether the measures of each text lie in its bands, which widen as texts get shorter.
+
+    The entropy is taken as a share of log2 n, its most for n tokens; that share falls by about ENTROPY_FALL with each doubling of n.
+    """
+    bands = np.array([BANDS.get((x or "").lower()) or SCRIPT_BANDS["latin" if a >= 0.5 else "other"] for x, a in zip(langs, ascii_share.tolist(), strict=True)]).reshape(-1, 6).T
+    n = np.maximum(found["n_tokens"], 2)
+    wide, most = 1 / np.sqrt(n), np.log2(n)
+    inside = (found["chars_per_piece"] >= bands[0] - CHARS_WIDTH * wide) & (found["chars_per_piece"] <= bands[1] + CHARS_WIDTH * wide)
+    inside &= (found["chars_per_byte_token"] >= bands[2] - CHARS_WIDTH * wide) & (found["chars_per_byte_token"] <= bands[3] + CHARS_WIDTH * wide)
+    inside &= found["fallback_share"] <= bands[4] + FALLBACK_WIDTH * wide
+    return inside & (found["entropy"] / most >= bands[5] - ENTROPY_FALL * most - ENTROPY_WIDTH * wide)
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens")
 MEASURES = ("chars_per_piece", "chars_per_byte_token", "fallback_share", "entropy")
 
 
-def judgements(batches: Iterator[pa.RecordBatch], vocabularies: str) -> Iterator[tuple[pa.RecordBatch, dict[str, np.ndarray], np.ndarray, np.ndarray]]:
-    """Cuts batches with text and lang, and adds the measures of each part, who fails the base rules and who is kept."""
-    tokeniser = None
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            tokeniser = tokeniser or Tokeniser(vocabularies)
-            data, offsets = string_bytes(batch.column("text"))
-            found = measure(batch.column("text"), tokeniser)
-            failed = (found["n_words"] < LEAST_WORDS) | (100 * found["n_repeat_words"] > REPEAT_PERCENT * found["n_words"])
-            plain = per_text(data < 128, offsets) / np.maximum(np.diff(offsets), 1)
-            yield batch, found, failed, ~failed & verdicts(found, batch.column("lang").to_pylist(), plain)
+def judgements(texts: pa.Array, langs: pa.Array, tokeniser: Tokeniser) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """The measures of texts, who fails the base rules and who is kept."""
+    data, offsets = string_bytes(texts)
+    found = measure(texts, tokeniser)
+    failed = (found["n_words"] < LEAST_WORDS) | (100 * found["n_repeat_words"] > REPEAT_PERCENT * found["n_words"])
+    plain = per_text(data < 128, offsets) / np.maximum(np.diff(offsets), 1)
+    return found, failed, ~failed & verdicts(found, langs.to_pylist(), plain)
 
 
 def judged(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabularies: str = VOCABULARIES) -> DataFrame:
@@ -204,20 +208,35 @@ def judged(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = "id long, lang string, " + ", ".join([*(f"{c} long" for c in COUNTS), *(f"{c} double" for c in MEASURES), "base_failed boolean", "kept boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, found, failed, kept in judgements(batches, vocabularies):
-            columns = [pa.array(found[c].astype(np.int64 if c in COUNTS else np.float64)) for c in names]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), *columns, pa.array(failed), pa.array(kept)], ["id", "lang", *names, "base_failed", "kept"])
-
+        tokeniser = None
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                tokeniser = tokeniser or Tokeniser(vocabularies)
+                found, failed, kept = judgements(batch.column("text"), batch.column("lang"), tokeniser)
+                columns = [pa.array(found[c].astype(np.int64 if c in COUNTS else np.float64)) for c in names]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), *columns, pa.array(failed), pa.array(kept)], ["id", "lang", *names, "base_failed", "kept"])
+
+    hold_batches(documents.sparkSession)
     lang = F.col(lang_col).cast("string") if lang_col in documents.columns else F.lit(None).cast("string")
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
     return rows.mapInArrow(run, schema).withColumnRenamed("id", "doc_id")
 
 
-def kept_documents(documents: DataFrame, vocabularies: str = VOCABULARIES) -> DataFrame:
-    """The rows of documents that the rules keep, with all columns. Each row is judged by itself, whatever its id."""
+def kept_documents(documents: DataFrame, vocabularies: str = VOCABULARIES, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of documents that the rules keep, with all columns; only text and language go through Python.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _, kept in judgements(batches, vocabularies):
-            yield batch.filter(pa.array(kept))
+    Each row is judged by itself, whatever its id. Null and empty texts go; a null, unknown or missing language takes the band of the text's
+    script. Repeated rows stay or go together; an empty table stays empty; extra columns stay, whatever their names.
+    """
+
+    @arrow_udf("boolean")
+    def keeps(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        tokeniser = None
+        for texts, langs in batches:
+            tokeniser = tokeniser or Tokeniser(vocabularies)
+            batch = pa.RecordBatch.from_arrays([texts, langs], ["text", "lang"])
+            yield pa.concat_arrays([pa.array([], pa.bool_()), *(pa.array(judgements(x.column("text"), x.column("lang"), tokeniser)[2]) for x in slices(batch, "text"))])
 
-    return documents.mapInArrow(run, documents.schema)
+    hold_batches(documents.sparkSession)
+    lang = F.col(lang_col).cast("string") if lang_col in documents.columns else F.lit(None).cast("string")
+    return documents.where(keeps(F.col(text_col).cast("string"), lang))

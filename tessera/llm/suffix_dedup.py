@@ -29,6 +29,7 @@ slabs, so a very long text takes a few times its size.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ def gram(length: int) -> int:
     return 16 if length >= 32 else 8
 
 
+@cache
 def difference_cover(v: int) -> np.ndarray:
     """The residues of the smallest difference cover modulo v in lexicographic order: all differences occur."""
     size = 1
@@ -147,7 +149,7 @@ class Batch:
         hashes = np.empty(len(places), dtype=np.uint64)
         for s in range(0, len(places), SLAB):
             hashes[s : s + SLAB] = hashes_at(self.data, places[s : s + SLAB], self.size) >> np.uint64(64 - bits)
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes)
         return places, order, hashes[order]
 
     def text_of(self, places: np.ndarray) -> np.ndarray:
@@ -196,7 +198,7 @@ def shared_ranks(rows: pa.Table) -> pa.Table:
     parts = [unpack(x) for x in rows.column("blob").to_pylist()]
     several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(rows.column("several").to_pylist(), parts, strict=True)]
     hashes = np.concatenate(parts)
-    order = np.argsort(hashes, kind="stable")
+    order = np.argsort(hashes)
     first = heads(hashes[order])
     shared = np.concatenate(several)[order]
     shared |= ~first
@@ -530,22 +532,30 @@ def covered(data: np.ndarray, places: np.ndarray, owners: np.ndarray, length: in
     rank = ranks[places[own][:, None] + d]
     row, column = np.nonzero(rank)
     rank, d, own, group = rank[row, column], d[row, column], own[row], group[row]
-    # the bytes after the sampled string
-    tail = np.zeros(len(own), dtype=np.uint64)
+    # classes of equal (tie, shift, rank, bytes after the sampled string), by a hash of the four
+    kind = mix((group * v + d).astype(np.uint64)) + mix(rank)
     for x in range(length - 8 * -(-(v - 1) // 8), length, 8):
         hidden = np.clip(np.arange(v) + size - x, 0, 8)
         mask = np.array([(1 << (8 * (8 - h))) - 1 for h in hidden.tolist()], dtype=np.uint64)
-        tail = mix(tail ^ (words[places[own] + x].astype(np.uint64) & mask[d])) + np.uint64(x)
-    order, new = tied([group * v + d, rank, tail])
-    begin = np.flatnonzero(new)
+        some = np.flatnonzero(mask[d])
+        kind[some] = mix(kind[some] ^ (words[places[own[some]] + x].astype(np.uint64) & mask[d[some]]))
+    order = np.argsort(kind)
+    begin = np.flatnonzero(heads(kind[order]))
     if not len(begin):
         return out
-    sizes, own = np.diff(np.append(begin, len(order))), own[order]
-    head = np.repeat(own[begin], sizes)
-    if any((words[places[own] + x] != words[places[head] + x]).any() for x in [*range(8, length - 7, 8), length - 8]):
+    own = own[order]
+    sizes, owner = np.diff(np.append(begin, len(own))), owners[own]
+    lowest = np.repeat(np.minimum.reduceat(owner, begin), sizes)
+    hit = np.flatnonzero(lowest < owner)
+    number = np.repeat(np.arange(len(begin)), sizes)
+    holder = np.empty(len(begin), dtype=np.int64)
+    is_lowest = owner == lowest
+    holder[number[is_lowest]] = own[is_lowest]  # a suffix of the smallest id of each class
+    own, first = np.unique(own[hit], return_index=True)
+    held = holder[number[hit[first]]]
+    if any((words[places[own] + x] != words[places[held] + x]).any() for x in [*range(0, length - 7, 8), length - 8]):
         return covered_by_bytes(data, places, owners, length)  # a hash collided
-    hit = np.repeat(np.minimum.reduceat(owners[own], begin), sizes) < owners[own]
-    out[own[hit]] = True
+    out[own] = True
     return out
 
 
@@ -665,7 +675,7 @@ def _cut(documents: DataFrame, length: int, id_col: str, text_col: str, others:
     wanted = wanted.applyInArrow(lambda own, x: equal_runs(length, n)(own, x.rename_columns({"range": "bucket", "bucket": "b"})), f"b int, {binary(WANTED)}")
     # what a batch is told about ranks and what is wanted of it come as rows of one table
     asked = wanted.select("b", *WANTED, *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("flags", "binary"), ("ranks", "binary"))])
-    asked = asked.unionByName(ranks, allowMissingColumns=True).repartition(n, "b")
+    asked = asked.repartition(n, "b").unionByName(ranks, allowMissingColumns=True)
     send = send_texts(length, bits, n)
     sent = texts.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(lambda own, x: send(own, x.filter(pc.is_valid(x.column("keys"))), x.filter(pc.is_valid(x.column("flags")))), f"bucket int, b int, {binary(TEXTS)}")
     spans = by(sent, "bucket").applyInArrow(sorted_buckets(length), "b int, spans binary")

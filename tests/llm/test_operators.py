@@ -4,6 +4,7 @@ import collections
 import math
 import os
 import random
+import re
 import zlib
 
 import duckdb
@@ -384,14 +385,61 @@ def test_toxicity(spark):
 
 
 def test_counterfactual_penalty():
-    """Weights of swapped terms move together, so a neutral mention costs less."""
-    a, b = toxicity.feature_of("women"), toxicity.feature_of("men")
-    rows = [np.array([a] if i % 2 else [b], dtype="<i4") for i in range(400)]
+    """The penalty holds the score change of swapped texts down."""
+    a, b, c = (toxicity.feature_of(x) for x in ("women", "men", "work"))
+    rows = [np.array(sorted([a if i % 2 else b, c]), dtype="<i4") for i in range(400)]
     labels = np.array([int(i % 2 and i % 3 == 0) for i in range(400)])
-    pairs = np.array([[a, b, 200], [b, a, 200]])
+    swapped = np.array([[i, a, b] if i % 2 else [i, b, a] for i in range(400)])
     gap = lambda w: abs(w[a] - w[b])
-    assert gap(toxicity.train(rows, labels, pairs)[0]) < 0.6 * gap(toxicity.train(rows, labels, pairs[:0])[0])
+    assert gap(toxicity.train(rows, labels, swapped, 5.0)[0]) < 0.6 * gap(toxicity.train(rows, labels, swapped[:0])[0])
     assert set(toxicity.swaps("All women work. Scum!", {"g": ("women", "men")})) == {(a, b)}
+    # a term of another sentence stays in the text, a term that is there isn't gained
+    assert set(toxicity.swaps("Women work. Men and women.", {"g": ("women", "men", "girl")})) == {(-1, toxicity.feature_of("girl")), (b, toxicity.feature_of("girl"))}
+
+
+def test_counterfactuals_are_the_swapped_texts():
+    """Lost and gained features against the features of the text with the term replaced in one sentence."""
+    kinds = {"g": ("frau", "mann", "mädchen"), "r": ("blind", "deaf")}
+    of = lambda t: set(toxicity.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0].tolist())
+    for text in ("Die Frau geht. Ein mann kommt!", "frau und Mann. frau", "blind deaf\nblind mann", "nichts"):
+        want, sentences = set(), text.replace("!", ".").replace("\n", ".").split(".")
+        for i, sentence in enumerate(sentences):
+            tokens = sentence.lower().split()
+            for terms in kinds.values():
+                for term in set(tokens) & set(terms):
+                    for other in set(terms) - set(tokens):
+                        swapped = ". ".join(" ".join(other if w == term else w for w in s.lower().split()) if j == i else s for j, s in enumerate(sentences))
+                        lost, gained = of(text) - of(swapped), of(swapped) - of(text)
+                        want.add((lost.pop() if lost else -1, gained.pop() if gained else -1))
+        assert set(toxicity.swaps(text, kinds)) == {x for x in want if x != (-1, -1)}, text
+
+
+def test_gradient_is_that_of_the_objective():
+    gen = np.random.default_rng(4)
+    owner = np.sort(gen.integers(0, 30, 120))
+    fit = toxicity.Fit(gen.integers(0, 12, 120), owner, gen.integers(0, 2, 30), np.full(30, 1 / 30), 12, np.column_stack([gen.integers(0, 30, 40), gen.integers(-1, 12, 40), gen.integers(-1, 12, 40)]), 3.0)
+    x, c, e = gen.normal(size=12), 0.3, 1e-6
+    gradient, slope = fit.gradient(x, c)
+    numeric = [(fit.value(x + e * np.eye(12)[i], c) - fit.value(x - e * np.eye(12)[i], c)) / (2 * e) for i in range(12)]
+    assert np.allclose(gradient, numeric, atol=1e-6) and slope == pytest.approx((fit.value(x, c + e) - fit.value(x, c - e)) / (2 * e), abs=1e-6)
+
+
+def test_toxicity_scores_are_the_sums_of_weights(spark, monkeypatch):
+    """Scores against a text-by-text sum of the trained weights, and the bound on the sample's words."""
+    seen = []
+    real = toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda rows, *rest: seen.append((rows, real(rows, *rest))) or seen[-1][1])
+    texts = [prose(12) + rng.choice(["scum ", "Moron, ", "fine ", ""]) + prose(5) for _ in range(200)] + [None, "", "scum " * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("scum" in (t or "") or "Moron" in (t or ""))) for i, t in enumerate(texts[:200])], "doc_id long, toxic int")
+    for words_most in (10**6, 400):
+        got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, labels, sample_words=words_most).collect()}
+        rows, (weights, intercept) = seen[-1]
+        assert 0 < sum(map(len, rows)) <= words_most
+        for i, t in enumerate(texts):
+            distinct = {"".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", t or "")}
+            z = intercept + sum(weights[f] for f in {toxicity.feature_of(w) for w in distinct})
+            assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
 
 
 URLS = ["http://ex.example.net/en/x", "https://a.example.net/de/1", "http://example.net/en/", "http://myexample.net/en/", "http://EX.Example.COM/de/q?x#y", "http://x.org/fr/cheap-pills", "http://x.org/en/cheap-pills", "http://x.org/en/cheapXpills", "http://x.org/free?bets=1", "http://x.org/free/x",

@@ -1,12 +1,13 @@
 """URL filter: host and path rules, then a weighted vocabulary of terms found by an Aho-Corasick automaton.
 
-A strict term rejects alone; soft terms reject once enough different ones occur. A term only counts between boundaries: the
+Every term has a weight, and the weights of the different terms of a URL add up: a strict term rejects alone, soft ones once enough
+different ones occur. A term only counts between boundaries: the
 characters beside it, if any, are neither letters nor digits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import reduce
 
 import ahocorasick
@@ -17,30 +18,43 @@ from pyspark.sql import functions as F
 # The rules of the contract.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-STRICT = ("spam-farm", "cheap-pills", "free-bets", "porn", "xxx", "hentai", "viagra", "warez", "phishing")
-SOFT = ("spam", "farm", "cheap", "pills", "free", "bets", "casino", "poker", "bonus", "jackpot", "loan", "loans", "adult", "sex", "nude", "escort", "crack", "keygen", "torrent", "payday")
-SOFT_NEEDED = 2
+STRICT, NEEDED = 2, 2  # the weight of a term that rejects alone; the weight of different terms that rejects
 
+#: Terms and their weights: strict ones weigh STRICT, soft ones 1.
+TERMS = {t: STRICT for t in ("spam-farm", "cheap-pills", "free-bets", "porn", "xxx", "hentai", "viagra", "cialis", "warez", "phishing", "porno", "sexcam", "camgirls", "escorts")} | {
+    t: 1
+    for t in (
+        *("spam", "farm", "cheap", "pills", "free", "bets", "casino", "poker", "bonus", "jackpot", "loan", "loans", "adult", "sex", "nude", "escort", "crack", "keygen", "torrent", "payday"),
+        *("billig", "pillen", "gratis", "wetten", "kredit", "nackt", "glücksspiel"),
+        *("pilules", "gratuit", "crédit", "nue", "loterie"),
+        *("barato", "pastillas", "apuestas", "préstamos", "desnuda", "lotería"),
+    )
+}
 
-def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
+
+def terms_from(table: DataFrame, term: str = "term", weight: str = "weight") -> dict[str, int]:
+    """The vocabulary of a table, a bounded list: lower-cased terms with their weights, of a repeated term the largest."""
+    rows = table.where(F.col(term).isNotNull() & (F.col(term) != "") & (F.col(weight) > 0)).groupBy(F.lower(F.col(term).cast("string")).alias("t")).agg(F.max(F.col(weight).cast("int")).alias("w"))
+    return {r["t"]: r["w"] for r in rows.orderBy("t").collect()}
+
+
+def automaton(terms: Mapping[str, int]) -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for term in soft:
-        found.add_word(term, (term, False))
-    for term in strict:
-        found.add_word(term, (term, True))
+    for term, weight in terms.items():
+        found.add_word(term, (term, weight))
     found.make_automaton()
     return found
 
 
-def rejects(url: str, terms: ahocorasick.Automaton, soft_needed: int) -> tuple[bool, int, int]:
+def rejects(url: str, terms: ahocorasick.Automaton, needed: int) -> tuple[bool, int, int]:
     """The verdict, and how many different strict and soft terms stand between boundaries."""
-    seen: set[tuple[str, bool]] = set()
-    for end, (term, strict) in terms.iter(url):
+    seen: dict[str, int] = {}
+    for end, (term, weight) in terms.iter(url) if len(terms) else ():
         start = end - len(term) + 1
         if (start == 0 or not url[start - 1].isalnum()) and (end + 1 == len(url) or not url[end + 1].isalnum()):
-            seen.add((term, strict))
-    strict = sum(s for _, s in seen)
-    return bool(strict) or len(seen) - strict >= soft_needed, strict, len(seen) - strict
+            seen[term] = weight
+    strict = sum(w >= STRICT for w in seen.values())
+    return sum(seen.values()) >= needed, strict, len(seen) - strict
 
 
 def rule_column(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
@@ -66,7 +80,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.coalesce(F.regexp_extract(after, r"(?s)\A[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, strict=STRICT, soft=SOFT, soft_needed: int = SOFT_NEEDED) -> DataFrame:
+def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, terms: Mapping[str, int] = TERMS, needed: int = NEEDED) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, and the numbers of different strict and soft terms.
 
     A null url, or one without ://, has empty host and path and fits no rule; null has no terms. A longer rule beats a
@@ -74,9 +88,9 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = automaton(strict, soft)
+        own = automaton(terms)
         for batch in batches:
-            found = [rejects((x or "").lower(), terms, soft_needed) for x in batch.column("url").to_pylist()]
+            found = [rejects((x or "").lower(), own, needed) for x in batch.column("url").to_pylist()]
             new = [pa.array([f[0] for f in found], pa.bool_()), *(pa.array([f[i] for f in found], pa.int32()) for i in (1, 2))]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), *new], ["id", "url", "rejected", "n_strict", "n_soft"])
 
@@ -89,9 +103,10 @@ def judged(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rule
     return rows.select(F.col("id").alias("page_id"), "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "n_strict", "n_soft")
 
 
-def verdict_sql(strict=STRICT, soft=SOFT, soft_needed: int = SOFT_NEEDED) -> str:
+def verdict_sql(terms: Mapping[str, int] = TERMS, needed: int = NEEDED) -> str:
     """DuckDB SQL for the result of judged() over the view pages."""
     hit = lambda t: f"CAST(regexp_matches(lower(coalesce(url, '')), '(^|[^\\p{{L}}\\p{{N}}]){t}($|[^\\p{{L}}\\p{{N}}])') AS INT)"
+    count = lambda own: " + ".join(hit(t) for t, w in terms.items() if own(w)) or "0"
     fit = lambda r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')"
     ordered = sorted(RULES, key=lambda r: -len(r[0]))
     case = lambda i: " ".join(f"WHEN {fit(r[0])} THEN '{r[i]}'" for r in ordered)
@@ -99,7 +114,7 @@ def verdict_sql(strict=STRICT, soft=SOFT, soft_needed: int = SOFT_NEEDED) -> str
 WITH u AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-t AS (SELECT *, {' + '.join(map(hit, strict))} AS n_strict, {' + '.join(map(hit, soft))} AS n_soft FROM p)
+t AS (SELECT *, {count(lambda w: w >= STRICT)} AS n_strict, {count(lambda w: w < STRICT)} AS n_soft, {' + '.join(f"{w} * {hit(t)}" for t, w in terms.items())} AS weight FROM p)
 SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, CASE {case(0)} END AS rule,
-  coalesce(CASE {case(1)} END, CASE WHEN n_strict > 0 OR n_soft >= {soft_needed} THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(CASE {case(1)} END, CASE WHEN weight >= {needed} THEN 'block' ELSE 'allow' END) AS verdict,
   CAST(n_strict AS INT) AS n_strict, CAST(n_soft AS INT) AS n_soft FROM t"""

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, with nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import collections
+import fractions
 import math
 import os
 import random
@@ -323,17 +324,43 @@ def test_pruning_keeps_the_best():
     gen = np.random.default_rng(5)
     base = np.floor(256 * gen.normal(size=(20, 16)))
     rows = np.floor(base[gen.integers(0, 20, 2000)] * gen.uniform(0.5, 1, (2000, 1)) + gen.normal(size=(2000, 16)) * 20)
-    bucket = topk.Bucket(np.arange(2000), rows)
+    bucket = topk.Bucket(np.arange(2000), rows / 256)
     for q in range(0, 2000, 40):
         every = sorted((-int(rows[i] @ rows[q]), i) for i in range(2000) if i != q)[:5]
         for to_beat in (-1.0, -every[-1][0], -every[-1][0] * 0.9):
-            ids, scores = bucket.search(q, rows[q], float(to_beat), 5)
+            ids, scores = bucket.search(q, rows[q] / 256, float(to_beat), 5)
             assert [(-s, i) for i, s in zip(ids.tolist(), scores.tolist())] == every
 
 
-def test_huge_components():
-    rows = np.floor(256 * np.array([[1e30, -1e30], [1e30, 1e30]]))
-    assert topk.products(rows, rows[1], False).tolist() == [0, topk.LONG]
+def test_huge_components(spark):
+    rows = np.array([[1e30, -1e30], [1e30, 1e30]])
+    assert topk.products(rows, rows[1]).tolist() == [0, topk.LONG]
+    big = [[1e307, -1e307], [1e307, 1e307], [1.7e308, 0.5], [3.0, 4.0], [-1.7e308, 1.0], [1e16, -1e16], [1e16, 1e16 - 2], [0.25, 0.75], [1e13 + 0.5, 0.001]]
+    df = spark.createDataFrame([(50 * i, v) for i, v in enumerate(big)], "vec_id long, embedding array<double>")
+    exact = lambda x: math.floor(256 * fractions.Fraction(x))
+    want = []
+    for q, v in enumerate(big):
+        scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(exact(a) * exact(b) for a, b in zip(v, w)))), 50 * i) for i, w in enumerate(big) if i != q)
+        want += [(50 * q, n + 1, i, -x) for n, (x, i) in enumerate(scores[:5])]
+    assert as_rows(topk.top_k(df, F.col("vec_id") % 50 == 0), ("query_id", "rank", "vec_id", "score")) == sorted(want, key=repr)
+
+
+def test_short_buckets_meet_no_queries(spark, monkeypatch):
+    """Blocks of queries only travel to buckets that can hold a better vector; results stay exact."""
+    monkeypatch.setattr(topk, "BUCKET_ROWS", 50)
+    gen = np.random.default_rng(9)
+    vectors = [(i, (gen.normal(size=6) * (5.0 if i % 4 else 0.01)).tolist()) for i in range(600)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    met = []
+    real = topk.materialise
+    monkeypatch.setattr(topk, "materialise", lambda frame, name: met.append((name, real(frame, name))) or met[-1][1])
+    got = as_rows(topk.top_k(df, F.col("vec_id") % 50 == 0), ("query_id", "rank", "vec_id", "score"))
+    v = {i: [math.floor(256 * x) for x in w] for i, w in vectors}
+    want = [(q, n + 1, i, -x) for q in v if q % 50 == 0 for n, (x, i) in enumerate(sorted((-sum(a * b for a, b in zip(v[q], w)), i) for i, w in v.items() if i != q)[:5])]
+    assert got == sorted(want, key=repr)
+    parts = dict(met)
+    pairs = parts["topk-queries"].select("dim", "least").join(parts["topk-buckets"].select("dim", "longest"), "dim")
+    assert 0 < pairs.where("longest >= least").count() < pairs.count()
 
 
 def test_lm(spark):
@@ -463,6 +490,15 @@ def test_urls(spark):
     assert urls.judged(df.where("false")).count() == 0 and urls.judged(df).count() == len(URLS) + 2
 
 
+def test_url_terms_from_a_table(spark):
+    table = spark.createDataFrame([("Shop", 1), ("deal", 1), ("scam", 3), ("scam", 1), (None, 2), ("", 2), ("x", 0)], "term string, weight int")
+    terms = urls.terms_from(table)
+    assert terms == {"shop": 1, "deal": 1, "scam": 3}
+    df = spark.createDataFrame(list(enumerate(["http://a.b/shop", "http://a.b/shop/deal", "http://a.b/scam", "http://a.b/scams?shop"])), "page_id long, url string")
+    assert [r["verdict"] for r in sorted(urls.judged(df, terms=terms).collect())] == ["allow", "block", "block", "allow"]
+    assert {r["verdict"] for r in urls.judged(df, terms={}).collect()} == {"allow"}
+
+
 def test_mixing(spark):
     df = documents(spark, "domain")
     duck = duckdb.connect()
@@ -514,6 +550,19 @@ def test_licenses(spark):
     assert share == {"ISC": pytest.approx((n - 2) / n)}
 
 
+def test_whole_license_texts(spark):
+    """Many long templates, as from a table: found whole and with a few words changed, not found by half."""
+    long = {f"L{i}": " ".join(rng.choice(["shall", "be", "granted", "the", "right", "to", "copy", f"w{rng.randint(0, 400)}"]) for _ in range(rng.choice([300, 700, 1500]))) for i in range(20)}
+    table = spark.createDataFrame([*long.items(), (None, "x"), ("none", None)], "license string, text string")
+    templates = licenses.templates_from(table)
+    assert templates == long
+    w = long["L3"].split()
+    texts = [prose(40) + long["L3"] + prose(9), " ".join(["zzz" if i % 100 == 50 else x for i, x in enumerate(w)]), " ".join(w[: len(w) // 2]), licenses.TEMPLATES["MIT-full"]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["doc_id"], r["license"]) for r in licenses.scanned(docs, templates).collect()} == {(0, "L3"), (1, "L3")}
+    assert {"MIT-full", "MIT-text"} == {r["license"] for r in licenses.scanned(docs).collect()}
+
+
 ODD_TEXTS = ["", "  a  b\n\tc ", " ", "\n\n x", "é" * 50 + "漢字🙂 ok\x00\x7f", "a" * 500, "   " * 20 + "x", " ▁ x▁", "ﬁ ½ Ａ", "▁", "<s> </s> <0x0A>"]
 
 

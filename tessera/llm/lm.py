@@ -18,9 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, materialise, mix, slices, string_bytes, word_hashes, words_of
+from tessera.llm.common import LOWER, hold_batches, materialise, mix, slices, string_bytes, word_hashes, words_of
 
-BATCH_MB = 2.5  # of stored input; about 4 MB of text
+BATCH_TEXT, LEAST_TEXT = 4 << 20, 1 << 17  # bytes in a batch; batches are no smaller to have one for each shuffle partition
 ADD = 0.1  # fixed value: added to every count
 CLASSES = 16
 ROW_BITS = 16
@@ -28,6 +28,7 @@ SHARDS = 16
 ROUNDS = 2
 RATE, DAMPING = 1.0, 30.0  # of a step; a feature met n times moves by the mean over n + DAMPING
 MINIBATCH = 1 << 14
+FAN_IN = 64
 END, BEFORE = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -160,17 +161,17 @@ def train_partition(packed: bytes, bias: np.ndarray):
             moved = ((weights - start) * met[:, None]).astype("<f4")
             for s in range(SHARDS):
                 own = slice(s * size, (s + 1) * size)
-                row = [pa.array([s], pa.int32()), pa.array([part % 64], pa.int32()), pa.array([moved[own].tobytes()], pa.binary()), pa.array([met[own].astype("<f8").tobytes()], pa.binary())]
+                row = [pa.array([s], pa.int32()), pa.array([part], pa.int32()), pa.array([moved[own].tobytes()], pa.binary()), pa.array([met[own].astype("<f8").tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(row, ["shard", "part", "moved", "met"])
 
     return run
 
 
 def add_shards(rows: pa.Table) -> pa.Table:
-    """The sum over the rows of one shard."""
+    """The sum over the rows of one shard and group of parts."""
     moved = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in rows.column("moved").to_pylist())
     met = sum(np.frombuffer(x, "<f8") for x in rows.column("met").to_pylist())
-    return pa.table({"shard": rows.column("shard")[:1], "part": pa.array([0], pa.int32()), "moved": pa.array([moved.astype("<f4").tobytes()], pa.binary()), "met": pa.array([met.tobytes()], pa.binary())})
+    return pa.table({"shard": rows.column("shard")[:1], "part": rows.column("part")[:1], "moved": pa.array([moved.astype("<f4").tobytes()], pa.binary()), "met": pa.array([met.tobytes()], pa.binary())})
 
 
 def score_batch(packed: bytes, bias: np.ndarray, sums: np.ndarray, known: np.ndarray, ends: int, buckets: int):
@@ -211,14 +212,14 @@ def scored(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A row with a null id is scored as held out. Repeated rows count each time. Without training rows all counts are
     zero. An empty table gives no rows. Extra columns are ignored, whatever their names.
     """
-    stored = int(str(documents.select(id_col, text_col)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    stored = stored if stored < 1 << 60 else 1 << 30
-    n = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(stored / (BATCH_MB * (1 << 20))) + 1)
+    hold_batches(documents.sparkSession)
+    size = documents.select(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    n = max(-(-size // BATCH_TEXT), min(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_TEXT)), 1)
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"), "id", "text", F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % folds != 0, F.lit(False)).alias("train"))
+    rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("b"), "id", "text", F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % folds != 0, F.lit(False)).alias("train"))
     texts = rows.repartition(n, "b")
     sent = texts.groupBy("b").applyInArrow(send_words(n), "bucket int, b int, words binary, classes binary, counts binary")
-    counted = materialise(sent.groupBy("bucket").applyInArrow(add_counts, "b int, bucket int, totals binary, sums array<long>, known array<long>"), "lm-counts")
+    counted = materialise(sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(add_counts, "b int, bucket int, totals binary, sums array<long>, known array<long>"), "lm-counts")
     sums, known = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
     per_class = counted.where("b is null").select(F.posexplode(F.arrays_zip("sums", "known"))).groupBy("pos").agg(F.sum("col.sums"), F.sum("col.known"))
     for i, s, k in per_class.collect():  # CLASSES rows
@@ -230,12 +231,14 @@ def scored(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     weights = np.zeros((1 << ROW_BITS, CLASSES), dtype=np.float32)
     for _ in range(rounds):
         moved = rows.where("train").select("text").mapInArrow(train_partition(weights.tobytes(), bias), "shard int, part int, moved binary, met binary")
-        summed = moved.groupBy("shard", "part").applyInArrow(add_shards, "shard int, part int, moved binary, met binary")
+        # a tree of sums: no task adds more than FAN_IN tables of a shard, for up to FAN_IN ** 3 partitions
+        for _ in range(3):
+            moved = moved.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("shard", "part").applyInArrow(add_shards, "shard int, part int, moved binary, met binary")
         size = len(weights) // SHARDS
         # SHARDS rows, together the size of the table
-        for row in summed.groupBy("shard").applyInArrow(add_shards, "shard int, part int, moved binary, met binary").collect():
+        for row in moved.collect():
             change, met = np.frombuffer(row["moved"], "<f4").reshape(-1, CLASSES), np.frombuffer(row["met"], "<f8")
             weights[row["shard"] * size : (row["shard"] + 1) * size] += (change / (met + DAMPING)[:, None]).astype(np.float32)
-    out = texts.groupBy("b").cogroup(counted.where("b is not null").select("b", "bucket", "totals").groupBy("b"))
+    out = texts.groupBy("b").cogroup(counted.where("b is not null").select("b", "bucket", "totals").repartition(n, "b").groupBy("b"))
     out = out.applyInArrow(score_batch(weights.tobytes(), bias, sums, known, ends, n), "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(sums.sum()) + ends).cast("long").alias("train_tokens"), "base_score", "score")

@@ -33,7 +33,9 @@ def sketch_of(gamma: Column, offset: Column, zeros: Column, pos: Column, neg: Co
     low = F.when(some(m), -last(m)).when(zeros > 0, 0.0).when(some(p), first(p)).otherwise(INF)
     high = F.when(some(p), last(p)).when(zeros > 0, 0.0).when(some(m), -first(m)).otherwise(-INF)
     names = ("gamma", "index_offset", "zero_count", "pos", "neg", "n", "total", "low", "high")
-    return F.struct(*[c.alias(k) for k, c in zip(names, (gamma, offset, zeros, pos, neg, n, total, low, high), strict=True)])
+    whole = F.struct(*[c.alias(k) for k, c in zip(names, (gamma, offset, zeros, pos, neg, n, total, low, high), strict=True)])
+    # a bare struct would be copied into every accessor; the optimizer evaluates this form once
+    return F.element_at(F.transform(F.array(whole), lambda x: x), 1)
 
 
 def _has(s: Column) -> Column:

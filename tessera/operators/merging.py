@@ -116,12 +116,13 @@ def group_stats(df: DataFrame, keys: list[str] | None = None, sketch: str = "ske
 
 
 def rolled_up(df: DataFrame, keys: list[str], sketch: str = "sketch", column: str = "sketch") -> DataFrame:
-    """merged() for every prefix of the keys, as ROLLUP groups; level counts the keys that are left out."""
-    parts = []
-    for n in range(len(keys), -1, -1):
-        part = merged(df, sketch, keys[:n], column)
-        parts.append(part.select(*keys[:n], *[F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys[n:]], column, "dropped", F.lit(len(keys) - n).alias("level")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """merged() for every prefix of the keys, as ROLLUP groups; level counts the keys that are left out. An empty table gives no rows.
+
+    One pass: a sketch is decoded once and stands once for each level.
+    """
+    names = [f"part{i}__" for i in range(len(keys))]
+    decoded = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(keys, names, strict=True)], (blob.to_struct(F.when(F.length(sketch) > 0, F.col(sketch))) if df.schema[sketch].dataType.typeName() == "binary" else F.col(sketch)).alias("s__"))
+    level = lambda n: F.struct(F.lit(len(keys) - n).alias("level__"), *[(F.col(k) if i < n else F.lit(None).cast(decoded.schema[k].dataType)).alias(k) for i, k in enumerate(names)])
+    rows = decoded.select("s__", F.explode(F.array(*[level(n) for n in range(len(keys), -1, -1)])).alias("at__")).select("at__.*", "s__")
+    out = merged(rows, "s__", [*names, "level__"], "out__")
+    return out.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], F.col("out__").alias(column), "dropped", F.col("level__").alias("level"))

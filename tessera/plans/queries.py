@@ -83,21 +83,17 @@ def global_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def add_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds each nation's first eight balances one call at a time, as nested calls."""
+    """Adds every balance of a nation one call at a time: nested calls over blocks of eight values, and the blocks merged."""
     order = Window.partitionBy("s_nationkey").orderBy("s_suppkey")
-    rows = table(spark, sf_dir, "supplier").withColumn("n", F.row_number().over(order)).where("n <= 8")
-    wide = rows.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("n", "s_acctbal"))).alias("v"))
+    rows = table(spark, sf_dir, "supplier").withColumn("n", F.row_number().over(order) - 1).withColumn("block", F.floor(F.col("n") / 8))
+    wide = rows.groupBy("s_nationkey", "block").agg(F.sort_array(F.collect_list(F.struct("n", "s_acctbal"))).alias("v"))
     sketch: Column = F.lit(bytearray(blob.empty()))
     for i in range(8):
         value = F.get("v", F.lit(i))["s_acctbal"]
         # a null value would make the sketch null
         sketch = F.when(value.isNull(), sketch).otherwise(blob.add(sketch, F.coalesce(value, F.lit(0.0))))
-    folded = wide.select("s_nationkey", sketch.alias("sketch"))
-    q = lambda x: F.round(blob.quantile("sketch", F.lit(x)), 6)
-    return folded.select("s_nationkey", blob.count("sketch").alias("count"), F.round(blob.total("sketch"), 2).alias("sum"), F.round(blob.average("sketch"), 6).alias("avg"), F.round(blob.minimum("sketch"), 6).alias("min"), F.round(blob.maximum("sketch"), 6).alias("max"), *[q(x).alias(p) for p, x in native.PERCENTILES.items()])
-
-
-FIRST_EIGHT = "(SELECT * FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) <= 8)"
+    folded = merging.group_merge(wide.select("s_nationkey", sketch.alias("sketch")), ["s_nationkey"])
+    return folded.select("s_nationkey", blob.to_struct("sketch").alias("sketch")).select(*summary(["s_nationkey"], F.col("sketch")))
 
 
 def merge_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +273,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "quantiles_signed": (quantiles_signed, S.quantiles(S.bins("customer", "c_acctbal", "c_mktsegment"), "c_mktsegment", SIGNED_QS)),
     "zero_bucket": (zero_bucket, S.stats(S.bins("lineitem", "l_discount", "l_returnflag"), "l_returnflag")),
     "global_build": (global_build, S.stats(S.bins("orders", "o_totalprice"), "")),
-    "add_fold": (add_fold, S.stats(S.bins(FIRST_EIGHT, "s_acctbal", "s_nationkey"), "s_nationkey")),
+    "add_fold": (add_fold, S.stats(S.bins("supplier", "s_acctbal", "s_nationkey"), "s_nationkey")),
     "merge_pair": (merge_pair, S.stats(S.bins("(SELECT * FROM lineitem WHERE l_returnflag IN ('A', 'R'))", "l_extendedprice", "l_linestatus") + " HAVING l_linestatus IN (SELECT l_linestatus FROM lineitem WHERE l_returnflag = 'A') AND l_linestatus IN (SELECT l_linestatus FROM lineitem WHERE l_returnflag = 'R')", "l_linestatus")),
     "merge_mismatch": (merge_mismatch, "SELECT true AS mismatch_is_null, 0::BIGINT AS match_count, true AS null_is_null"),
     "agg_rollup": (agg_rollup, S.stats(S.bins(EVENT_DAYS, "value", EVENT_DAY), EVENT_DAY)),

@@ -310,6 +310,17 @@ def table_of(rows: list[dict], binary: tuple[str, ...]) -> pa.Table:
     return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("b", pa.int32()), *((x, pa.binary()) for x in binary)]))
 
 
+def shrunk(values: np.ndarray) -> bytes:
+    """Whole numbers of 0 and more in as few bytes each as they need, after a byte that says how many; others as 8 bytes."""
+    low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    size = next((w for w in (1, 2, 4) if 0 <= low and high < 1 << (8 * w)), 8)
+    return bytes([size]) + values.astype("<i8" if size == 8 else f"<u{size}").tobytes()
+
+
+def grown(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, "<i8" if blob[0] == 8 else f"<u{blob[0]}", offset=1).astype(np.int64) if blob else np.zeros(0, np.int64)
+
+
 RUNS = ("keys", "marks", "ids", "at", "n", "gone")
 
 
@@ -330,7 +341,8 @@ def send_runs(length: int, bits: int, buckets: int):
         by = np.argsort(bucket, kind="stable")
         left, bucket = left[by], bucket[by]
         b = rows.column("b")[0].as_py()
-        out = [{"bucket": k, "b": b, "keys": keys[own].astype("<u8").tobytes(), "marks": marks[own].astype("<u8").tobytes(), "ids": ids[own].astype("<i8").tobytes(), "at": at[own].astype("<i4").tobytes(), "n": sizes[own].astype("<i4").tobytes(), "gone": b""} for k, s, e in pieces(bucket) for own in [left[s:e]]]
+        # places and ids rise within a blob, so steps are sent
+        out = [{"bucket": k, "b": b, "keys": keys[own].astype("<u8").tobytes(), "marks": marks[own].astype("<u8").tobytes(), "ids": shrunk(np.diff(ids[own], prepend=0)), "at": pack(at[own].astype(np.uint64)), "n": shrunk(sizes[own]), "gone": b""} for k, s, e in pieces(bucket) for own in [left[s:e]]]
         gone = spans_of(at[settled], sizes[settled], length)
         if len(gone):
             out.append({"bucket": b % buckets, "b": b} | dict.fromkeys(RUNS, b"") | {"gone": gone.tobytes()})
@@ -360,7 +372,7 @@ class Met:
         self.batches, self.gone = rows.column("b").to_pylist(), read("gone", "<i4")
         keys = read("keys", "<u8")
         self.owner = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
-        self.keys, self.marks, self.ids, self.at, self.sizes = (np.concatenate([np.zeros(0, x[0].dtype if x else "<u8"), *x]) for x in (keys, read("marks", "<u8"), read("ids", "<i8"), read("at", "<i4"), read("n", "<i4")))
+        self.keys, self.marks, self.ids, self.at, self.sizes = (np.concatenate([np.zeros(0, x[0].dtype if x else "<u8"), *x]) for x in (keys, read("marks", "<u8"), [np.cumsum(grown(x)) for x in rows.column("ids").to_pylist()], [unpack(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in rows.column("at").to_pylist()], [grown(x) for x in rows.column("n").to_pylist()]))
         lowest = lowest_of(self.ids, self.at, self.marks, self.keys)
         self.covered = self.ids > lowest
         left = np.flatnonzero(~self.covered)
@@ -461,7 +473,7 @@ def send_texts(length: int, bits: int, buckets: int):
             return table_of([], TEXTS)
         read = lambda name, kind: np.frombuffer(b"".join(wanted.column(name).to_pylist()), dtype=kind)
         keys, at, sizes, hot, gone = read("keys", "<u8"), read("at", "<i4").astype(np.int64), read("n", "<i4").astype(np.int64), read("hot", np.uint8) > 0, read("gone", "<i4").reshape(-1, 2)
-        b, out = rows.column("b")[0].as_py(), []
+        b, out, pack_text = rows.column("b")[0].as_py(), [], pa.Codec("zstd")
         if len(keys):
             batch = Batch(rows, length)
             ranked, ranks = sample_ranks(batch, told, bits, buckets)
@@ -481,8 +493,9 @@ def send_texts(length: int, bits: int, buckets: int):
                 places = places[cover[(residues[own][r].astype(np.int64) + places - at[own][r]) % batch.v]]
                 found = np.minimum(np.searchsorted(ranked, places), len(ranked) - 1)
                 numbers = np.where(ranked[found] == places, ranks[found], 0)
-                numbers = numbers.astype("<u4" if not len(numbers) or numbers.max() < 1 << 32 else "<u8")
-                out.append({"bucket": k, "b": b, "keys": keys[own].tobytes(), "ids": ids[own].astype("<i8").tobytes(), "at": at[own].astype("<i4").tobytes(), "n": sizes[own].astype("<i4").tobytes(), "residues": residues[own].tobytes(), "text": joined, "ranks": bytes([numbers.itemsize]) + numbers.tobytes(), "gone": b""})
+                # 16 bits of a hash tell two ranks apart but for chance, and ties are verified by bytes
+                numbers = np.where(numbers > 0, mix(numbers) >> np.uint64(48) | np.uint64(1), 0).astype("<u2")
+                out.append({"bucket": k, "b": b, "keys": keys[own].tobytes(), "ids": shrunk(ids[own]), "at": at[own].astype("<i4").tobytes(), "n": shrunk(sizes[own]), "residues": residues[own].tobytes(), "text": pack_text.compress(joined, asbytes=True), "ranks": numbers.tobytes(), "gone": b""})
         if len(gone):
             gone = gone[np.argsort(gone[:, 0], kind="stable")].astype(np.int64)
             gone = spans_of(gone[:, 0], gone[:, 1] - gone[:, 0], 1)
@@ -533,7 +546,7 @@ def covered(data: np.ndarray, places: np.ndarray, owners: np.ndarray, length: in
     row, column = np.nonzero(rank)
     rank, d, own, group = rank[row, column], d[row, column], own[row], group[row]
     # classes of equal (tie, shift, rank, bytes after the sampled string), by a hash of the four
-    kind = mix((group * v + d).astype(np.uint64)) + mix(rank)
+    kind = mix((group * v + d).astype(np.uint64)) + mix(rank.astype(np.uint64))
     for x in range(length - 8 * -(-(v - 1) // 8), length, 8):
         hidden = np.clip(np.arange(v) + size - x, 0, 8)
         mask = np.array([(1 << (8 * (8 - h))) - 1 for h in hidden.tolist()], dtype=np.uint64)
@@ -570,19 +583,21 @@ def sorted_buckets(length: int):
         for b, x in zip(batches, read("gone", "<i4"), strict=True):
             if len(x):
                 spans.setdefault(b, []).append(x.reshape(-1, 2))
-        keys, counts = read("keys", "<u8"), read("n", "<i4")
+        keys, counts = read("keys", "<u8"), [grown(x) for x in rows.column("n").to_pylist()]
         owner = np.repeat(np.arange(len(batches)), [len(x) for x in keys])
         if not len(owner):
             return span_rows(spans)
-        keys, counts = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
-        ids, at, residues = np.concatenate(read("ids", "<i8")), np.concatenate(read("at", "<i4")).astype(np.int64), np.concatenate(read("residues", np.uint8)).astype(np.int64)
-        data = np.frombuffer(b"".join(rows.column("text").to_pylist()), dtype=np.uint8)
-        numbers = [np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.uint64) for x in rows.column("ranks").to_pylist() if x]
+        codec = pa.Codec("zstd")
+        texts = [codec.decompress(x, int(n.sum() + len(n) * (length - 1)), asbytes=True) for x, n in zip(rows.column("text").to_pylist(), counts, strict=True) if len(n)]
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        ids, at, residues = np.concatenate([grown(x) for x in rows.column("ids").to_pylist()]), np.concatenate(read("at", "<i4")).astype(np.int64), np.concatenate(read("residues", np.uint8)).astype(np.int64)
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        numbers = read("ranks", "<u2")
         ends = np.cumsum(counts + (length - 1))
         begin = ends - counts - (length - 1)
         v = cover_period(length)
         cover = np.isin(np.arange(v), difference_cover(v))
-        ranks, sent, done = np.zeros(len(data), dtype=np.uint64), np.concatenate(numbers), 0
+        ranks, sent, done = np.zeros(len(data), dtype=np.uint16), np.concatenate(numbers), 0
         for s in range(0, len(keys), 1 << 14):  # bounds the places worked on at once
             places, r = each_suffix(begin[s : s + (1 << 14)], counts[s : s + (1 << 14)] + (v - 1))
             places = places[cover[(residues[r + s] + places - begin[r + s]) % v]]

@@ -1,16 +1,20 @@
 """Language-model scores: a smoothed unigram base and a hashed maximum-entropy model.
 
-The model predicts a token's class by a softmax over hashed context features, then the token within its class:
-p(token) = p(class | word before, the two words before, the word before that one alone) * p(token | class). Classes
-group words by their last two bytes; the end of a text is a class of its own. Training starts from the class
-frequencies; in each round every partition takes gradient steps over all its training texts, and a weight's
-new value is the mean of the partitions' values, weighted by how often each has met the feature. Word counts are
-exact: batches of texts exchange packed lists of distinct words with the counting tasks.
+The model predicts a token by a class-factored softmax of three steps, each over CLASSES choices and each trained on the same
+context features (the word before, the two words before, the word before that one alone), hashed to rows of a table:
+p(token) = p(class | context) * p(group | class, context) * p(leaf | class, group, context) * p(token | leaf). Classes hold the
+words of some last two bytes, groups and leaves are bits of the word's hash, so that every step's features tell apart words of
+one class; only the words of one leaf, of some 4000, share by their smoothed counts. The end of a text is a class of its own. The
+tables' rows grow with the training bytes between two documented bounds. Training starts from the frequencies of classes,
+groups and leaves; in each round every partition takes gradient steps over all its training texts, and a weight's new value is the mean
+of the partitions' values, weighted by how often each has met the feature. Word counts are exact: batches of texts
+exchange packed lists of distinct words with the counting tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +27,11 @@ from tessera.llm.common import LOWER, hold_batches, materialise, mix, slices, st
 BATCH_TEXT, LEAST_TEXT = 4 << 20, 1 << 17  # bytes in a batch; batches are no smaller to have one for each shuffle partition
 ADD = 0.1  # fixed value: added to every count
 CLASSES = 16
-ROW_BITS = 16
-SHARDS = 16
+STEPS = 3  # class, group, leaf
+LEAVES = CLASSES**STEPS
+END_LEAF = LEAVES - CLASSES * CLASSES  # the last class holds the end alone
+ROW_BITS, MOST_ROW_BITS, ROW_TEXT = 16, 18, 1 << 13  # a step's table has a row for each ROW_TEXT bytes of training texts, within 2 ** these
+SHARD = 1 << 14  # rows of a table that are added in one piece
 ROUNDS = 2
 RATE, DAMPING = 1.0, 30.0  # of a step; a feature met n times moves by the mean over n + DAMPING
 MINIBATCH = 1 << 14
@@ -45,52 +52,88 @@ class Tokens:
         self.place = np.arange(len(self.hashes)) + self.owner  # of each word in the sequence
         self.end_place = first[1:] + np.arange(self.texts)
 
-    def word_classes(self) -> np.ndarray:
+    def leaves(self) -> np.ndarray:
+        """The leaf of every word: a class by the last two bytes, then eight bits of the word's hash."""
         last = self.data[self.ends - 1].astype(np.uint64)
         before = np.where(self.ends - self.starts > 1, self.data[np.maximum(self.ends - 2, 0)], 0).astype(np.uint64)
-        return (mix(last * np.uint64(256) + before) % np.uint64(CLASSES - 1)).astype(np.int64)
+        classes = mix(last * np.uint64(256) + before) % np.uint64(CLASSES - 1)
+        return (classes * np.uint64(CLASSES * CLASSES) + (self.hashes >> np.uint64(56))).astype(np.int64)
 
-    def sequence(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each token of the sequence its class and the table rows of its three features."""
+    def sequence(self, bits: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """The leaf of each token, and for each step of its tokens the choice, the table rows of its three features and the node where it chooses.
+
+        The first step has all tokens, the others only the words, in their order.
+        """
         n = len(self.hashes) + self.texts
-        hashes, classes = np.full(n, END), np.full(n, CLASSES - 1)
-        hashes[self.place], classes[self.place] = self.hashes, self.word_classes()
+        hashes, leaves = np.full(n, END), np.full(n, END_LEAF)
+        hashes[self.place], leaves[self.place] = self.hashes, self.leaves()
         begin = np.append(0, self.end_place[:-1] + 1)[: self.texts]
         one, two = np.full(n, BEFORE), np.full(n, BEFORE)
         one[1:], two[2:] = hashes[:-1], hashes[:-2]
         one[begin] = two[begin] = BEFORE
         second = begin[begin < self.end_place] + 1  # a text's second token has one word before it
         two[second] = BEFORE
-        shift = np.uint64(64 - ROW_BITS)
-        rows = np.stack([mix(one + np.uint64(1)) >> shift, mix(one * np.uint64(0x9E3779B97F4A7C15) + two) >> shift, mix(two ^ np.uint64(0xA5A5A5A5)) >> shift], axis=1)
-        return classes, rows.astype(np.int64)
-
-
-def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = weights[rows[:, 0]]
-    z += weights[rows[:, 1]]
-    z += weights[rows[:, 2]]
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
+        shift = np.uint64(64 - bits)
+        features = np.stack([mix(one + np.uint64(1)), mix(one * np.uint64(0x9E3779B97F4A7C15) + two), mix(two ^ np.uint64(0xA5A5A5A5))], axis=1)
+        steps = [(leaves // CLASSES**2, (features >> shift).astype(np.int32), np.zeros(n, np.int64))]
+        features, words = features[self.place], leaves[self.place]
+        for step in range(1, STEPS):
+            node = words // CLASSES ** (STEPS - step)
+            crossed = mix(features ^ mix(node.astype(np.uint64) + np.uint64(step << 32))[:, None])
+            steps.append((words // CLASSES ** (STEPS - 1 - step) % CLASSES, (crossed >> shift).astype(np.int32), node))
+        return leaves, steps
+
+
+@dataclass
+class Model:
+    """weights: a table of CLASSES columns for each step; bias: for each step the log shares of the choices at every node; sums, known: counts and distinct words of each leaf."""
+
+    weights: np.ndarray
+    bias: list[np.ndarray]
+    sums: np.ndarray
+    known: np.ndarray
+    ends: int
+
+    @property
+    def bits(self) -> int:
+        return self.weights.shape[1].bit_length() - 1
+
+
+def untrained(sums: np.ndarray, known: np.ndarray, ends: int, bits: int) -> Model:
+    counts = sums.astype(np.float64)
+    counts[END_LEAF] = ends
+    bias = []
+    for step in range(STEPS):
+        own = counts.reshape(CLASSES**step, CLASSES, -1).sum(axis=2)
+        bias.append(np.log((own + 1) / (own.sum(axis=1, keepdims=True) + CLASSES)).astype(np.float32))
+    return Model(np.zeros((STEPS, 1 << bits, CLASSES), np.float32), bias, sums, known, ends)
+
+
+def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
+    z = np.take(weights, rows[:, 0], axis=0)
+    z += np.take(weights, rows[:, 1], axis=0)
+    z += np.take(weights, rows[:, 2], axis=0)
+    z += np.take(bias, node, axis=0)
+    np.clip(z, -80, 80, out=z)  # exp and its sum stay finite and above zero
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z *= (1 / (z @ np.ones(CLASSES, np.float32)))[:, None]
     return z
 
 
-def learn(weights: np.ndarray, met: np.ndarray, bias: np.ndarray, classes: np.ndarray, rows: np.ndarray) -> None:
-    """Gradient steps over the tokens, in place; met counts how often each row was a feature."""
-    for at in range(0, len(classes), MINIBATCH):
-        y, f = classes[at : at + MINIBATCH], rows[at : at + MINIBATCH]
-        error = probabilities(weights, bias, f)
-        error[np.arange(len(y)), y] -= 1
-        flat = f.ravel()
-        order = np.argsort(flat, kind="stable")
-        sorted_rows = flat[order]
-        first = np.flatnonzero(np.append(True, sorted_rows[1:] != sorted_rows[:-1]))
-        own = sorted_rows[first]
-        sums = np.add.reduceat(error[order // 3], first, axis=0)
-        met[own] += np.diff(np.append(first, len(flat)))
-        weights[own] -= np.float32(RATE) * sums / (met[own] + np.float32(DAMPING))[:, None]
+def learn(weights: np.ndarray, met: np.ndarray, bias: np.ndarray, choice: np.ndarray, rows: np.ndarray, node: np.ndarray) -> None:
+    """Gradient steps of one table, in place; met counts how often each row was a feature."""
+    sums, column = np.zeros_like(weights), np.arange(CLASSES)
+    for at in range(0, len(choice), MINIBATCH):
+        cut = slice(at, at + MINIBATCH)
+        error = probabilities(weights, bias, rows[cut], node[cut])
+        error[np.arange(len(error)), choice[cut]] -= 1
+        flat = rows[cut].ravel()
+        times = np.bincount(flat, minlength=len(met))
+        own = np.flatnonzero(times)
+        np.add.at(sums.reshape(-1), (flat[:, None].astype(np.int64) * CLASSES + column).ravel(), np.repeat(error, 3, axis=0).ravel())
+        met[own] += times[own]
+        weights[own] -= np.float32(RATE) * sums[own] / (met[own] + np.float32(DAMPING))[:, None]
+        sums[own] = 0
 
 
 def batch_words(rows: pa.Table) -> tuple[pa.Table, Tokens, np.ndarray, np.ndarray]:
@@ -111,13 +154,13 @@ def by_bucket(tokens: Tokens, sample: np.ndarray, buckets: int) -> tuple[np.ndar
 
 
 def send_words(buckets: int):
-    """One row for each bucket: the batch's distinct words, their classes and their counts in training texts."""
+    """One row for each bucket: the batch's distinct words, their leaves and their counts in training texts."""
 
     def run(rows: pa.Table) -> pa.Table:
         rows, tokens, sample, number = batch_words(rows)
         train = rows.column("train").to_numpy()
         counts = np.bincount(number, train[tokens.owner], len(sample)).astype("<u4")
-        classes = tokens.word_classes()[sample].astype(np.uint8)
+        leaves = tokens.leaves()[sample].astype("<u2")
         order, bucket = by_bucket(tokens, sample, buckets)
         raw, starts, ends = tokens.data.tobytes(), tokens.starts[sample], tokens.ends[sample]
         cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(order)).tolist()
@@ -125,86 +168,118 @@ def send_words(buckets: int):
         for s, e in zip(cuts, cuts[1:], strict=False):
             own = order[s:e]
             words = b" ".join([raw[x:y] for x, y in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
-            out.append({"bucket": int(bucket[s]), "b": b, "words": words, "classes": classes[own].tobytes(), "counts": counts[own].tobytes()})
-        return pa.Table.from_pylist(out, pa.schema([("bucket", pa.int32()), ("b", pa.int32()), *((c, pa.binary()) for c in ("words", "classes", "counts"))]))
+            out.append({"bucket": int(bucket[s]), "b": b, "words": words, "leaves": leaves[own].tobytes(), "counts": counts[own].tobytes()})
+        return pa.Table.from_pylist(out, pa.schema([("bucket", pa.int32()), ("b", pa.int32()), *((c, pa.binary()) for c in ("words", "leaves", "counts"))]))
 
     return run
 
 
 def add_counts(rows: pa.Table) -> pa.Table:
-    """The totals of one bucket's words, sent back to each batch; one row without b has the sums for each class."""
+    """The totals of one bucket's words, sent back to each batch; one row without b has the counts and distinct words of each leaf it met."""
     number: dict[bytes, int] = {}
     lists = [x.split(b" ") for x in rows.column("words").to_pylist()]
     places = [np.array([number.setdefault(w, len(number)) for w in words]) for words in lists]
     totals, kinds = np.zeros(len(number), dtype=np.int64), np.zeros(len(number), dtype=np.int64)
-    for place, counts, classes in zip(places, rows.column("counts").to_pylist(), rows.column("classes").to_pylist(), strict=True):
+    for place, counts, leaves in zip(places, rows.column("counts").to_pylist(), rows.column("leaves").to_pylist(), strict=True):
         totals[place] += np.frombuffer(counts, "<u4")
-        kinds[place] = np.frombuffer(classes, np.uint8)
-    sums, known = np.bincount(kinds, totals, CLASSES).astype(np.int64), np.bincount(kinds[totals > 0], minlength=CLASSES)
+        kinds[place] = np.frombuffer(leaves, "<u2")
+    found, place = np.unique(kinds[totals > 0], return_inverse=True)
+    sums, known = np.zeros(len(found), np.int64), np.bincount(place, minlength=len(found))
+    np.add.at(sums, place, totals[totals > 0])
     wide = "<u4" if not len(totals) or totals.max() < 1 << 32 else "<u8"
-    back = [{"b": b, "bucket": k, "totals": wide[-1].encode() + totals[p].astype(wide).tobytes(), "sums": None, "known": None} for b, k, p in zip(rows.column("b").to_pylist(), rows.column("bucket").to_pylist(), places, strict=True)]
-    back.append({"b": None, "bucket": None, "totals": None, "sums": sums.tolist(), "known": known.tolist()})
-    return pa.Table.from_pylist(back, pa.schema([("b", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("sums", pa.list_(pa.int64())), ("known", pa.list_(pa.int64()))]))
+    back = [{"b": b, "bucket": k, "totals": wide[-1].encode() + totals[p].astype(wide).tobytes(), "leaves": None} for b, k, p in zip(rows.column("b").to_pylist(), rows.column("bucket").to_pylist(), places, strict=True)]
+    back.append({"b": None, "bucket": None, "totals": None, "leaves": [{"leaf": x, "sum": y, "known": z} for x, y, z in zip(found.tolist(), sums.tolist(), known.tolist(), strict=True)]})
+    return pa.Table.from_pylist(back, pa.schema([("b", pa.int32()), ("bucket", pa.int32()), ("totals", pa.binary()), ("leaves", pa.list_(pa.struct([("leaf", pa.int64()), ("sum", pa.int64()), ("known", pa.int64())])))]))
 
 
-def train_partition(packed: bytes, bias: np.ndarray):
-    """One row for each shard of the table: the partition's changes times how often it met each row, and that number."""
+def train_partition(model: Model):
+    """One row for each shard of the tables: the partition's changes, and how often it met each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start = np.frombuffer(packed, np.float32).reshape(-1, CLASSES)
-        weights, met = start.copy(), np.zeros(len(start), dtype=np.float32)
+        weights, met = model.weights.copy(), np.zeros(model.weights.shape[:2], dtype=np.float32)
         for whole in batches:
             for batch in slices(whole, "text"):
-                learn(weights, met, bias, *Tokens(*string_bytes(batch.column("text"))).sequence())
+                _, steps = Tokens(*string_bytes(batch.column("text"))).sequence(model.bits)
+                for step, (choice, rows, node) in enumerate(steps):
+                    learn(weights[step], met[step], model.bias[step], choice, rows, node)
         if met.any():
-            part, size = TaskContext.get().partitionId(), len(met) // SHARDS
-            moved = ((weights - start) * met[:, None]).astype("<f4")
-            for s in range(SHARDS):
-                own = slice(s * size, (s + 1) * size)
-                row = [pa.array([s], pa.int32()), pa.array([part], pa.int32()), pa.array([moved[own].tobytes()], pa.binary()), pa.array([met[own].astype("<f8").tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, ["shard", "part", "moved", "met"])
+            part = TaskContext.get().partitionId()
+            weights -= model.weights
+            change, met = weights.reshape(-1, CLASSES), met.reshape(-1)
+            for s in range(len(met) // SHARD):
+                own = slice(s * SHARD, (s + 1) * SHARD)
+                row = [pa.array([s], pa.int32()), pa.array([part], pa.int32()), pa.array([change[own].astype("<f2").tobytes()], pa.binary()), pa.array([met[own].astype("<f4").tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(row, ["shard", "part", "change", "met"])
 
     return run
 
 
+def mean_change(changes: list[bytes], times: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of changes of the same rows, weighted by how often each was met, and the sum of those numbers."""
+    moved, met = 0.0, 0.0
+    for change, n in zip(changes, times, strict=True):
+        n = np.frombuffer(n, "<f4").astype(np.float64)
+        moved = moved + np.frombuffer(change, "<f2").reshape(-1, CLASSES) * n[:, None]
+        met = met + n
+    return moved / np.maximum(met, 1)[:, None], met
+
+
 def add_shards(rows: pa.Table) -> pa.Table:
-    """The sum over the rows of one shard and group of parts."""
-    moved = sum(np.frombuffer(x, "<f4").astype(np.float64) for x in rows.column("moved").to_pylist())
-    met = sum(np.frombuffer(x, "<f8") for x in rows.column("met").to_pylist())
-    return pa.table({"shard": rows.column("shard")[:1], "part": rows.column("part")[:1], "moved": pa.array([moved.astype("<f4").tobytes()], pa.binary()), "met": pa.array([met.tobytes()], pa.binary())})
+    """The mean over the rows of one shard and group of parts."""
+    change, met = mean_change(rows.column("change").to_pylist(), rows.column("met").to_pylist())
+    return pa.table({"shard": rows.column("shard")[:1], "part": rows.column("part")[:1], "change": pa.array([change.astype("<f2").tobytes()], pa.binary()), "met": pa.array([met.astype("<f4").tobytes()], pa.binary())})
 
 
-def score_batch(packed: bytes, bias: np.ndarray, sums: np.ndarray, known: np.ndarray, ends: int, buckets: int):
-    total, distinct = float(sums.sum() + ends), float(known.sum() + (ends > 0))
+def score_batch(model: Model, buckets: int):
+    total, distinct = float(model.sums.sum() + model.ends), float(model.known.sum() + (model.ends > 0))
     spread = np.log10(total + ADD * (distinct + 1))
-    within = np.log10(sums + ADD * (known + 1))
+    within, ends = np.log10(model.sums + ADD * (model.known + 1)), model.ends
 
     def run(rows: pa.Table, counted: pa.Table) -> pa.Table:
         schema = pa.schema([("id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
         if not rows.num_rows:
             return schema.empty_table()
-        weights = np.frombuffer(packed, np.float32).reshape(-1, CLASSES)
         rows, tokens, sample, number = batch_words(rows)
         order, bucket = by_bucket(tokens, sample, buckets)
         counts = np.zeros(len(sample), dtype=np.float64)
         for k, blob in zip(counted.column("bucket").to_pylist(), counted.column("totals").to_pylist(), strict=True):
             counts[order[np.searchsorted(bucket, k) : np.searchsorted(bucket, k, side="right")]] = np.frombuffer(blob, f"<u{blob[:1].decode()}", offset=1)
         log = np.log10(counts + ADD)[number]
-        classes, features = tokens.sequence()
-        picked = np.empty(len(classes))
-        for at in range(0, len(classes), MINIBATCH):
-            p = probabilities(weights, bias, features[at : at + MINIBATCH])
-            picked[at : at + len(p)] = p[np.arange(len(p)), classes[at : at + len(p)]]
-        picked = np.log10(picked)
+        leaves, steps = tokens.sequence(model.bits)
+        picked = []
+        for step, (choice, features, node) in enumerate(steps):
+            picked.append(np.empty(len(choice)))
+            for at in range(0, len(choice), MINIBATCH):
+                cut = slice(at, at + MINIBATCH)
+                p = probabilities(model.weights[step], model.bias[step], features[cut], node[cut])
+                picked[-1][cut] = np.log10(p[np.arange(len(p)), choice[cut]])
         owner, n = tokens.owner, tokens.texts
         base = np.bincount(owner, log - spread, n) + (np.log10(ends + ADD) - spread)
-        score = np.bincount(owner, log - within[tokens.word_classes()] + picked[tokens.place], n) + picked[tokens.end_place]
+        score = np.bincount(owner, log - within[leaves[tokens.place]] + picked[0][tokens.place] + sum(picked[1:]), n) + picked[0][tokens.end_place]
         n_known = np.bincount(owner, counts[number] > 0, n).astype(np.int64) + (ends > 0)
         return pa.table([rows.column("id"), rows.column("train"), pa.array(tokens.n_words + 1), pa.array(n_known), pa.array(base), pa.array(score)], schema=schema)
 
     return run
 
 
+def trained(model: Model, texts: DataFrame) -> Model:
+    """The model after one round over all texts."""
+    schema = "shard int, part int, change binary, met binary"
+    rows = texts.mapInArrow(train_partition(model), schema)
+    # a tree of means: no task adds more than FAN_IN pieces of a shard, for up to FAN_IN ** 3 partitions
+    for _ in range(3):
+        rows = rows.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("shard", "part").applyInArrow(add_shards, schema)
+    weights = model.weights.copy()
+    flat = weights.reshape(-1, CLASSES)
+    pieces: dict[int, list] = {}
+    for row in rows.collect():  # one row a shard, together half the size of the tables, which MOST_ROW_BITS bounds
+        pieces.setdefault(row["shard"], []).append(row)
+    for s, own in pieces.items():
+        change, met = mean_change([x["change"] for x in own], [x["met"] for x in own])
+        flat[s * SHARD : (s + 1) * SHARD] += (change * (met / (met + DAMPING))[:, None]).astype(np.float32)
+    return Model(weights, model.bias, model.sums, model.known, model.ends)
+
+
 def scored(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -218,27 +293,16 @@ def scored(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("b"), "id", "text", F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % folds != 0, F.lit(False)).alias("train"))
     texts = rows.repartition(n, "b")
-    sent = texts.groupBy("b").applyInArrow(send_words(n), "bucket int, b int, words binary, classes binary, counts binary")
-    counted = materialise(sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(add_counts, "b int, bucket int, totals binary, sums array<long>, known array<long>"), "lm-counts")
-    sums, known = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
-    per_class = counted.where("b is null").select(F.posexplode(F.arrays_zip("sums", "known"))).groupBy("pos").agg(F.sum("col.sums"), F.sum("col.known"))
-    for i, s, k in per_class.collect():  # CLASSES rows
+    sent = texts.groupBy("b").applyInArrow(send_words(n), "bucket int, b int, words binary, leaves binary, counts binary")
+    counted = materialise(sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(add_counts, "b int, bucket int, totals binary, leaves array<struct<leaf: long, sum: long, known: long>>"), "lm-counts")
+    sums, known = np.zeros(LEAVES, dtype=np.int64), np.zeros(LEAVES, dtype=np.int64)
+    per_leaf = counted.where("b is null").select(F.explode("leaves").alias("x")).groupBy("x.leaf").agg(F.sum("x.sum"), F.sum("x.known"))
+    for i, s, k in per_leaf.collect():  # LEAVES rows at most
         sums[i], known[i] = s, k
-    ends = rows.where("train").count()
-    priors = sums.astype(np.float64)
-    priors[CLASSES - 1] = ends
-    bias = np.log((priors + 1) / (priors.sum() + CLASSES)).astype(np.float32)
-    weights = np.zeros((1 << ROW_BITS, CLASSES), dtype=np.float32)
+    bits = min(max((size // ROW_TEXT).bit_length(), ROW_BITS), MOST_ROW_BITS)
+    model = untrained(sums, known, rows.where("train").count(), bits)
     for _ in range(rounds):
-        moved = rows.where("train").select("text").mapInArrow(train_partition(weights.tobytes(), bias), "shard int, part int, moved binary, met binary")
-        # a tree of sums: no task adds more than FAN_IN tables of a shard, for up to FAN_IN ** 3 partitions
-        for _ in range(3):
-            moved = moved.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("shard", "part").applyInArrow(add_shards, "shard int, part int, moved binary, met binary")
-        size = len(weights) // SHARDS
-        # SHARDS rows, together the size of the table
-        for row in moved.collect():
-            change, met = np.frombuffer(row["moved"], "<f4").reshape(-1, CLASSES), np.frombuffer(row["met"], "<f8")
-            weights[row["shard"] * size : (row["shard"] + 1) * size] += (change / (met + DAMPING)[:, None]).astype(np.float32)
+        model = trained(model, rows.where("train").select("text"))
     out = texts.groupBy("b").cogroup(counted.where("b is not null").select("b", "bucket", "totals").repartition(n, "b").groupBy("b"))
-    out = out.applyInArrow(score_batch(weights.tobytes(), bias, sums, known, ends, n), "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(sums.sum()) + ends).cast("long").alias("train_tokens"), "base_score", "score")
+    out = out.applyInArrow(score_batch(model, n), "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(sums.sum()) + model.ends).cast("long").alias("train_tokens"), "base_score", "score")

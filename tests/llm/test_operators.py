@@ -11,6 +11,7 @@ import zlib
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import sentencepiece
 import xxhash
@@ -388,10 +389,112 @@ def test_lm_learns_context(spark):
     assert got["s"] > 0.8 * got["b"]  # log10, both negative: the model is better
 
 
+def a_model(bits=8):
+    """A small model with random weights over random counts of leaves."""
+    own = np.random.default_rng(1)
+    sums = own.integers(0, 40, lm.LEAVES)
+    sums[lm.END_LEAF :] = 0
+    model = lm.untrained(sums, np.minimum(sums, own.integers(1, 9, lm.LEAVES)), 30, bits)
+    model.weights[:] = own.normal(size=model.weights.shape)
+    return model
+
+
+def leaf_share(model, one, two, word):
+    """The share of a word's leaf after the words one and two before it, by plain floats and integers; None is the end, "" the place before a text."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        for _ in range(2):
+            x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & full
+        return x ^ (x >> 32)
+
+    def code(w):
+        if w in (None, ""):
+            return int(lm.END if w is None else lm.BEFORE)
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return int(common.word_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+
+    features = [mix(code(one) + 1 & full), mix(code(one) * 0x9E3779B97F4A7C15 + code(two) & full), mix(code(two) ^ 0xA5A5A5A5)]
+    if word is None:
+        path = [15]
+    else:
+        raw = word.encode()
+        path = [mix(raw[-1] * 256 + (raw[-2] if len(raw) > 1 else 0)) % 15, code(word) >> 60, (code(word) >> 56) & 15]
+    share, node = 1.0, 0
+    for step, choice in enumerate(path):
+        rows = [f if step == 0 else mix(f ^ mix(node + (step << 32))) for f in features]
+        z = [float(model.bias[step][node][k]) + sum(float(model.weights[step][r >> (64 - model.bits)][k]) for r in rows) for k in range(16)]
+        share *= math.exp(z[choice]) / sum(map(math.exp, z))
+        node = node * 16 + choice
+    return share, node
+
+
+def test_lm_score_by_brute_force():
+    model, counts = a_model(), {}
+    texts = ["the cat sat on the mat", "", "one", "cat the", "élan vital the cat", "x " * 50]
+    table = pa.table({"id": pa.array(range(len(texts)), pa.int64()), "text": texts, "train": [True] * len(texts), "b": pa.array([0] * len(texts), pa.int32())})
+    sent = lm.send_words(1)(table)
+    back = lm.add_counts(sent)
+    counts = collections.Counter(w for t in texts for w in t.split())
+    out = lm.score_batch(model, 1)(table, back.filter(pa.compute.is_valid(back["b"])))
+    for t, got in zip([texts[i] for i in out["id"].to_pylist()], out["score"].to_pylist(), strict=True):
+        before, want = ["", ""], 0.0
+        for w in [*t.split(), None]:
+            share, leaf = leaf_share(model, before[-1], before[-2], w)
+            if w is not None:
+                share *= (counts[w] + 0.1) / (model.sums[leaf] + 0.1 * (model.known[leaf] + 1))
+            want += math.log10(share)
+            before.append(w)
+        assert math.isclose(got, want, rel_tol=1e-4), t
+    # the row without b: counts and distinct words by leaf
+    leaves = collections.defaultdict(lambda: [0, 0])
+    for w, c in counts.items():
+        own = leaves[leaf_share(model, "", "", w)[1]]
+        own[0], own[1] = own[0] + c, own[1] + 1
+    found = [x for row in back.to_pylist() if row["b"] is None for x in row["leaves"]]
+    assert {x["leaf"]: [x["sum"], x["known"]] for x in found} == dict(leaves)
+
+
 def test_lm_is_a_distribution():
-    weights = np.random.default_rng(1).normal(size=(1 << lm.ROW_BITS, lm.CLASSES)).astype("f4")
-    p = lm.probabilities(weights, np.zeros(lm.CLASSES, "f4"), np.arange(30).reshape(10, 3))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+    model = a_model()
+    rows, total = np.arange(30).reshape(10, 3), np.zeros(10)
+    top = lm.probabilities(model.weights[0], model.bias[0], rows, np.zeros(10, int))
+    for c in range(lm.CLASSES):
+        group = lm.probabilities(model.weights[1], model.bias[1], rows, np.full(10, c))
+        leaf = [lm.probabilities(model.weights[2], model.bias[2], rows, np.full(10, c * lm.CLASSES + g)).sum(axis=1) for g in range(lm.CLASSES)]
+        total += top[:, c] * (group * np.stack(leaf, axis=1)).sum(axis=1)
+    assert np.allclose(total, 1, atol=1e-5)
+
+
+def test_lm_gradient_by_brute_force():
+    own = np.random.default_rng(2)
+    weights, bias = own.normal(size=(64, lm.CLASSES)).astype("f4"), own.normal(size=(3, lm.CLASSES)).astype("f4")
+    choice, rows, node = own.integers(0, lm.CLASSES, 200), own.integers(0, 64, (200, 3)), own.integers(0, 3, 200)
+    want, sums, met = weights.astype(float), np.zeros((64, lm.CLASSES)), np.zeros(64)
+    for y, r, k in zip(choice, rows, node, strict=True):
+        z = np.exp(want[r].sum(axis=0) + bias[k])
+        for row in r:
+            sums[row] += z / z.sum() - (np.arange(lm.CLASSES) == y)
+            met[row] += 1
+    want -= lm.RATE * sums / (met + lm.DAMPING)[:, None]
+    got, seen = weights.copy(), np.zeros(64, "f4")
+    lm.learn(got, seen, bias, choice, rows, node)
+    assert np.allclose(got, want, atol=1e-4) and (seen == met).all()
+
+
+def test_lm_tells_words_of_one_class_apart(spark):
+    # all words end alike, so that the class alone can't tell which word follows
+    pairs = [("aing", "bing"), ("cing", "ding"), ("eing", "fing"), ("going", "hing")]
+    texts = [" ".join(w for _ in range(60) for w in rng.choice(pairs)) for _ in range(60)]
+    rows = lm.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("held_out")
+    got = rows.agg(F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
+    assert got["s"] > 0.8 * got["b"]
+
+
+def test_lm_mean_change():
+    a, b = (np.full((2, lm.CLASSES), x, "<f2").tobytes() for x in (1, 4))
+    change, met = lm.mean_change([a, b], [np.array([2, 0], "<f4").tobytes(), np.array([1, 0], "<f4").tobytes()])
+    assert (met == [3, 0]).all() and (change[0] == 2).all() and (change[1] == 0).all()
 
 
 def test_toxicity(spark):

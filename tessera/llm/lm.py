@@ -36,6 +36,7 @@ ROUNDS = 2
 RATE, DAMPING = 1.0, 30.0  # of a step; a feature met n times moves by the mean over n + DAMPING
 MINIBATCH = 1 << 13
 FAN_IN = 64
+TRAIN_TEXT = 32 << 20  # bytes that one training task reads: each sends all rows it met, so larger tasks send less
 END, BEFORE = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -299,8 +300,9 @@ def scored(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         sums[i], known[i] = s, k
     bits = min(max((size // ROW_TEXT).bit_length(), ROW_BITS), MOST_ROW_BITS)
     model = untrained(sums, known, rows.where("train").count(), bits)
+    tasks = max(-(-size // TRAIN_TEXT), documents.sparkSession.sparkContext.defaultParallelism)
     for _ in range(rounds):
-        model = trained(model, rows.where("train").select("text"))
+        model = trained(model, rows.where("train").select("text").coalesce(tasks))
     out = texts.groupBy("b").cogroup(counted.where("b is not null").select("b", "bucket", "totals").repartition(n, "b").groupBy("b"))
     out = out.applyInArrow(score_batch(model, n), "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(int(sums.sum()) + model.ends).cast("long").alias("train_tokens"), "base_score", "score")

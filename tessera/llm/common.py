@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,46 +111,45 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_space: np.ndarray = IS_SP
     borders = offsets[:-1][offsets[:-1] < n]
     first[borders] = inside[borders]
     starts = np.flatnonzero(first)
-    # a word ends before the next space, text border or the end of the data
-    stop = ~inside
-    stop[borders] = True
-    stops = np.append(np.flatnonzero(stop), n)
-    ends = stops[np.searchsorted(stops, starts, side="right")]
+    # a word's last byte stands before a space, a text border or the end of the data
+    last = inside.copy()
+    last[:-1] &= ~inside[1:]
+    before = borders[borders > 0] - 1
+    last[before] = inside[before]
+    ends = np.flatnonzero(last) + 1
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-_MULTIPLIERS = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 1 << 12, dtype=np.uint64) | np.uint64(1)
-_LETTERS = np.random.Generator(np.random.PCG64(20240301)).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: What is kept of eight bytes of which only the first k belong to a word, and the bytes up to which words are hashed in numpy.
+_FIRST_BYTES, _SHORT = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64), 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    """The finishing steps of a 64-bit multiply-xorshift hash, in place of x."""
+    """The finishing steps of a 64-bit multiply-xorshift hash; x itself stays as it is."""
     x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, is_space: np.ndarray = IS_SPACE) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: a sum of the byte's random number times one of its place, then mixed.
 
-    Every place has a random odd number of its own, those past a table by a hash of the place.
-    """
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes and length: eight bytes at a time are mixed into what came before, words of over _SHORT bytes by XXH64."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lengths = ends - starts
-    owner = np.zeros(len(data), dtype=np.int64)
-    owner[starts[0] :] = np.repeat(starts, np.diff(np.append(starts, len(data))))
-    place = np.arange(len(data), dtype=np.int64) - owner
-    size = len(_MULTIPLIERS)
-    terms = _MULTIPLIERS[place % size]
-    if lengths.max() > size:
-        far = np.flatnonzero(place >= size)
-        terms[far] = mix(place[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    terms *= _LETTERS[data]
-    terms[is_space[data]] = 0
-    return mix(np.add.reduceat(terms, starts) + lengths.astype(np.uint64))
+    eights = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    rest = ends - starts
+    out = mix(rest.astype(np.uint64))
+    for i in np.flatnonzero(rest > _SHORT).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+    live = np.flatnonzero(rest <= _SHORT)
+    at, rest = starts[live], rest[live]
+    while len(live):
+        out[live] = mix(out[live] ^ (eights[at] & _FIRST_BYTES[np.minimum(rest, 8)]))
+        on = rest > 8
+        live, at, rest = live[on], at[on] + 8, rest[on] - 8
+    return out
 
 
 def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

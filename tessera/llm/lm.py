@@ -129,7 +129,7 @@ def learn(weights: np.ndarray, met: np.ndarray, bias: np.ndarray, choice: np.nda
         cut = slice(at, at + MINIBATCH)
         error = probabilities(weights, bias, rows[cut], node[cut])
         error[np.arange(len(error)), choice[cut]] -= 1
-        met += np.bincount(rows[cut].ravel(), minlength=len(met))
+        np.add.at(met, rows[cut].ravel(), np.ones(rows[cut].size, met.dtype))
         for own in rows[cut].T.astype(np.int64):
             step = error * (-np.float32(RATE) / (met[own] + np.float32(DAMPING)))[:, None]
             np.add.at(pairs, (own[:, None] * (CLASSES // 2) + column).ravel(), step.reshape(-1).view(np.complex64))

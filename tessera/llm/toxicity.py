@@ -61,7 +61,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     """The distinct hashed words of the texts: feature numbers text by text, and the len + 1 borders."""
     low = LOWER[data]
     starts, ends, first = words_of(low, offsets, BREAKS)
-    numbers = (word_hashes(low, starts, ends, BREAKS) % np.uint64(BUCKETS)).astype(np.int64)
+    numbers = (word_hashes(low, starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     pairs = np.unique(owner * BUCKETS + numbers)
     return (pairs % BUCKETS).astype(np.int32), np.searchsorted(pairs // BUCKETS, np.arange(len(offsets)))

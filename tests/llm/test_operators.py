@@ -766,3 +766,18 @@ def test_equals_sql(spark):
         df = entry.queries()[name](spark, SF)
         columns = sorted(df.columns)
         assert sorted(repr(tuple(r)) for r in df.select(*columns).collect()) == sorted(repr(r) for r in duck.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()), name
+
+
+def test_words_and_their_hashes_by_brute_force():
+    own = random.Random(5)
+    texts = ["".join(own.choices("ab é\n\t", k=own.randint(0, 40))).encode() for _ in range(300)]
+    # words around every border of eight bytes and of what goes to XXH64, that differ in their last byte alone
+    texts += [b"x" * n + last for n in range(1, 300) for last in (b"", b"y", b"\0")] + [b"", b" ", b"b" * 5000]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    starts, ends, first = common.words_of(data, offsets)
+    want = [re.findall(rb"[^\x20\x09-\x0D]+", t) for t in texts]
+    found = [bytes(data[a:b]) for a, b in zip(starts, ends, strict=True)]
+    assert found == [w for words in want for w in words] and np.diff(first).tolist() == [len(w) for w in want]
+    hashes = common.word_hashes(data, starts, ends).tolist()
+    assert len(set(hashes)) == len(set(found)) == len(set(zip(found, hashes, strict=True)))
+    assert not len(common.word_hashes(*(np.zeros(0, t) for t in (np.uint8, np.int64, np.int64))))

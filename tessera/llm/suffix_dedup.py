@@ -1,7 +1,7 @@
 """Removal of byte strings that an earlier document already holds, by blockwise suffix sorting over a difference cover.
 
 Every byte covered by a `length`-byte string that also starts in a document with a smaller id goes. Texts are
-dealt out by id into batches of a few MB. One plan; the exchange of the texts is made once and reused:
+dealt out by id into batches of a few MB. One plan; the exchange of the texts, each compressed alone, is made once and reused:
 
 1. Cover sample. Positions p with p mod v in a difference cover D are sampled. For any two places i, j there
    is a shift d < v for which i + d and j + d are both sampled. A batch sends the sorted hashes of its sampled strings of
@@ -12,9 +12,9 @@ dealt out by id into batches of a few MB. One plan; the exchange of the texts is
 3. Runs. A suffix's bucket is the smallest hash among the 16-byte strings in its head, so neighbouring suffixes share
    buckets in runs. Of each run with a rank in it, the batch sends bucket, a hash of its text, id and place; runs that are equal
    within a batch are settled there, and one of them goes on.
-4. Equal runs meet by bucket and hash of the text: all but those of the smallest id are covered. The texts that are left are counted by
-   bucket, from sums of each task. A bucket of one text has nothing left to compare. One of over HOT texts, such as a passage
-   that very many documents hold between different texts, is split: its suffixes become buckets of their own, by all their bytes.
+4. Equal runs meet by bucket and hash of the text: all but those of the smallest id are covered. The texts that are left and their suffixes are counted by
+   bucket, from sums of each task. A bucket of one text has nothing left to compare. One of over HOT suffixes, such as a passage
+   that very many documents hold between different texts, is split: of its suffixes with a rank in the head, two 64-bit hashes are sent and settle them.
 5. Blockwise sort. A bucket's suffixes are sorted by their first v bytes, one block of buckets at a time. Longer ties are resolved by
    the ranks: each suffix stands once for each of its sampled shifts d, with the rank there and the bytes that follow the sampled string, and equal suffixes
    meet at the shift that the cover has for them. The smallest id among equal ones decides. Ties of ranks are verified by
@@ -37,12 +37,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, string_bytes
+from tessera.llm.common import hold_batches, mix, string_bytes
 
-BATCH_BYTES, LEAST_BYTES = 4 << 20, 1 << 17  # of text in a batch; batches are no smaller to have one for each shuffle partition
+BATCH_BYTES, LEAST_BYTES = 8 << 20, 1 << 17  # of text in a batch; batches are no smaller to have one for each shuffle partition
 BLOCK = 1 << 17  # suffixes that are sorted at once
 SLAB = 1 << 18  # places that are worked on at once
-HOT = 256  # different texts from which a bucket is split
+HOT = 60_000  # suffixes of different texts from which a bucket is split, below 2 ** 16; hashes of each are sent then instead of texts, so not long before they fill a block
 
 
 def gram(length: int) -> int:
@@ -78,34 +78,66 @@ def cover_period(length: int) -> int:
     raise ValueError("strings of fewer than 14 bytes aren't supported")
 
 
-def hashes_at(data: np.ndarray, places: np.ndarray, size: int) -> np.ndarray:
-    """A 64-bit hash of the size bytes (8 or more) at each place."""
+def hashes_at(data: np.ndarray, places: np.ndarray, size: int, factor: int = 0x9E3779B97F4A7C15, shift: int = 29) -> np.ndarray:
+    """A 64-bit hash of the size bytes (8 or more) at each place; another odd factor and shift make another hash."""
     words = np.ndarray((max(0, len(data) - 7),), dtype="<u8", buffer=data, strides=(1,))
     out = np.full(len(places), size, dtype=np.uint64)
     for at in [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])]:
-        out = (out ^ words[places + at]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
+        out = (out ^ words[places + at]) * np.uint64(factor)
+        out ^= out >> np.uint64(shift)
     return mix(out)
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted distinct numbers as steps: 16 bits each, a bit for each that is larger, and the rest of those."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    high = steps >> np.uint64(16)
-    large = high > 0
-    rest = high[large]
-    width = 1 if not len(rest) or rest.max() < 1 << 8 else 4 if rest.max() < 1 << 32 else 8
-    head = np.array([width, len(steps)], dtype="<u4").tobytes()
-    return head + (steps & np.uint64(0xFFFF)).astype("<u2").tobytes() + np.packbits(large).tobytes() + rest.astype(f"<u{width}").tobytes()
+    """Rising numbers as steps: as many low bits as the mean step has, and the rest, which adds up to two a number at most, in unary."""
+    n = len(values)
+    if not n:
+        return b""
+    steps = np.diff(values)
+    mean = int(values[-1] - values[0]) // max(n - 1, 1)
+    width = max(mean.bit_length() - 1, 0)
+    whole, bits = divmod(width, 8)
+    low = np.ascontiguousarray(steps, "<u8").view(np.uint8).reshape(-1, 8)
+    part = np.unpackbits(low[:, whole : whole + 1], axis=1, bitorder="little")[:, :bits]
+    rest = (steps >> np.uint64(width)).astype(np.int64)
+    ends = np.cumsum(rest + 1)
+    unary = np.zeros(ends[-1] if n > 1 else 0, dtype=bool)
+    unary[ends - 1] = True
+    return bytes([width]) + np.array([n], "<u4").tobytes() + values[:1].astype("<u8").tobytes() + low[:, :whole].tobytes() + np.packbits(part).tobytes() + np.packbits(unary).tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    width, n = np.frombuffer(blob, "<u4", 2).tolist()
-    steps = np.frombuffer(blob, "<u2", n, 8).astype(np.uint64)
-    at = 8 + 2 * n
-    large = np.unpackbits(np.frombuffer(blob, np.uint8, (n + 7) // 8, at), count=n).astype(bool)
-    steps[large] += np.frombuffer(blob, f"<u{width}", -1, at + (n + 7) // 8).astype(np.uint64) << np.uint64(16)
-    return np.cumsum(steps, dtype=np.uint64)
+    if not blob:
+        return np.zeros(0, dtype=np.uint64)
+    n = int(np.frombuffer(blob, "<u4", 1, 1)[0]) - 1
+    whole, bits = divmod(blob[0], 8)
+    steps, at = np.zeros((n, 8), dtype=np.uint8), 13 + n * whole
+    steps[:, :whole] = np.frombuffer(blob, np.uint8, n * whole, 13).reshape(n, whole)
+    if bits:
+        part = np.unpackbits(np.frombuffer(blob, np.uint8, (n * bits + 7) // 8, at), count=n * bits).reshape(n, bits)
+        steps[:, whole : whole + 1] = np.packbits(part, axis=1, bitorder="little")
+    rest = np.diff(np.flatnonzero(np.unpackbits(np.frombuffer(blob, np.uint8, offset=at + (n * bits + 7) // 8))), prepend=-1) - 1
+    out = np.frombuffer(blob, "<u8", 1, 5).repeat(n + 1)
+    out[1:] += np.cumsum(steps.view("<u8")[:, 0] + (rest.astype(np.uint64) << np.uint64(blob[0])), dtype=np.uint64)
+    return out
+
+
+def compressed(texts: pa.Array) -> pa.Array:
+    """Each text with zstd after its size in 8 bytes, or as it is where that isn't shorter."""
+    codec, out = pa.Codec("zstd", compression_level=1), []
+    for x in texts.to_pylist():
+        packed = codec.compress(x, asbytes=True) if x else b""
+        out.append(len(x).to_bytes(8, "little") + (packed if len(packed) < len(x) else x))
+    return pa.array(out, pa.binary())
+
+
+def opened(rows: pa.Table) -> pa.Table:
+    """The rows with the texts that compressed() made their blobs from."""
+    codec, out = pa.Codec("zstd"), []
+    for x in rows.column("text").to_pylist():
+        size = int.from_bytes(x[:8], "little")
+        out.append(x[8:] if len(x) - 8 == size else codec.decompress(x[8:], size, asbytes=True))
+    return rows.set_column(rows.schema.get_field_index("text"), "text", pa.array(out, pa.binary()))
 
 
 def words_from(data: np.ndarray, kind: str = "<u8") -> np.ndarray:
@@ -178,7 +210,7 @@ def sample_blobs(length: int, bits: int, buckets: int):
     """Step 1: one row for each hash range that the batch has a sampled string in. several: a bit for each, set if two documents hold it."""
 
     def run(rows: pa.Table) -> pa.Table:
-        batch = Batch(rows, length)
+        batch = Batch(opened(rows), length)
         places, order, hashes = batch.sample(bits)
         begin = np.flatnonzero(heads(hashes))
         owners = batch.ids[batch.text_of(places[order])]
@@ -328,7 +360,7 @@ def send_runs(length: int, bits: int, buckets: int):
     """Step 3: one row for each range of buckets and marks that the batch has a run with a rank in. gone: spans that are settled here."""
 
     def run(rows: pa.Table, told: pa.Table) -> pa.Table:
-        batch = Batch(rows, length) if rows.num_rows else None
+        batch = Batch(opened(rows), length) if rows.num_rows else None
         ranked = sample_ranks(batch, told, bits, buckets)[0] if batch else ()
         if not len(ranked):
             return table_of([], RUNS)
@@ -380,11 +412,13 @@ class Met:
         k, m = self.keys[order], self.marks[order]
         text = heads(m) | heads(k)
         self.distinct, number = np.unique(k, return_inverse=True)
-        self.texts = np.minimum(np.bincount(number, text, len(self.distinct)), HOT + 1).astype(np.uint16)  # of each bucket, here
+        # of each bucket, here: the suffixes of its different texts, and whether there are several
+        self.suffixes = np.minimum(np.bincount(number, text * self.sizes[order], len(self.distinct)), HOT + 1).astype(np.uint16)
+        self.several = np.bincount(number, text, len(self.distinct)) > 1
 
 
 def texts_here(buckets: int):
-    """Step 4, first half: how many different texts the task has of each bucket, one row for each range of buckets."""
+    """Step 4, first half: whether the task has several different texts of each bucket, and how many suffixes, one row for each range of buckets."""
 
     def run(rows: pa.Table) -> pa.Table:
         met, out = Met(rows), []
@@ -393,19 +427,20 @@ def texts_here(buckets: int):
         for k in range(buckets):
             if cuts[k] < cuts[k + 1]:
                 own = slice(cuts[k], cuts[k + 1])
-                out.append({"bucket": k, "b": at, "keys": pack(met.distinct[own]), "texts": met.texts[own].tobytes()})
-        return table_of(out, ("keys", "texts"))
+                out.append({"bucket": k, "b": at, "keys": pack(met.distinct[own]), "suffixes": met.suffixes[own].tobytes(), "several": np.packbits(met.several[own]).tobytes()})
+        return table_of(out, ("keys", "suffixes", "several"))
 
     return run
 
 
 def texts_in_all(rows: pa.Table) -> pa.Table:
-    """For each task of one range of buckets, 0, 1 or 2 for each of its buckets: one text, several, or so many that it is split."""
+    """For each task of one range of buckets, 0, 1 or 2 for each of its buckets: one text, several, or so many suffixes that it is split. Equal texts are in one task."""
     parts = [unpack(x) for x in rows.column("keys").to_pylist()]
-    counts = np.concatenate([np.frombuffer(x, np.uint16) for x in rows.column("texts").to_pylist()])
+    suffixes = np.concatenate([np.frombuffer(x, np.uint16) for x in rows.column("suffixes").to_pylist()])
+    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)) for x, p in zip(rows.column("several").to_pylist(), parts, strict=True)])
     distinct, number = np.unique(np.concatenate(parts), return_inverse=True)
-    total = np.bincount(number, counts, len(distinct))
-    kind = ((total > 1).astype(np.uint8) + (total > HOT))[number]
+    many = np.bincount(number, several + 1, len(distinct)) > 1
+    kind = (many.astype(np.uint8) + (many & (np.bincount(number, suffixes, len(distinct)) > HOT)))[number]
     ends = np.cumsum([len(x) for x in parts]).tolist()
     return pa.table({"b": rows.column("b"), "bucket": rows.column("bucket"), "kinds": pa.array([kind[e - len(x) : e].tobytes() for x, e in zip(parts, ends, strict=True)], pa.binary())})
 
@@ -439,13 +474,13 @@ def equal_runs(length: int, buckets: int):
         made = []
         for x in out:
             want = x.get("want", np.zeros(0, dtype=np.int64))
-            made.append({"bucket": 0, "b": x["b"], "keys": met.keys[want].astype("<u8").tobytes(), "at": met.at[want].astype("<i4").tobytes(), "n": met.sizes[want].astype("<i4").tobytes(), "hot": (kind[want] > 1).astype(np.uint8).tobytes(), "gone": np.concatenate(x["gone"]).astype("<i4").tobytes()})
+            made.append({"bucket": 0, "b": x["b"], "keys": met.keys[want].astype("<u8").tobytes(), "at": pack(met.at[want].astype(np.uint64)), "n": shrunk(met.sizes[want]), "hot": (kind[want] > 1).astype(np.uint8).tobytes(), "gone": np.concatenate(x["gone"]).astype("<i4").tobytes()})
         return table_of([x for x in made if x["keys"] or x["gone"]], WANTED).drop_columns(["bucket"])
 
     return run
 
 
-TEXTS = ("keys", "ids", "at", "n", "residues", "text", "ranks", "gone")
+TEXTS = ("keys", "ids", "at", "n", "residues", "text", "ranks", "gone", "single", "second", "single_ids", "single_at")
 
 
 def each_suffix(at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -454,37 +489,44 @@ def each_suffix(at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at[run] + np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes), run
 
 
-def split_runs(batch: Batch, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the suffixes of hot runs, the places that go on with buckets by all their bytes; and which ones equal suffixes of the batch settle."""
+def split_runs(batch: Batch, at: np.ndarray, sizes: np.ndarray, ranked: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the suffixes of hot runs, those with one of the ranked places in their head (if given): the places that go on with buckets by all their bytes; and which ones equal suffixes of the batch settle."""
     if not len(at):
         return at, at.astype(np.uint64), at
     places = np.unique(each_suffix(at, sizes)[0])
-    keys, second = hashes_at(batch.data, places, batch.length), text_hashes(batch, places, np.ones(len(places), dtype=np.int64))
+    if ranked is not None:
+        places = places[np.searchsorted(ranked, places + batch.v) > np.searchsorted(ranked, places)]
+    keys, second = hashes_at(batch.data, places, batch.length), second_hashes(batch, places)
     ids = batch.ids[batch.text_of(places)]
     settled = ids > lowest_of(ids, places, second, keys)
     return places[~settled], keys[~settled], places[settled]
 
 
+def second_hashes(batch: Batch, places: np.ndarray) -> np.ndarray:
+    return hashes_at(batch.data, places, batch.length, 0xC2B2AE3D27D4EB4F, 32)
+
+
 def send_texts(length: int, bits: int, buckets: int):
-    """One row for each range of buckets that wants a run's text of the batch, with the ranks in it; spans that are settled go along."""
+    """One row for each range of buckets that wants a run's text of the batch, with the ranks in it, or the hashes of single suffixes of hot runs; spans that are settled go along."""
 
     def run(rows: pa.Table, wanted: pa.Table, told: pa.Table) -> pa.Table:
         if not rows.num_rows or not wanted.num_rows:
             return table_of([], TEXTS)
         read = lambda name, kind: np.frombuffer(b"".join(wanted.column(name).to_pylist()), dtype=kind)
-        keys, at, sizes, hot, gone = read("keys", "<u8"), read("at", "<i4").astype(np.int64), read("n", "<i4").astype(np.int64), read("hot", np.uint8) > 0, read("gone", "<i4").reshape(-1, 2)
+        numbers_of = lambda name, f: np.concatenate([f(x) for x in wanted.column(name).to_pylist()]).astype(np.int64)
+        keys, at, sizes, hot, gone = read("keys", "<u8"), numbers_of("at", unpack), numbers_of("n", grown), read("hot", np.uint8) > 0, read("gone", "<i4").reshape(-1, 2)
         b, out, pack_text = rows.column("b")[0].as_py(), [], pa.Codec("zstd")
         if len(keys):
-            batch = Batch(rows, length)
+            batch = Batch(opened(rows), length)
             ranked, ranks = sample_ranks(batch, told, bits, buckets)
-            singles, own_keys, settled = split_runs(batch, at[hot], sizes[hot])
+            singles, own_keys, settled = split_runs(batch, at[hot], sizes[hot], ranked)
             gone = np.concatenate([gone, spans_of(settled, np.ones(len(settled), dtype=np.int64), length)])
-            keys, at, sizes = np.append(keys[~hot], own_keys), np.append(at[~hot], singles), np.append(sizes[~hot], np.ones(len(singles), dtype=np.int64))
+            keys, at, sizes = keys[~hot], at[~hot], sizes[~hot]
             raw, text = batch.data.tobytes(), batch.text_of(at)
             ids, residues = batch.ids[text], ((at - batch.starts[text]) % batch.v).astype(np.uint8)
             cover = np.isin(np.arange(batch.v), difference_cover(batch.v))
             bucket = (keys % np.uint64(buckets)).astype(np.int32)
-            by = np.argsort(bucket, kind="stable")
+            by = np.lexsort((at, bucket))  # places and ids rise within a row, so steps are sent
             for k, s, e in pieces(bucket[by]):
                 own = by[s:e]
                 joined = b"".join([raw[a : a + m] for a, m in zip(at[own].tolist(), (sizes[own] + (length - 1)).tolist(), strict=True)])
@@ -495,7 +537,12 @@ def send_texts(length: int, bits: int, buckets: int):
                 numbers = np.where(ranked[found] == places, ranks[found], 0)
                 # 16 bits of a hash tell two ranks apart but for chance, and ties are verified by bytes
                 numbers = np.where(numbers > 0, mix(numbers) >> np.uint64(48) | np.uint64(1), 0).astype("<u2")
-                out.append({"bucket": k, "b": b, "keys": keys[own].tobytes(), "ids": shrunk(ids[own]), "at": at[own].astype("<i4").tobytes(), "n": shrunk(sizes[own]), "residues": residues[own].tobytes(), "text": pack_text.compress(joined, asbytes=True), "ranks": numbers.tobytes(), "gone": b""})
+                out.append({"bucket": k, "b": b} | dict.fromkeys(TEXTS, b"") | {"keys": keys[own].tobytes(), "ids": shrunk(np.diff(ids[own], prepend=0)), "at": pack(at[own].astype(np.uint64)), "n": shrunk(sizes[own]), "residues": residues[own].tobytes(), "text": pack_text.compress(joined, asbytes=True), "ranks": some(numbers)})
+            bucket, second, ids = (own_keys % np.uint64(buckets)).astype(np.int32), second_hashes(batch, singles), batch.ids[batch.text_of(singles)]
+            by = np.argsort(bucket, kind="stable")
+            for k, s, e in pieces(bucket[by]):
+                own = by[s:e]
+                out.append({"bucket": k, "b": b} | dict.fromkeys(TEXTS, b"") | {"single": own_keys[own].tobytes(), "second": second[own].tobytes(), "single_ids": shrunk(np.diff(ids[own], prepend=0)), "single_at": pack(singles[own].astype(np.uint64))})
         if len(gone):
             gone = gone[np.argsort(gone[:, 0], kind="stable")].astype(np.int64)
             gone = spans_of(gone[:, 0], gone[:, 1] - gone[:, 0], 1)
@@ -505,6 +552,35 @@ def send_texts(length: int, bits: int, buckets: int):
     return run
 
 
+def some(numbers: np.ndarray) -> bytes:
+    """16-bit numbers, a bit for each that isn't 0 and those."""
+    return np.array([len(numbers)], "<u4").tobytes() + np.packbits(numbers > 0).tobytes() + numbers[numbers > 0].astype("<u2").tobytes()
+
+
+def all_of(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, dtype=np.uint16)
+    n = int(np.frombuffer(blob, "<u4", 1)[0])
+    out = np.zeros(n, dtype=np.uint16)
+    out[np.unpackbits(np.frombuffer(blob, np.uint8, (n + 7) // 8, 4), count=n).astype(bool)] = np.frombuffer(blob, "<u2", offset=4 + (n + 7) // 8)
+    return out
+
+
+def settled_singles(rows: pa.Table, length: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(batch, spans) of the single suffixes that an equal one of a smaller id covers."""
+    singles = rows.filter(pc.greater(pc.binary_length(rows.column("single")), 0))
+    if not singles.num_rows:
+        return
+    read = lambda name, f: [f(x) for x in singles.column(name).to_pylist()]
+    keys = read("single", lambda x: np.frombuffer(x, "<u8"))
+    owner = np.repeat(np.arange(len(keys)), [len(x) for x in keys])
+    ids, at = np.concatenate([np.cumsum(grown(x)) for x in singles.column("single_ids").to_pylist()]), np.concatenate(read("single_at", unpack)).astype(np.int64)
+    gone = np.flatnonzero(ids > lowest_of(ids, at, np.concatenate(read("second", lambda x: np.frombuffer(x, "<u8"))), np.concatenate(keys)))
+    for i, s, e in pieces(owner[gone]):
+        places = at[gone[s:e]]
+        yield singles.column("b")[i].as_py(), spans_of(places, np.ones(len(places), dtype=np.int64), length)
+
+
 def tied(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts by the keys, the first one first, and where a new value of them begins in that order."""
     order = np.lexsort(keys[::-1])
@@ -583,6 +659,8 @@ def sorted_buckets(length: int):
         for b, x in zip(batches, read("gone", "<i4"), strict=True):
             if len(x):
                 spans.setdefault(b, []).append(x.reshape(-1, 2))
+        for b, x in settled_singles(rows, length):
+            spans.setdefault(b, []).append(x)
         keys, counts = read("keys", "<u8"), [grown(x) for x in rows.column("n").to_pylist()]
         owner = np.repeat(np.arange(len(batches)), [len(x) for x in keys])
         if not len(owner):
@@ -590,9 +668,9 @@ def sorted_buckets(length: int):
         codec = pa.Codec("zstd")
         texts = [codec.decompress(x, int(n.sum() + len(n) * (length - 1)), asbytes=True) for x, n in zip(rows.column("text").to_pylist(), counts, strict=True) if len(n)]
         keys, counts = np.concatenate(keys), np.concatenate(counts)
-        ids, at, residues = np.concatenate([grown(x) for x in rows.column("ids").to_pylist()]), np.concatenate(read("at", "<i4")).astype(np.int64), np.concatenate(read("residues", np.uint8)).astype(np.int64)
+        ids, at, residues = np.concatenate([np.cumsum(grown(x)) for x in rows.column("ids").to_pylist()]), np.concatenate([unpack(x) for x in rows.column("at").to_pylist()]).astype(np.int64), np.concatenate(read("residues", np.uint8)).astype(np.int64)
         data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        numbers = read("ranks", "<u2")
+        numbers = [all_of(x) for x in rows.column("ranks").to_pylist()]
         ends = np.cumsum(counts + (length - 1))
         begin = ends - counts - (length - 1)
         v = cover_period(length)
@@ -638,7 +716,7 @@ def cut_texts(length: int):
     """Step 6: the texts of a batch without the covered bytes."""
 
     def run(rows: pa.Table, spans: pa.Table) -> pa.Table:
-        batch = Batch(rows, length) if rows.num_rows else None
+        batch = Batch(opened(rows), length) if rows.num_rows else None
         if batch is None:
             out = rows.drop_columns(["b", "text"])
             return out.append_column("n_bytes", pa.array([], pa.int64())).append_column("n_removed", pa.array([], pa.int64())).append_column("n_spans", pa.array([], pa.int64())).append_column("kept", pa.array([], pa.binary()))
@@ -676,7 +754,9 @@ def _cut(documents: DataFrame, length: int, id_col: str, text_col: str, others:
     n = max(-(-size // BATCH_BYTES), min(session, -(-size // LEAST_BYTES)), 1)
     # of a random string's hash, a chance of about 1 in 64 to meet another
     bits = min(60, max(24, int(size).bit_length() + 5))
-    texts = rows.where("id is not null").withColumn("b", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(n)).cast("int")).repartition(n, "b")
+    hold_batches(documents.sparkSession)
+    texts = rows.where("id is not null").withColumn("b", F.pmod(F.xxhash64("id", F.xxhash64("text")), F.lit(n)).cast("int"))
+    texts = texts.withColumn("text", F.arrow_udf(compressed, "binary")("text")).repartition(n, "b")
     binary = lambda names: ", ".join(f"{x} binary" for x in names)
     by = lambda df, key: df.repartition(n, key).groupBy(key)
     kinds = [f"c{i} {documents.select(f'`{c}`').schema[0].dataType.simpleString()}" for i, c in enumerate(others)]
@@ -684,7 +764,7 @@ def _cut(documents: DataFrame, length: int, id_col: str, text_col: str, others:
     blobs = texts.groupBy("b").applyInArrow(sample_blobs(length, bits, n), "bucket int, b int, blob binary, several binary")
     ranks = by(blobs, "bucket").applyInArrow(shared_ranks, "b int, bucket int, flags binary, ranks binary").repartition(n, "b")
     runs = texts.groupBy("b").cogroup(ranks.groupBy("b")).applyInArrow(send_runs(length, bits, n), f"bucket int, b int, {binary(RUNS)}").repartition(n, "bucket")
-    here = runs.groupBy("bucket").applyInArrow(texts_here(n), "bucket int, b int, keys binary, texts binary")
+    here = runs.groupBy("bucket").applyInArrow(texts_here(n), "bucket int, b int, keys binary, suffixes binary, several binary")
     told = by(here, "bucket").applyInArrow(texts_in_all, "b int, bucket int, kinds binary")
     wanted = runs.groupBy("bucket").cogroup(told.withColumnRenamed("bucket", "range").withColumnRenamed("b", "bucket").repartition(n, "bucket").groupBy("bucket"))
     wanted = wanted.applyInArrow(lambda own, x: equal_runs(length, n)(own, x.rename_columns({"range": "bucket", "bucket": "b"})), f"b int, {binary(WANTED)}")

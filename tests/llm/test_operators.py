@@ -152,6 +152,62 @@ def test_packed_steps():
         assert suffix_dedup.unpack(suffix_dedup.pack(x)).tolist() == values
 
 
+def test_packed_steps_grow_by_bits():
+    """Sorted hashes take some two bits more than their mean step has, however large it is; what lies far off costs little."""
+    for bits in (20, 33, 38, 41, 60):
+        x = np.unique(np.random.default_rng(bits).integers(0, 1 << bits, 1 << 14, dtype=np.uint64)) + np.uint64(1 << 62)
+        assert (suffix_dedup.unpack(suffix_dedup.pack(x)) == x).all()
+        assert len(suffix_dedup.pack(x)) * 8 < len(x) * (max(bits - 14, 0) + 2.2) + 200
+    far = np.array([3, 3, 4, 5, 1 << 63], dtype=np.uint64)
+    assert (suffix_dedup.unpack(suffix_dedup.pack(far)) == far).all() and len(suffix_dedup.pack(far)) < 60
+    for numbers in ([], [0], [0, 7, 0, 65535] * 9):
+        assert suffix_dedup.all_of(suffix_dedup.some(np.array(numbers, dtype=np.uint16))).tolist() == numbers
+
+
+def test_texts_travel_compressed():
+    texts = [b"", b"a", os.urandom(300), b"one two " * 500, "\u20ac".encode() * 99]
+    packed = suffix_dedup.compressed(pa.array(texts, pa.binary()))
+    assert suffix_dedup.opened(pa.table({"text": packed})).column("text").to_pylist() == texts
+    assert max(map(len, packed.to_pylist())) == 308
+
+
+def test_buckets_are_split_by_suffixes():
+    """A bucket of few texts with very many suffixes is split, one of a single text isn't, however long."""
+    def row(b, keys, marks, sizes):
+        n = np.array(sizes)
+        return {"bucket": b, "b": b, "keys": np.array(keys, "<u8").tobytes(), "marks": np.array(marks, "<u8").tobytes(), "ids": suffix_dedup.shrunk(np.zeros(len(n), int)), "at": suffix_dedup.pack(np.arange(len(n), dtype=np.uint64) * np.uint64(10**6)), "n": suffix_dedup.shrunk(n), "gone": b""}
+
+    half = suffix_dedup.HOT // 2 + 1
+    here = [suffix_dedup.texts_here(1)(suffix_dedup.table_of([x], suffix_dedup.RUNS)) for x in (row(0, [5, 5, 6, 7, 8, 8], [1, 2, 3, 4, 9, 9], [half, half, 9, 2 * half, 5, 5]), row(1, [6], [8], [9]))]
+    told = suffix_dedup.texts_in_all(pa.concat_tables(here))
+    assert [list(x) for x in told.column("kinds").to_pylist()] == [[2, 1, 0, 0], [1]]
+
+
+def test_hot_buckets_send_hashes_alone():
+    """Of a hot run, suffixes without a rank in their head aren't sent, and of the others neither texts nor ranks are."""
+    texts = [bytes(rng.choice(b"klmnop") for _ in range(70)) + b"The same passage, of more than fifty bytes, in each one." + bytes(rng.choice(b"klmnop") for _ in range(70)) for _ in range(40)]
+    table = pa.table({"b": pa.array([0] * 40, pa.int32()), "id": pa.array(range(40), pa.int64()), "text": suffix_dedup.compressed(pa.array(texts, pa.binary()))})
+    bits = 40
+    told = suffix_dedup.shared_ranks(suffix_dedup.sample_blobs(50, bits, 1)(table))
+    batch = suffix_dedup.Batch(suffix_dedup.opened(table), 50)
+    ranked, _ = suffix_dedup.sample_ranks(batch, told, bits, 1)
+    at, sizes, keys = suffix_dedup.runs_of(batch, ranked)
+    every, _, _ = suffix_dedup.split_runs(batch, at, sizes)
+    singles, _, settled = suffix_dedup.split_runs(batch, at, sizes, ranked)
+    assert 0 < len(singles) < len(every) and len(settled) >= 39 * 7  # the passage has 7 strings of 50 bytes; some match a byte further by chance
+    wanted = pa.table({"keys": [keys.tobytes()], "at": [suffix_dedup.pack(at.astype(np.uint64))], "n": [suffix_dedup.shrunk(sizes)], "hot": [np.ones(len(at), np.uint8).tobytes()], "gone": [b""]})
+    sent = suffix_dedup.send_texts(50, bits, 1)(table, wanted, told)
+    assert not any(sent.column("text").to_pylist()) and not any(sent.column("ranks").to_pylist())
+    assert sum(len(x) for x in sent.column("single").to_pylist()) == 8 * len(singles)
+    # the same texts once more with larger ids, as of another batch: each of their sent suffixes is covered
+    again = pa.table({"b": pa.array([1] * 40, pa.int32()), "id": pa.array(range(40, 80), pa.int64()), "text": table.column("text")})
+    both = pa.concat_tables([sent, suffix_dedup.send_texts(50, bits, 1)(again, wanted, told)])
+    spans = {b: np.frombuffer(x, "<i4").reshape(-1, 2) for b, x in zip(*(suffix_dedup.sorted_buckets(50)(both).column(c).to_pylist() for c in ("b", "spans")), strict=True)}
+    gone = {b: {p for s, e in x.tolist() for p in range(s, e)} for b, x in spans.items()}
+    assert gone[1] >= {p + i for p in singles.tolist() for i in range(50)}
+    assert gone[0] == {p + i for p in settled.tolist() for i in range(50)}
+
+
 def simhash_of(text, width):
     w = [x.lower() for x in words(text)]
     if not w:

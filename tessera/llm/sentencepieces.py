@@ -86,8 +86,8 @@ class Codec:
     def _slot(self, pairs: np.ndarray) -> np.ndarray:
         return (mix(pairs.astype(np.uint64)) >> np.uint64(42)).astype(np.int64)
 
-    def candidates(self, keys: np.ndarray | None, at: np.ndarray, sizes: np.ndarray, symbols: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The agenda's order (or one past all) and the symbol of merging the parts left and right."""
+    def candidates(self, keys: np.ndarray | None, at: np.ndarray, origin: np.ndarray, sizes: np.ndarray, symbols: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The agenda's order (or one past all) and the symbol of merging the parts left and right. keys, at: of the characters, of which each part's first is its origin."""
         pairs = symbols[left] * self.symbols + symbols[right]
         order, merged = np.full(len(left), NEVER), np.zeros(len(left), dtype=np.int64)
         some = np.flatnonzero(self.maybe[self._slot(pairs)])
@@ -95,7 +95,8 @@ class Codec:
         hit = self.pairs[found] == pairs[some]
         some, found = some[hit], found[hit]
         if keys is not None:
-            stay = ~self.skips(keys[left[some]], merge_codes(at[left[some]], sizes[left[some]], sizes[right[some]]))
+            begin = origin[left[some]]
+            stay = ~self.skips(keys[begin], merge_codes(at[begin], sizes[left[some]], sizes[right[some]]))
             some, found = some[stay], found[stay]
         order[some], merged[some] = self.orders[found], self.merged[found]
         return order, merged
@@ -125,11 +126,12 @@ class Codec:
         points = np.frombuffer("".join(picked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
         chunk = np.repeat(np.arange(len(short)), lengths[short])
         at = np.arange(len(points)) - np.repeat(np.cumsum(lengths[short]) - lengths[short], lengths[short])
-        # one row for each part: chunk, key, place, size, symbol, code point, agenda order and symbol of merging with the next
-        keys, sizes, symbols = None if key is None else key[short][chunk], np.ones(len(points), dtype=np.int64), self.symbol_of[points]
+        # one row for each part: chunk, first character, size, symbol, agenda order and symbol of merging with the next
+        keys, origin = None if key is None else key[short][chunk], np.arange(len(points))
+        sizes, symbols = np.ones(len(points), dtype=np.int64), self.symbol_of[points]
         order, merged = np.full(len(points), NEVER), np.zeros(len(points), dtype=np.int64)
         left = np.flatnonzero(chunk[1:] == chunk[:-1])
-        order[left], merged[left] = self.candidates(keys, at, sizes, symbols, left, left + 1)
+        order[left], merged[left] = self.candidates(keys, at, origin, sizes, symbols, left, left + 1)
         done, made = [], []
         while len(chunk):
             first = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
@@ -137,21 +139,21 @@ class Codec:
             best = np.minimum.reduceat(order * len(chunk) + np.arange(len(chunk)), first)
             live = best < NEVER * len(chunk)
             stays = np.repeat(live, count)
-            done.append(np.stack([x[~stays] for x in (chunk, symbols, points)]))
+            over = np.flatnonzero(~stays)
+            done.append(np.stack([chunk[over], symbols[over], points[origin[over]]]))
             i = best[live] % len(chunk)
             if keys is None:
-                made.append((chunk[i], merge_codes(at[i], sizes[i], sizes[i + 1])))
+                made.append((chunk[i], merge_codes(at[origin[i]], sizes[i], sizes[i + 1])))
             symbols[i], sizes[i] = merged[i], sizes[i] + sizes[i + 1]
             stays[i + 1] = False
-            place = np.cumsum(stays) - 1
-            keys = None if keys is None else keys[stays]
-            chunk, at, sizes, symbols, points, order, merged = (x[stays] for x in (chunk, at, sizes, symbols, points, order, merged))
-            i = place[i]
+            left = np.flatnonzero(stays)
+            chunk, origin, sizes, symbols, order, merged = (x[left] for x in (chunk, origin, sizes, symbols, order, merged))
+            i = np.searchsorted(left, i)
             again = np.concatenate([i, i[i > 0] - 1])
             order[again] = NEVER
             again = again[(again + 1 < len(chunk))]
             again = again[chunk[again] == chunk[again + 1]]
-            order[again], merged[again] = self.candidates(keys, at, sizes, symbols, again, again + 1)
+            order[again], merged[again] = self.candidates(keys, at, origin, sizes, symbols, again, again + 1)
         chunk, symbols, points = np.concatenate(done, axis=1)
         by = np.argsort(chunk, kind="stable")
         chunk, symbols, points = chunk[by], symbols[by], points[by]
@@ -266,7 +268,7 @@ class Codec:
                 owner = np.repeat(np.arange(len(kind)), n)
                 code = codes[np.arange(len(owner)) + np.repeat(begins[kind] - (np.cumsum(n) - n), n)]
                 other = long[kind]
-                other[owner[self.skips(key[owner], code)]] = True
+                other[owner[self.skips(np.repeat(key, n), code)]] = True
                 other = np.flatnonzero(other)
                 ids, _ = self._merged([distinct[k] for k in kind[other].tolist()], key[other])
                 for i, x in zip((other + at).tolist(), ids, strict=True):

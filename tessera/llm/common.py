@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +65,49 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What workers keep from one task to the next; a lean task drops it.
+REMEMBERED: list[dict] = []
+
+
+def give_back() -> None:
+    """Gives the memory that a worker has freed back to the system. Workers outlive tasks and operators, and would hold the most that each has taken."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def forget() -> None:
+    for held in REMEMBERED:
+        held.clear()
+
+
+def lean(f: Callable, forgets: bool = True) -> Callable:
+    """f of one group, of two, or of an iterator of batches, for a worker that drops what is remembered (if forgets) and gives memory back when f is done."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        if forgets:
+            forget()
+        out = f(rows)
+        give_back()
+        return out
+
+    def two(rows: pa.Table, others: pa.Table) -> pa.Table:
+        if forgets:
+            forget()
+        out = f(rows, others)
+        give_back()
+        return out
+
+    def each(batches: Iterator) -> Iterator:
+        if forgets:
+            forget()
+        yield from f(batches)
+        give_back()
+
+    return each if inspect.isgeneratorfunction(f) else two if len(inspect.signature(f).parameters) == 2 else one
+
+
 def partitions_for(df: DataFrame, times: int = 1, mb: int = 64) -> int:
     """Shuffle partitions for df with each row `times` times: the session's number, or more if one would exceed mb of stored input."""
     stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hold_batches, mix, slices
+from tessera.llm.common import REMEMBERED, hold_batches, lean, mix, slices
 
 VOCABULARIES = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
@@ -289,6 +289,7 @@ def merge_codes(at: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
 
 
 _codecs: dict[tuple, Codec] = {}
+REMEMBERED.append(_codecs)
 
 
 def codec(vocabularies: str, dropout: float, seed: int) -> Codec:
@@ -329,7 +330,7 @@ def encoded(documents: DataFrame, dropout: float = DROPOUT, seed: int = SEED, vo
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     copies = Window.partitionBy("id", F.xxhash64("text")).orderBy("text")
     rows = rows.withColumn("copy", F.row_number().over(copies) - 1 if by_copy else F.lit(0))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(lean(run, forgets=False), "doc_id long, ids array<int>")
 
 
 def decoded(pieces: DataFrame, vocabularies: str = VOCABULARIES) -> DataFrame:

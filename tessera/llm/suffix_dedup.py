@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hold_batches, mix, string_bytes
+from tessera.llm.common import hold_batches, lean, mix, string_bytes
 
 BATCH_BYTES, LEAST_BYTES = 8 << 20, 1 << 17  # of text in a batch; batches are no smaller to have one for each shuffle partition
 BLOCK = 1 << 17  # suffixes that are sorted at once
@@ -174,9 +174,9 @@ class Batch:
     def sample(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sampled places, the order that sorts them by hash, and the sorted hashes."""
         cover = np.isin(np.arange(self.v), difference_cover(self.v))
-        places = [np.zeros(0, np.int64)]
+        places = [np.zeros(0, np.int32)]
         for s, _, at, left in self.slabs():
-            places.append(np.flatnonzero(cover[at % self.v] & (left >= self.size) & (at + left >= self.length)) + s)
+            places.append((np.flatnonzero(cover[at % self.v] & (left >= self.size) & (at + left >= self.length)) + s).astype(np.int32))
         places = np.concatenate(places)
         hashes = np.empty(len(places), dtype=np.uint64)
         for s in range(0, len(places), SLAB):
@@ -212,8 +212,12 @@ def sample_blobs(length: int, bits: int, buckets: int):
     def run(rows: pa.Table) -> pa.Table:
         batch = Batch(opened(rows), length)
         places, order, hashes = batch.sample(bits)
+        number = np.unique(batch.ids, return_inverse=True)[1].astype(np.int32)  # of each text's id
+        owners = np.empty(len(places), dtype=np.int32)
+        for s in range(0, len(places), SLAB):
+            owners[s : s + SLAB] = number[batch.text_of(places[order[s : s + SLAB]])]
+        del places, order
         begin = np.flatnonzero(heads(hashes))
-        owners = batch.ids[batch.text_of(places[order])]
         several = np.minimum.reduceat(owners, begin) != np.maximum.reduceat(owners, begin) if len(begin) else np.zeros(0, bool)
         hashes = hashes[begin]
         cuts = bucket_starts(hashes, buckets, bits).tolist()
@@ -234,14 +238,14 @@ def shared_ranks(rows: pa.Table) -> pa.Table:
     first = heads(hashes[order])
     shared = np.concatenate(several)[order]
     shared |= ~first
-    number = np.cumsum(first) - 1
-    shared = np.bincount(number, shared) > 0  # of each different hash
-    rank = np.cumsum(shared) - 1
-    bits, ranks = np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=np.uint64)
+    shared = np.logical_or.reduceat(shared, np.flatnonzero(first)) if len(hashes) else shared  # of each different hash
+    number, rank = np.cumsum(first, dtype=np.int32), np.cumsum(shared, dtype=np.int32)
+    number, rank = number - np.int32(1), rank - np.int32(1)
+    bits, ranks = np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=np.int32)
     bits[order], ranks[order] = shared[number], rank[number]
     ends = np.cumsum([len(x) for x in parts]).tolist()
     out = [(bits[e - len(x) : e], ranks[e - len(x) : e]) for x, e in zip(parts, ends, strict=True)]
-    return pa.table({"b": rows.column("b"), "bucket": rows.column("bucket"), "flags": pa.array([np.packbits(f).tobytes() for f, _ in out], pa.binary()), "ranks": pa.array([pack(r[f]) for f, r in out], pa.binary())})
+    return pa.table({"b": rows.column("b"), "bucket": rows.column("bucket"), "flags": pa.array([np.packbits(f).tobytes() for f, _ in out], pa.binary()), "ranks": pa.array([pack(r[f].astype(np.uint64)) for f, r in out], pa.binary())})
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -265,10 +269,16 @@ def sample_ranks(batch: Batch, told: pa.Table, bits: int, buckets: int) -> tuple
         a, e = cuts[bucket], cuts[bucket + 1]
         shared = np.unpackbits(np.frombuffer(flags, np.uint8), count=e - a).astype(bool)
         ranks[a:e][shared] = unpack(own) * np.uint64(buckets) + np.uint64(bucket + 1)
-    out = np.zeros(len(places), dtype=np.uint64)
-    if len(places):
-        out[order] = ranks[np.cumsum(first) - 1]
-    return places[out > 0], out[out > 0]
+    number = np.cumsum(first, dtype=np.int32) - np.int32(1)
+    del hashes, distinct, first
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for s in range(0, len(places), SLAB):
+        own = ranks[number[s : s + SLAB]]
+        found.append((places[order[s : s + SLAB][own > 0]].astype(np.int64), own[own > 0]))
+    del places, order, number, ranks
+    places, ranks = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(places)
+    return places[order], ranks[order]
 
 
 def runs_of(batch: Batch, ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -712,6 +722,20 @@ def span_rows(spans: dict[int, list[np.ndarray]]) -> pa.Table:
     return pa.table({"b": pa.array(list(spans), pa.int32()), "spans": pa.array(blobs, pa.binary())})
 
 
+def without(batch: Batch, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the bytes and the runs that the spans cover, and all other bytes; takes a few bytes a place at most."""
+    gone = gone[np.argsort(gone[:, 0], kind="stable")].astype(np.int64)
+    begin, end = spans_of(gone[:, 0], gone[:, 1] - gone[:, 0], 1).T.astype(np.int64)
+    border = np.searchsorted(begin, batch.offsets)  # spans that begin before each text
+    over = np.where(border > 0, np.append(end, 0)[border - 1] - batch.offsets, 0).clip(0)  # bytes of them that reach into it
+    removed = np.diff(np.append(0, np.cumsum(end - begin))[border] - over)
+    pieces = np.diff(border) + ((over[:-1] > 0) & (batch.sizes > 0))
+    level = np.zeros(len(batch.data) + 1, dtype=np.int8)
+    level[begin] = 1
+    level[end] = -1
+    return removed, pieces, batch.data[np.cumsum(level[:-1], dtype=np.int8) == 0]
+
+
 def cut_texts(length: int):
     """Step 6: the texts of a batch without the covered bytes."""
 
@@ -720,22 +744,10 @@ def cut_texts(length: int):
         if batch is None:
             out = rows.drop_columns(["b", "text"])
             return out.append_column("n_bytes", pa.array([], pa.int64())).append_column("n_removed", pa.array([], pa.int64())).append_column("n_spans", pa.array([], pa.int64())).append_column("kept", pa.array([], pa.binary()))
-        n = len(batch.data)
-        level = np.zeros(n + 1, dtype=np.int32)
-        for blob in spans.column("spans").to_pylist():
-            x = np.frombuffer(blob, dtype="<i4").reshape(-1, 2)
-            np.add.at(level, x[:, 0], 1)
-            np.add.at(level, x[:, 1], -1)
-        gone = np.cumsum(level[:-1]) > 0
-        first = gone.copy()
-        first[1:] &= ~gone[:-1]
-        borders = batch.starts[batch.sizes > 0]
-        first[borders] = gone[borders]
-        count = lambda x: np.diff(np.append(0, np.cumsum(x, dtype=np.int64))[batch.offsets])
-        removed, pieces = count(gone), count(first)
-        kept = batch.data[~gone]
+        gone = [np.zeros((0, 2), "<i4"), *(np.frombuffer(x, dtype="<i4").reshape(-1, 2) for x in spans.column("spans").to_pylist())]
+        removed, pieces, kept = without(batch, np.concatenate(gone))
         offsets = np.append(0, np.cumsum(batch.sizes - removed)).astype(np.int32)
-        texts = pa.Array.from_buffers(pa.binary(), len(batch.ids), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(kept.tobytes())])
+        texts = pa.Array.from_buffers(pa.binary(), len(batch.ids), [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
         out = batch.rows.drop_columns(["b", "text"])
         for name, x in (("n_bytes", batch.sizes), ("n_removed", removed), ("n_spans", pieces)):
             out = out.append_column(name, pa.array(x.astype(np.int64)))
@@ -761,20 +773,20 @@ def _cut(documents: DataFrame, length: int, id_col: str, text_col: str, others:
     by = lambda df, key: df.repartition(n, key).groupBy(key)
     kinds = [f"c{i} {documents.select(f'`{c}`').schema[0].dataType.simpleString()}" for i, c in enumerate(others)]
     fields = ", ".join(["id long", *kinds, "n_bytes long", "n_removed long", "n_spans long", "kept binary"])
-    blobs = texts.groupBy("b").applyInArrow(sample_blobs(length, bits, n), "bucket int, b int, blob binary, several binary")
-    ranks = by(blobs, "bucket").applyInArrow(shared_ranks, "b int, bucket int, flags binary, ranks binary").repartition(n, "b")
-    runs = texts.groupBy("b").cogroup(ranks.groupBy("b")).applyInArrow(send_runs(length, bits, n), f"bucket int, b int, {binary(RUNS)}").repartition(n, "bucket")
-    here = runs.groupBy("bucket").applyInArrow(texts_here(n), "bucket int, b int, keys binary, suffixes binary, several binary")
-    told = by(here, "bucket").applyInArrow(texts_in_all, "b int, bucket int, kinds binary")
+    blobs = texts.groupBy("b").applyInArrow(lean(sample_blobs(length, bits, n)), "bucket int, b int, blob binary, several binary")
+    ranks = by(blobs, "bucket").applyInArrow(lean(shared_ranks), "b int, bucket int, flags binary, ranks binary").repartition(n, "b")
+    runs = texts.groupBy("b").cogroup(ranks.groupBy("b")).applyInArrow(lean(send_runs(length, bits, n)), f"bucket int, b int, {binary(RUNS)}").repartition(n, "bucket")
+    here = runs.groupBy("bucket").applyInArrow(lean(texts_here(n)), "bucket int, b int, keys binary, suffixes binary, several binary")
+    told = by(here, "bucket").applyInArrow(lean(texts_in_all), "b int, bucket int, kinds binary")
     wanted = runs.groupBy("bucket").cogroup(told.withColumnRenamed("bucket", "range").withColumnRenamed("b", "bucket").repartition(n, "bucket").groupBy("bucket"))
-    wanted = wanted.applyInArrow(lambda own, x: equal_runs(length, n)(own, x.rename_columns({"range": "bucket", "bucket": "b"})), f"b int, {binary(WANTED)}")
+    wanted = wanted.applyInArrow(lean(lambda own, x: equal_runs(length, n)(own, x.rename_columns({"range": "bucket", "bucket": "b"}))), f"b int, {binary(WANTED)}")
     # what a batch is told about ranks and what is wanted of it come as rows of one table
     asked = wanted.select("b", *WANTED, *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("flags", "binary"), ("ranks", "binary"))])
     asked = asked.repartition(n, "b").unionByName(ranks, allowMissingColumns=True)
     send = send_texts(length, bits, n)
-    sent = texts.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(lambda own, x: send(own, x.filter(pc.is_valid(x.column("keys"))), x.filter(pc.is_valid(x.column("flags")))), f"bucket int, b int, {binary(TEXTS)}")
-    spans = by(sent, "bucket").applyInArrow(sorted_buckets(length), "b int, spans binary")
-    done = texts.groupBy("b").cogroup(spans.repartition(n, "b").groupBy("b")).applyInArrow(cut_texts(length), fields)
+    sent = texts.groupBy("b").cogroup(asked.groupBy("b")).applyInArrow(lean(lambda own, x: send(own, x.filter(pc.is_valid(x.column("keys"))), x.filter(pc.is_valid(x.column("flags"))))), f"bucket int, b int, {binary(TEXTS)}")
+    spans = by(sent, "bucket").applyInArrow(lean(sorted_buckets(length)), "b int, spans binary")
+    done = texts.groupBy("b").cogroup(spans.repartition(n, "b").groupBy("b")).applyInArrow(lean(cut_texts(length)), fields)
     zero = F.lit(0).cast("long")
     whole = rows.where("id is null").select("id", *[f"c{i}" for i in range(len(others))], F.length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").alias("kept"))
     return done.unionByName(whole)

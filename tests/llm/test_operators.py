@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -140,6 +141,48 @@ def test_collisions_of_ranks_are_found():
     assert (suffix_dedup.covered(data, places, owners, length, residues, true) == want).all()
 
 
+def test_cutting_texts_takes_little_memory():
+    # of 32 MB of text every other hundred bytes goes; the arrays of whole numbers took over 20 bytes a place
+    n = 1 << 25
+    rows = pa.table({"id": pa.array([1, 2, 3], pa.int64()), "text": suffix_dedup.compressed(pa.array([b"", bytes(n), b"abc"])), "b": pa.array([0, 0, 0], pa.int32())})
+    at = np.arange(0, n - 100, 200)
+    spans = pa.table({"b": pa.array([0], pa.int32()), "spans": pa.array([np.stack([at, at + 100], axis=1).astype("<i4").tobytes()])})
+    tracemalloc.start()
+    out = suffix_dedup.cut_texts(50)(rows, spans)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    removed = 100 * len(at)
+    assert out["n_removed"].to_pylist() == [0, removed, 0] and out["n_spans"].to_pylist() == [0, len(at), 0]
+    assert [len(x) for x in out["kept"].to_pylist()] == [0, n - removed, 3] and peak < 8 * n
+
+
+def test_spans_over_the_borders_of_texts():
+    texts = [b"", b"abcdef", b"", b"ghij", b"k"]
+    rows = pa.table({"id": pa.array(range(5), pa.int64()), "text": suffix_dedup.compressed(pa.array(texts)), "b": pa.array([0] * 5, pa.int32())})
+    for spans in ([], [(4, 6), (6, 8)], [(0, 6), (2, 3), (6, 10), (10, 11)], [(1, 2), (3, 4), (9, 10), (7, 8), (7, 9)]):
+        told = pa.table({"b": pa.array([0] * len(spans), pa.int32()), "spans": pa.array([np.array([x], "<i4").tobytes() for x in spans], pa.binary())})
+        out, start = suffix_dedup.cut_texts(50)(rows, told), 0
+        for t, row in zip(texts, out.to_pylist(), strict=True):
+            gone = "".join("x" if any(a <= start + i < e for a, e in spans) else "." for i in range(len(t)))
+            want = (gone.count("x"), len(re.findall("x+", gone)), bytes(c for c, g in zip(t, gone, strict=True) if g == "."))
+            assert (row["n_removed"], row["n_spans"], row["kept"]) == want
+            start += len(t)
+
+
+def test_lean_tasks_forget_and_give_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    sentencepieces._codecs["x"] = None
+    assert list(common.lean(lambda rows: [rows], forgets=False)(1)) == [1] and "x" in sentencepieces._codecs
+    assert common.lean(lambda a, b: a + b)(1, 2) == 3 and not sentencepieces._codecs
+
+    def twice(batches):
+        yield from batches
+        yield from batches
+
+    assert list(common.lean(twice)([1, 2])) == [1, 2, 1, 2] and len(given) == 3
+
+
 def test_difference_cover():
     for v in (7, 21):
         cover = suffix_dedup.difference_cover(v)

@@ -35,6 +35,7 @@ SHARD = 1 << 14  # rows of a table that are added in one piece
 ROUNDS = 2
 RATE, DAMPING = 1.0, 30.0  # of a step; a feature met n times moves by the mean over n + DAMPING
 MINIBATCH = 1 << 13
+PIECE = 1 << 13  # tokens whose features are hashed at once, in the processor's cache
 FAN_IN = 64
 TRAIN_TEXT = 32 << 20  # bytes that one training task reads: each sends all rows it met, so larger tasks send less
 END, BEFORE = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)
@@ -75,13 +76,22 @@ class Tokens:
         second = begin[begin < self.end_place] + 1  # a text's second token has one word before it
         two[second] = BEFORE
         shift = np.uint64(64 - bits)
-        features = np.stack([mix(one + np.uint64(1)), mix(one * np.uint64(0x9E3779B97F4A7C15) + two), mix(two ^ np.uint64(0xA5A5A5A5))], axis=1)
-        steps = [(leaves // CLASSES**2, (features >> shift).astype(np.int32), np.zeros(n, np.int64))]
-        features, words = features[self.place], leaves[self.place]
+        features, found = np.empty((n, 3), np.uint64), np.empty((n, 3), np.int32)
+        for at in range(0, n, PIECE):
+            cut = slice(at, at + PIECE)
+            features[cut, 0] = mix(one[cut] + np.uint64(1))
+            features[cut, 1] = mix(one[cut] * np.uint64(0x9E3779B97F4A7C15) + two[cut])
+            features[cut, 2] = mix(two[cut] ^ np.uint64(0xA5A5A5A5))
+            found[cut] = features[cut] >> shift
+        steps = [(leaves // CLASSES**2, found, np.zeros(n, np.int64))]
+        words = leaves[self.place]
         for step in range(1, STEPS):
-            node = words // CLASSES ** (STEPS - step)
-            crossed = mix(features ^ mix(node.astype(np.uint64) + np.uint64(step << 32))[:, None])
-            steps.append((words // CLASSES ** (STEPS - 1 - step) % CLASSES, (crossed >> shift).astype(np.int32), node))
+            node, found = words // CLASSES ** (STEPS - step), np.empty((len(words), 3), np.int32)
+            salts = mix(np.arange(CLASSES**step, dtype=np.uint64) + np.uint64(step << 32))
+            for at in range(0, len(words), PIECE):
+                cut = slice(at, at + PIECE)
+                found[cut] = mix(features[self.place[cut]] ^ salts[node[cut]][:, None]) >> shift
+            steps.append((words // CLASSES ** (STEPS - 1 - step) % CLASSES, found, node))
         return leaves, steps
 
 
@@ -124,25 +134,50 @@ def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, node:
 def learn(weights: np.ndarray, met: np.ndarray, bias: np.ndarray, choice: np.ndarray, rows: np.ndarray, node: np.ndarray) -> None:
     """Gradient steps of one table, in place; met counts how often each row was a feature."""
     # a complex number holds two neighbouring columns, which halves the additions
-    pairs, column = weights.reshape(-1).view(np.complex64), np.arange(CLASSES // 2)
+    as_pairs = lambda x: x.reshape(-1).view(np.complex64)
+    column, whole = np.arange(CLASSES // 2), weights.view(np.dtype((np.void, 4 * CLASSES))).ravel()
+    places = lambda row: (row[:, None] * (CLASSES // 2) + column).ravel()
+    last = np.zeros(len(weights), np.int32)
     for at in range(0, len(choice), MINIBATCH):
         cut = slice(at, at + MINIBATCH)
         error = probabilities(weights, bias, rows[cut], node[cut])
-        error[np.arange(len(error)), choice[cut]] -= 1
-        np.add.at(met, rows[cut].ravel(), np.ones(rows[cut].size, met.dtype))
-        for own in rows[cut].T.astype(np.int64):
-            step = error * (-np.float32(RATE) / (met[own] + np.float32(DAMPING)))[:, None]
-            np.add.at(pairs, (own[:, None] * (CLASSES // 2) + column).ravel(), step.reshape(-1).view(np.complex64))
+        number = np.arange(len(error), dtype=np.int32)
+        error[number, choice[cut]] -= 1
+        features = rows[cut].astype(np.int64)
+        np.add.at(met, features.ravel(), np.ones(features.size, met.dtype))
+        scale = -np.float32(RATE) / (met[features] + np.float32(DAMPING))
+        for f in range(features.shape[1]):
+            row, step = np.ascontiguousarray(features[:, f]), error * scale[:, f, None]
+            last[row] = number
+            heir = last[row]  # the last token with the same row gets the steps of the others, and the row is written once
+            again, once = np.flatnonzero(heir != number), np.flatnonzero(heir == number)
+            if len(again) > len(once):
+                np.add.at(as_pairs(weights), places(row), as_pairs(step))
+                continue
+            np.add.at(as_pairs(step), places(heir[again].astype(np.int64)), as_pairs(np.take(step, again, axis=0)))
+            row = row[once]
+            new = np.take(weights, row, axis=0)
+            new += np.take(step, once, axis=0)
+            whole[row] = new.view(whole.dtype).ravel()
+
+
+def distinct_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An occurrence of each different hash, in their order, and for every hash the number of its own; equal ones needn't keep their order, so the sort is a fast one."""
+    order = np.argsort(hashes)
+    first = np.ones(len(hashes), dtype=bool)
+    first[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    number = np.empty(len(hashes), dtype=np.int64)
+    number[order] = np.cumsum(first) - 1
+    return order[first], number
 
 
 def batch_words(rows: pa.Table) -> tuple[pa.Table, Tokens, np.ndarray, np.ndarray]:
-    """A batch in a fixed order: its rows, tokens, the first occurrence of each distinct word, and each word's number."""
+    """A batch in a fixed order: its rows, tokens, an occurrence of each distinct word, and each word's number."""
     rows = rows.combine_chunks().sort_by([("id", "ascending"), ("text", "ascending")])
     column = rows.column("text").combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
     tokens = Tokens(*string_bytes(column))
-    _, sample, number = np.unique(tokens.hashes, return_index=True, return_inverse=True)
-    return rows, tokens, sample, number
+    return rows, tokens, *distinct_of(tokens.hashes)
 
 
 def by_bucket(tokens: Tokens, sample: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -581,6 +581,43 @@ def test_lm_gradient_by_brute_force():
     assert np.allclose(got, want, atol=1e-4) and (seen == met).all()
 
 
+def test_lm_pieces_change_nothing(monkeypatch):
+    data = np.frombuffer(" ".join(rng.choice(WORDS) for _ in range(9000)).encode(), np.uint8)
+    found = []
+    for piece in (lm.PIECE, 7, 1 << 20):
+        monkeypatch.setattr(lm, "PIECE", piece)
+        leaves, steps = lm.Tokens(data, np.array([0, 0, 4000, len(data)])).sequence(10)
+        found.append([leaves, *(x for step in steps for x in step)])
+    assert all((x == y).all() for other in found[1:] for x, y in zip(found[0], other, strict=True))
+
+
+def test_lm_distinct_words():
+    data = np.frombuffer(prose(3000).encode(), np.uint8)
+    for hashes in (np.zeros(0, np.uint64), lm.Tokens(data, np.array([0, len(data)])).hashes, np.array([5, 1, 5, (1 << 64) - 1, 1], np.uint64)):
+        sample, number = lm.distinct_of(hashes)
+        want, inverse = np.unique(hashes, return_inverse=True)
+        assert (hashes[sample] == want).all() and (number == inverse).all()
+
+
+def test_lm_steps_of_rows_met_again():
+    # rows of which a few, most or all are met again in a minibatch, against one addition after the other
+    own, n = np.random.default_rng(5), lm.MINIBATCH + 500
+    for size in (1 << 16, 1 << 12, 1):
+        rows, choice, node = own.integers(0, size, (n, 3)).astype(np.int32), own.integers(0, lm.CLASSES, n), np.zeros(n, np.int64)
+        rows[:, 1] = rows[:, 0]
+        got, seen = np.zeros((size, lm.CLASSES), "f4"), np.zeros(size, "f4")
+        bias = np.zeros((1, lm.CLASSES), "f4")
+        lm.learn(got, seen, bias, choice, rows, node)
+        want, met = np.zeros((size, lm.CLASSES), "f4"), np.zeros(size, "f4")
+        for cut in (slice(0, lm.MINIBATCH), slice(lm.MINIBATCH, n)):
+            error = lm.probabilities(want, bias, rows[cut], node[cut])
+            error[np.arange(len(error)), choice[cut]] -= 1
+            np.add.at(met, rows[cut].ravel(), np.float32(1))
+            for f in range(3):
+                np.add.at(want, rows[cut, f], error * (-np.float32(lm.RATE) / (met[rows[cut, f]] + np.float32(lm.DAMPING)))[:, None])
+        assert np.allclose(got, want, atol=2e-3) and (seen == met).all()
+
+
 def test_lm_tells_words_of_one_class_apart(spark):
     # all words end alike, so that the class alone can't tell which word follows
     pairs = [("aing", "bing"), ("cing", "ding"), ("eing", "fing"), ("going", "hing")]

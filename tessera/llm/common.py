@@ -25,6 +25,8 @@ IS_SPACE[list(SPACES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+PIECE_BYTES = 1 << 16  # bytes that are worked on at once, in the processor's cache
+
 BATCH_BYTES, _BATCH_BYTES = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 #: A Java regex for one word: a maximal run without the separators above.
@@ -144,13 +146,28 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[
         start = stop
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """Bytes with A-Z as a-z, as LOWER has them; by arithmetic, a piece in the cache at a time, which is faster than to look each byte up."""
+    out = np.empty_like(data)
+    for at in range(0, len(data), PIECE_BYTES):
+        x = data[at : at + PIECE_BYTES]
+        np.add(x, ((x - np.uint8(65)) < np.uint8(26)).view(np.uint8) << np.uint8(5), out=out[at : at + PIECE_BYTES])
+    return out
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, is_space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word of every text, and for each text the index of its first word (len + 1 numbers).
 
     A word never crosses the border of two texts.
     """
     n = len(data)
-    inside = ~is_space[data]
+    if is_space is IS_SPACE:
+        inside = np.empty(n, dtype=bool)
+        for at in range(0, n, PIECE_BYTES):
+            x = data[at : at + PIECE_BYTES]
+            np.logical_and(x != np.uint8(32), (x - np.uint8(9)) > np.uint8(4), out=inside[at : at + PIECE_BYTES])
+    else:
+        inside = ~is_space[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     borders = offsets[:-1][offsets[:-1] < n]
@@ -179,21 +196,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: The mixed lengths that hashes begin with.
+_LENGTHS = mix(np.arange(_SHORT + 1, dtype=np.uint64))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes and length: eight bytes at a time are mixed into what came before, words of over _SHORT bytes by XXH64."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     eights = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
-    rest = ends - starts
-    out = mix(rest.astype(np.uint64))
-    for i in np.flatnonzero(rest > _SHORT).tolist():
+    out = np.empty(len(starts), np.uint64)
+    for s in range(0, len(starts), PIECE_BYTES // 8):
+        own = slice(s, s + PIECE_BYTES // 8)
+        at, rest = starts[own], ends[own] - starts[own]
+        # the first eight bytes of all words, then what is left of the longer ones
+        hashes = _LENGTHS[np.minimum(rest, _SHORT)]
+        hashes ^= eights[at] & _FIRST_BYTES[np.minimum(rest, 8)]
+        hashes = mix(hashes)
+        live = np.flatnonzero((rest > 8) & (rest <= _SHORT))
+        at, rest = at[live] + 8, rest[live] - 8
+        while len(live):
+            hashes[live] = mix(hashes[live] ^ (eights[at] & _FIRST_BYTES[np.minimum(rest, 8)]))
+            on = rest > 8
+            live, at, rest = live[on], at[on] + 8, rest[on] - 8
+        out[own] = hashes
+    for i in np.flatnonzero(ends - starts > _SHORT).tolist():
         out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
-    live = np.flatnonzero(rest <= _SHORT)
-    at, rest = starts[live], rest[live]
-    while len(live):
-        out[live] = mix(out[live] ^ (eights[at] & _FIRST_BYTES[np.minimum(rest, 8)]))
-        on = rest > 8
-        live, at, rest = live[on], at[on] + 8, rest[on] - 8
     return out
 
 

@@ -22,11 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, hold_batches, materialise, mix, slices, string_bytes, word_hashes, words_of
+from tessera.llm.common import hold_batches, lowered, materialise, mix, slices, string_bytes, word_hashes, words_of
 
 BATCH_TEXT, LEAST_TEXT = 4 << 20, 1 << 17  # bytes in a batch; batches are no smaller to have one for each shuffle partition
 ADD = 0.1  # fixed value: added to every count
-CLASSES = 16
+CHOICE_BITS = 4
+CLASSES = 1 << CHOICE_BITS
 STEPS = 3  # class, group, leaf
 LEAVES = CLASSES**STEPS
 END_LEAF = LEAVES - CLASSES * CLASSES  # the last class holds the end alone
@@ -41,11 +42,15 @@ TRAIN_TEXT = 32 << 20  # bytes that one training task reads: each sends all rows
 END, BEFORE = np.uint64(0x51ED270B0A1F39C1), np.uint64(0x2545F4914F6CDD1D)
 
 
+#: The class of words by their last byte and, in the low bits, the byte before it (0 if there is none).
+CLASS_OF = (mix(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(CLASSES - 1)).astype(np.int64)
+
+
 class Tokens:
     """The words of some texts, and the sequence of all tokens: each text's words, then its end."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        self.data = LOWER[data]
+        self.data = lowered(data)
         self.starts, self.ends, first = words_of(self.data, offsets)
         self.hashes = word_hashes(self.data, self.starts, self.ends)
         self.texts = len(offsets) - 1
@@ -56,10 +61,14 @@ class Tokens:
 
     def leaves(self) -> np.ndarray:
         """The leaf of every word: a class by the last two bytes, then eight bits of the word's hash."""
-        last = self.data[self.ends - 1].astype(np.uint64)
-        before = np.where(self.ends - self.starts > 1, self.data[np.maximum(self.ends - 2, 0)], 0).astype(np.uint64)
-        classes = mix(last * np.uint64(256) + before) % np.uint64(CLASSES - 1)
-        return (classes * np.uint64(CLASSES * CLASSES) + (self.hashes >> np.uint64(56))).astype(np.int64)
+        out = np.empty(len(self.hashes), np.int64)
+        for at in range(0, len(out), PIECE):
+            cut = slice(at, at + PIECE)
+            ends = self.ends[cut]
+            before = self.data[np.maximum(ends - 2, 0)] * (ends - self.starts[cut] > 1)
+            out[cut] = CLASS_OF[self.data[ends - 1].astype(np.int64) << 8 | before] << 2 * CHOICE_BITS
+            out[cut] |= (self.hashes[cut] >> np.uint64(64 - 2 * CHOICE_BITS)).astype(np.int64)
+        return out
 
     def sequence(self, bits: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
         """The leaf of each token, and for each step of its tokens the choice, the table rows of its three features and the node where it chooses.
@@ -76,22 +85,24 @@ class Tokens:
         second = begin[begin < self.end_place] + 1  # a text's second token has one word before it
         two[second] = BEFORE
         shift = np.uint64(64 - bits)
-        features, found = np.empty((n, 3), np.uint64), np.empty((n, 3), np.int32)
-        for at in range(0, n, PIECE):
-            cut = slice(at, at + PIECE)
-            features[cut, 0] = mix(one[cut] + np.uint64(1))
-            features[cut, 1] = mix(one[cut] * np.uint64(0x9E3779B97F4A7C15) + two[cut])
-            features[cut, 2] = mix(two[cut] ^ np.uint64(0xA5A5A5A5))
-            found[cut] = features[cut] >> shift
-        steps = [(leaves // CLASSES**2, found, np.zeros(n, np.int64))]
+        # a feature's numbers lie side by side, and a piece of the sequence goes through all steps while it is in the cache
         words = leaves[self.place]
-        for step in range(1, STEPS):
-            node, found = words // CLASSES ** (STEPS - step), np.empty((len(words), 3), np.int32)
-            salts = mix(np.arange(CLASSES**step, dtype=np.uint64) + np.uint64(step << 32))
-            for at in range(0, len(words), PIECE):
-                cut = slice(at, at + PIECE)
-                found[cut] = mix(features[self.place[cut]] ^ salts[node[cut]][:, None]) >> shift
-            steps.append((words // CLASSES ** (STEPS - 1 - step) % CLASSES, found, node))
+        nodes = [np.zeros(n, np.int64), *(words >> (STEPS - step) * CHOICE_BITS for step in range(1, STEPS))]
+        found = [np.empty((3, len(node)), np.int32) for node in nodes]
+        salts = [mix(np.arange(CLASSES**step, dtype=np.uint64) + np.uint64(step << 32)) for step in range(STEPS)]
+        features, bounds = np.empty((3, min(n, PIECE)), np.uint64), np.searchsorted(self.place, np.arange(0, n + PIECE, PIECE))
+        for k, at in enumerate(range(0, n, PIECE)):
+            cut, own = slice(at, at + PIECE), slice(bounds[k], bounds[k + 1])
+            here = features[:, : min(PIECE, n - at)]
+            here[0] = mix(one[cut] + np.uint64(1))
+            here[1] = mix(one[cut] * np.uint64(0x9E3779B97F4A7C15) + two[cut])
+            here[2] = mix(two[cut] ^ np.uint64(0xA5A5A5A5))
+            found[0][:, cut] = here >> shift
+            here = np.take(here, self.place[own] - at, axis=1)
+            for step in range(1, STEPS):
+                found[step][:, own] = mix(here ^ salts[step][nodes[step][own]]) >> shift
+        choices = [leaves >> (STEPS - 1) * CHOICE_BITS, *(words >> (STEPS - 1 - step) * CHOICE_BITS & CLASSES - 1 for step in range(1, STEPS))]
+        steps = [(choice, rows.T, node) for choice, rows, node in zip(choices, found, nodes, strict=True)]
         return leaves, steps
 
 
@@ -121,10 +132,9 @@ def untrained(sums: np.ndarray, known: np.ndarray, ends: int, bits: int) -> Mode
 
 
 def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, node: np.ndarray) -> np.ndarray:
-    z = np.take(weights, rows[:, 0], axis=0)
-    z += np.take(weights, rows[:, 1], axis=0)
-    z += np.take(weights, rows[:, 2], axis=0)
-    z += np.take(bias, node, axis=0)
+    z, more = np.take(weights, rows[:, 0], axis=0), np.empty((len(rows), CLASSES), np.float32)
+    for table, row in ((weights, rows[:, 1]), (weights, rows[:, 2]), (bias, node)):
+        z += np.take(table, row, axis=0, out=more, mode="clip")  # rows are always within the table; the mode lets take write into more at once
     np.clip(z, -80, 80, out=z)  # exp and its sum stay finite and above zero
     np.exp(z, out=z)
     z *= (1 / (z @ np.ones(CLASSES, np.float32)))[:, None]
@@ -134,31 +144,30 @@ def probabilities(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray, node:
 def learn(weights: np.ndarray, met: np.ndarray, bias: np.ndarray, choice: np.ndarray, rows: np.ndarray, node: np.ndarray) -> None:
     """Gradient steps of one table, in place; met counts how often each row was a feature."""
     # a complex number holds two neighbouring columns, which halves the additions
-    as_pairs = lambda x: x.reshape(-1).view(np.complex64)
-    column, whole = np.arange(CLASSES // 2), weights.view(np.dtype((np.void, 4 * CLASSES))).ravel()
-    places = lambda row: (row[:, None] * (CLASSES // 2) + column).ravel()
-    last = np.zeros(len(weights), np.int32)
+    as_pairs = lambda x: x.view(np.complex64)
+    as_rows = lambda x: x.view(np.dtype((np.void, 4 * CLASSES))).ravel()
+    whole, last = as_rows(weights), np.zeros(len(weights), np.int32)
     for at in range(0, len(choice), MINIBATCH):
         cut = slice(at, at + MINIBATCH)
-        error = probabilities(weights, bias, rows[cut], node[cut])
-        number = np.arange(len(error), dtype=np.int32)
-        error[number, choice[cut]] -= 1
-        features = rows[cut].astype(np.int64)
-        np.add.at(met, features.ravel(), np.ones(features.size, met.dtype))
-        scale = -np.float32(RATE) / (met[features] + np.float32(DAMPING))
-        for f in range(features.shape[1]):
-            row, step = np.ascontiguousarray(features[:, f]), error * scale[:, f, None]
-            last[row] = number
-            heir = last[row]  # the last token with the same row gets the steps of the others, and the row is written once
-            again, once = np.flatnonzero(heir != number), np.flatnonzero(heir == number)
-            if len(again) > len(once):
-                np.add.at(as_pairs(weights), places(row), as_pairs(step))
-                continue
-            np.add.at(as_pairs(step), places(heir[again].astype(np.int64)), as_pairs(np.take(step, again, axis=0)))
-            row = row[once]
-            new = np.take(weights, row, axis=0)
-            new += np.take(step, once, axis=0)
-            whole[row] = new.view(whole.dtype).ravel()
+        features = rows[cut].T.astype(np.int64, order="C")
+        error = probabilities(weights, bias, features.T, node[cut])
+        error.ravel()[np.arange(0, error.size, CLASSES) + choice[cut]] -= 1
+        # the errors of all tokens with the same row are added up at the last of them, so that each row is written once
+        token, features = np.tile(np.arange(len(error)), len(features)), features.ravel()
+        number = np.arange(len(features), dtype=np.int32)
+        last[features] = number
+        is_last = np.take(last, features) == number
+        once, again = np.flatnonzero(is_last), np.flatnonzero(~is_last)
+        row, step = np.take(features, once), np.take(error, np.take(token, once), axis=0)
+        last[row] = number[: len(once)]
+        heir, more = np.take(last, np.take(features, again)).astype(np.int64), np.take(error, np.take(token, again), axis=0)
+        for column in range(CLASSES // 2):
+            np.add.at(as_pairs(step)[:, column], heir, as_pairs(more)[:, column])
+        now = np.take(met, row) + (1 + np.bincount(heir, minlength=len(once))).astype(met.dtype)
+        met[row] = now
+        step *= (-np.float32(RATE) / (now + np.float32(DAMPING)))[:, None]
+        step += np.take(weights, row, axis=0)
+        whole[row] = as_rows(step)
 
 
 def distinct_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -591,6 +591,34 @@ def test_lm_pieces_change_nothing(monkeypatch):
     assert all((x == y).all() for other in found[1:] for x, y in zip(found[0], other, strict=True))
 
 
+def test_lm_words_by_arithmetic(monkeypatch):
+    own = np.random.default_rng(6)
+    parts = [np.arange(256, dtype=np.uint8), own.integers(0, 256, 5000).astype(np.uint8), np.full(700, 65, np.uint8), np.frombuffer(prose(3000).encode(), np.uint8)]
+    data = np.concatenate([x for part in parts for x in (part, np.array([32], np.uint8))])
+    offsets, found = np.array([0, 0, 100, 4000, len(data)]), []
+    for piece in (common.PIECE_BYTES, 64, 1 << 20):
+        monkeypatch.setattr(common, "PIECE_BYTES", piece)
+        low = common.lowered(data)
+        assert (low == common.LOWER[data]).all()
+        words_ = common.words_of(low, offsets)
+        assert all((x == y).all() for x, y in zip(words_, common.words_of(low, offsets, common.IS_SPACE.copy()), strict=True))
+        found.append(common.word_hashes(low, *words_[:2]))
+    assert (found[0] == found[1]).all() and (found[0] == found[2]).all()
+    tokens = lm.Tokens(data, offsets)
+    for start, end, leaf in zip(tokens.starts.tolist(), tokens.ends.tolist(), tokens.leaves().tolist(), strict=True):
+        alone = tokens.data[start:end]
+        x = int(alone[-1]) * 256 + (int(alone[-2]) if end - start > 1 else 0)
+        share = int(common.mix(np.array([x], np.uint64))[0]) % (lm.CLASSES - 1)
+        assert leaf == share * lm.CLASSES**2 + (int(common.word_hashes(alone, np.array([0]), np.array([end - start]))[0]) >> 56)
+
+
+def test_lm_features_lie_side_by_side():
+    # gradient steps read the rows of one feature after the other
+    data = np.frombuffer(" ".join(rng.choice(WORDS) for _ in range(2 * lm.PIECE + 10)).encode(), np.uint8)
+    _, steps = lm.Tokens(data, np.array([0, 0, 4000, len(data)])).sequence(10)
+    assert [rows.T.flags.c_contiguous for _, rows, _ in steps] == [True] * lm.STEPS
+
+
 def test_lm_distinct_words():
     data = np.frombuffer(prose(3000).encode(), np.uint8)
     for hashes in (np.zeros(0, np.uint64), lm.Tokens(data, np.array([0, len(data)])).hashes, np.array([5, 1, 5, (1 << 64) - 1, 1], np.uint64)):
